@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
 
@@ -18,6 +19,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, and n_lines_removed of every document."""
+    from sheaf.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, parity and round_trip of every whole text."""
     from sheaf.llm.sentencepiece_codec import encode_documents
@@ -26,6 +34,30 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, p_keep and kept of every document."""
+    from sheaf.llm.source_mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p_keep", 6).alias("p_keep"), "kept")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, the four counts, base_failed and kept of every document, and quality, the posterior."""
+    from sheaf.llm.quality_rules import judge
+
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, the document's evidence, the site's and path's rates, the posterior and kept."""
+    from sheaf.llm.quality_classifier import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return out.select("doc_id", "source", "lang", "evidence", "site_rate", "path_rate", "posterior", "kept")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, read back from the files that were written."""
     from sheaf.llm.token_files import token_file_digest
@@ -33,5 +65,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-ALL = [op3_sentencepiece, op10_token_files]
-SQL: dict[str, str] = {}
+ALL = [op2_line_dedup, op3_sentencepiece, op5_source_mixing, op7_quality_rules, op8_quality_classifier, op10_token_files]
+def _sql() -> dict[str, str]:
+    from sheaf.llm import source_mixing
+
+    return {"op5_source_mixing": source_mixing.oracle_sql()}
+
+
+SQL = _sql()
