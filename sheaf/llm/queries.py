@@ -34,6 +34,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    from sheaf.llm.lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, p_keep and kept of every document."""
     from sheaf.llm.source_mixing import mix
@@ -65,7 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-ALL = [op2_line_dedup, op3_sentencepiece, op5_source_mixing, op7_quality_rules, op8_quality_classifier, op10_token_files]
+ALL = [op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op7_quality_rules, op8_quality_classifier, op10_token_files]
 def _sql() -> dict[str, str]:
     from sheaf.llm import source_mixing
 
