@@ -65,6 +65,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "evidence", "site_rate", "path_rate", "posterior", "kept")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the 20 nearest of every row whose vec_id is divisible by 20."""
+    from sheaf.llm.cross_polytope import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, read back from the files that were written."""
     from sheaf.llm.token_files import token_file_digest
@@ -72,7 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-ALL = [op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op7_quality_rules, op8_quality_classifier, op10_token_files]
+ALL = [op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files]
 def _sql() -> dict[str, str]:
     from sheaf.llm import source_mixing
 
