@@ -49,6 +49,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p_keep", 6).alias("p_keep"), "kept")
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    from sheaf.llm.parity_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, the four counts, base_failed and kept of every document, and quality, the posterior."""
     from sheaf.llm.quality_rules import judge
@@ -79,7 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-ALL = [op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files]
+ALL = [op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files]
 def _sql() -> dict[str, str]:
     from sheaf.llm import source_mixing
 
