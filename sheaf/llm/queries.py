@@ -19,6 +19,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+    from sheaf.llm.html_wrapper import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that is left, and n_lines_removed of every document."""
     from sheaf.llm.line_dedup import dedup_lines
@@ -86,7 +93,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-ALL = [op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files]
+ALL = [op1_html_wrapper, op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files]
 def _sql() -> dict[str, str]:
     from sheaf.llm import source_mixing
 
