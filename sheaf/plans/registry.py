@@ -1,4 +1,8 @@
 """All queries of the library with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from sheaf.plans import parsing_queries
+
+QUERIES = {**parsing_queries.QUERIES}
+ORACLES = {**parsing_queries.ORACLES}
