@@ -171,10 +171,12 @@ def first_valid(texts: list[str], kind: Kind, label: str) -> tuple[dict | None,
 
 def validate(candidates: Column, label: str) -> Column:
     """struct(data: JSON of the checked record, error) of an array of candidates; from_json with ``SCHEMAS[label].ddl`` types it."""
-    kind = SCHEMAS[label]
 
     @F.pandas_udf("data string, error string")
     def run(texts: pd.Series) -> pd.DataFrame:
+        from sheaf.operators import validation as here  # by name in the worker: what is missing is told by identity
+
+        kind, first_valid = here.SCHEMAS[label], here.first_valid
         out = [first_valid([] if t is None else list(t), kind, label) for t in texts]
         return pd.DataFrame({"data": [None if d is None else json.dumps(d, ensure_ascii=False) for d, _ in out], "error": [e for _, e in out]})
 
