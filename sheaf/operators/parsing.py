@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 
-DOC = Window.partitionBy("doc_id").orderBy("pos")
+
+def _doc():
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def normalized_lines(text: Column) -> Column:
@@ -32,15 +34,15 @@ def marked(rows: DataFrame) -> DataFrame:
     A markdown heading counts with a date range in the next line, which it takes. Of a run of
     such headings where each is the date line of the one before, every second counts.
     """
-    line = F.col("line")
-    out = rows.withColumn("opens", T.section_type(line)).withColumn("next_date", T.date_range(F.lead("line").over(DOC)))
-    out = out.withColumn("section_id", F.count("opens").over(DOC)).withColumn("section_type", F.last("opens", ignorenulls=True).over(DOC))
+    line, doc = F.col("line"), _doc()
+    out = rows.withColumn("opens", T.section_type(line)).withColumn("next_date", T.date_range(F.lead("line").over(doc)))
+    out = out.withColumn("section_id", F.count("opens").over(doc)).withColumn("section_type", F.last("opens", ignorenulls=True).over(doc))
     employed = F.col("opens").isNull() & (F.col("section_type") == "employment")
     is_markdown = line.rlike(T.MARKDOWN_HEADING)
     out = out.withColumn("candidate", F.coalesce(employed & is_markdown & F.col("next_date").isNotNull(), F.lit(False)))
-    out = out.withColumn("run_start", F.last(F.when(~F.col("candidate"), F.col("pos")), ignorenulls=True).over(DOC))
+    out = out.withColumn("run_start", F.last(F.when(~F.col("candidate"), F.col("pos")), ignorenulls=True).over(doc))
     out = out.withColumn("accepted", F.col("candidate") & ((F.col("pos") - F.coalesce("run_start", F.lit(-1))) % 2 == 1))
-    out = out.withColumn("is_date", F.coalesce(F.lag("accepted").over(DOC), F.lit(False)))
+    out = out.withColumn("is_date", F.coalesce(F.lag("accepted").over(doc), F.lit(False)))
 
     title = T.trim_js(F.regexp_extract(line, T.MARKDOWN_HEADING, 1))
     named = T.role_company(title)

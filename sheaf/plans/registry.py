@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.plans import parsing_queries, record_queries
+from sheaf.plans import parsing_queries, record_queries, workflow_queries
 
-QUERIES = {**parsing_queries.QUERIES, **record_queries.QUERIES}
-ORACLES = {**parsing_queries.ORACLES, **record_queries.ORACLES}
+QUERIES = {**parsing_queries.QUERIES, **record_queries.QUERIES, **workflow_queries.QUERIES}
+ORACLES = {**parsing_queries.ORACLES, **record_queries.ORACLES, **workflow_queries.ORACLES}
