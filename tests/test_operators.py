@@ -122,7 +122,7 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_bytes(b"x\r\ny\xff")
     (tmp_path / "in" / "b.PDF").write_bytes(b"pdf")
-    (tmp_path / "in" / "c.pdf").write_bytes(b"")
+    (tmp_path / "in" / "c.pdf").write_bytes(b" ")
     got = {r.path[-5:]: (r.text, r.error is None) for r in files.read_documents(spark, str(tmp_path / "in"), lambda b: b.decode().upper()).collect()}
     assert got == {"/a.md": ("x\r\ny\ufffd", True), "b.PDF": ("PDF", True), "c.pdf": (None, False)}
     out = spark.createDataFrame([("d", "debug/01-x.json", '{"a":"é","b":[1]}'), ("d", "r.md", "text\n")], "run_dir string, file_name string, content string")
