@@ -44,8 +44,6 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import materialize
 
-SPLIT_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 TRAIN, DEV, HELD = 0, 1, 2
 #: Keys of the end and start tokens, which no word's hash may equal.
 END_KEY, START_KEY = 1, 2
@@ -58,10 +56,9 @@ REQUESTS = "gram int, bucket int, block long, keys binary, train binary, dev bin
 ANSWERS = "block long, gram int, bucket int, train binary, dev binary, n_distinct long"
 
 
-def tokenize(text: str) -> list[str]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased."""
-    lowered = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-    return [w for w in lowered.translate(SPLIT_SPACE).split(" ") if w]
+def tokenize(text: str) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased: on bytes, lower() knows A-Z only and split() the six ASCII spaces."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def split_of(doc_id: int | None) -> int:
@@ -83,9 +80,9 @@ class Block:
     """Collects documents of one kind until it has enough tokens. Token 0 is the end."""
 
     def __init__(self, kind: int):
-        self.kind, self.doc_ids, self.lengths, self.tokens, self.index, self.total = kind, [], [], [], {"": 0}, 0
+        self.kind, self.doc_ids, self.lengths, self.tokens, self.index, self.total = kind, [], [], [], {b"": 0}, 0
 
-    def add(self, doc_id: int | None, words: list[str]) -> None:
+    def add(self, doc_id: int | None, words: list[bytes]) -> None:
         index = self.index
         new = [w for w in words if w not in index]
         for w in new:
@@ -98,7 +95,7 @@ class Block:
     def row(self, block: int) -> tuple:
         import xxhash
 
-        keys = np.array([END_KEY, *(max(3, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in list(self.index)[1:])], np.uint64)
+        keys = np.array([END_KEY, *(max(3, xxhash.xxh3_64_intdigest(w)) for w in list(self.index)[1:])], np.uint64)
         ids = np.array([d or 0 for d in self.doc_ids], np.int64)
         nulls = np.array([d is None for d in self.doc_ids], np.uint8)
         return block, self.kind, self.total, ids.tobytes(), nulls.tobytes(), np.array(self.lengths, np.uint32).tobytes(), np.concatenate(self.tokens).tobytes(), keys.tobytes()
