@@ -7,8 +7,8 @@ itself estimated from the spread of the rates (method of moments), so a site wit
 documents takes the global prior and a large one its own. A document's posterior adds
 the evidence to the log-odds of its path's rate.
 
-The classifier is logistic regression on counts of the text, fitted on at most
-``max_train`` labelled documents, those with the smallest hashes of doc_id; this is the
+The classifier is logistic regression on counts of the text, fitted on about
+``max_train`` labelled documents at most, chosen by a hash of doc_id; this is the
 only sample. Site and path sums are over all documents, by aggregation that combines
 before the shuffle, so a hot site is a few partial sums. Sites are joined back to
 documents as a table whose size Spark knows, and is broadcast only when that is small.
@@ -100,11 +100,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> L
     return Linear(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w[:-1].tolist()), float(w[-1] - share))
 
 
-def train(featured: DataFrame, labels: DataFrame, max_train: int = 20_000) -> tuple[Linear, float]:
-    """The classifier and the share of good labels, from the ``max_train`` labelled rows with the smallest hashes."""
+def train(featured: DataFrame, labels: DataFrame, max_train: int = 10_000) -> tuple[Linear, float]:
+    """The classifier and the share of good labels, from about ``max_train`` labelled rows at most, chosen by a hash of doc_id."""
     y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null")
-    joined = featured.select("_doc", "_x").join(y, F.col("_doc") == F.col("_id"))
-    rows = joined.select("_x", "_y", F.xxhash64("_doc").alias("_h"), "_doc").orderBy("_h", "_doc", "_y").limit(max_train).select("_x", "_y").toPandas()
+    share = max_train / max(y.count(), 1)
+    if share < 1:
+        y = y.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = featured.select("_doc", "_x").join(y, F.col("_doc") == F.col("_id")).orderBy("_doc", "_y").select("_x", "_y").toPandas()
     x = np.array(rows["_x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
     good = rows["_y"].to_numpy(np.float64)
     return fit(x, good), float(good.mean()) if len(good) else 0.5
@@ -125,12 +127,15 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, threshold: float = 0.5, max_train: int = 20_000) -> DataFrame:
-    """``docs`` with evidence, site_rate, path_rate, posterior and kept. ``site`` and ``path`` are expressions over its columns."""
-    kept = [c for c in docs.columns if c not in OWN]
-    rows = docs.select(*[docs[c] for c in kept], site.cast("string").alias("_site"), path.cast("string").alias("_path"))
-    small = rows.select(F.col("doc_id").alias("_doc"), "_site", "_path", text_features(F.col("text")).alias("_x"))
-    featured = materialize(small, "quality-features")
+def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, threshold: float = 0.5, max_train: int = 10_000, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with evidence, site_rate, path_rate, posterior and kept. ``site`` and ``path`` are expressions over its columns.
+
+    ``keep``: the columns to return besides these, by default all. The counts of a text are
+    taken once and written with the kept columns; nothing else of a document moves.
+    """
+    kept = [c for c in docs.columns if c not in OWN and (keep is None or c in keep)]
+    own = [F.col("doc_id").alias("_doc"), site.cast("string").alias("_site"), path.cast("string").alias("_path"), text_features(F.col("text")).alias("_x")]
+    featured = materialize(docs.select(*[docs[c] for c in kept], *own), "quality-features")
     model, share = train(featured, labels, max_train)
     prior_odds = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
 
@@ -140,7 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, thr
     sites = paths.groupBy(F.col("_site").alias("_s")).agg(F.sum("_good").alias("_sgood"), F.sum("_n").alias("_sn"))
     total = sites.agg(F.sum("_sgood"), F.sum("_sn")).first()
     if not total[1]:
-        return docs.select(*[docs[c] for c in kept], *[F.lit(None).cast("double").alias(c) for c in OWN[:-1]], F.lit(None).cast("boolean").alias("kept"))
+        return featured.select(*kept, *[F.lit(None).cast("double").alias(c) for c in OWN[:-1]], F.lit(None).cast("boolean").alias("kept"))
     overall = min(1 - 1e-6, max(1e-6, total[0] / total[1]))
     a = strength(sites.withColumn("_r", F.col("_sgood") / F.col("_sn")), "_r", "_sn", F.lit(overall))
     sites = sites.withColumn("site_rate", (F.col("_sgood") + a * overall) / (F.col("_sn") + a))
@@ -149,8 +154,8 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, thr
     rates = both.select("_site", "_path", "site_rate", ((F.col("_good") + b * F.col("site_rate")) / (F.col("_n") + b)).alias("path_rate"))
     rates = materialize(rates, "path-rates").withColumnsRenamed({"_site": "_rs", "_path": "_rp"})
 
-    scored = rows.withColumn("evidence", model.log_odds(text_features(F.col("text"))))
-    joined = scored.join(rates, scored["_site"].eqNullSafe(F.col("_rs")) & scored["_path"].eqNullSafe(F.col("_rp")), "left")
+    scored = featured.withColumn("evidence", model.log_odds(F.col("_x")))
+    joined = scored.join(rates, F.col("_site").eqNullSafe(F.col("_rs")) & F.col("_path").eqNullSafe(F.col("_rp")), "left")
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate")))))
     out = joined.withColumn("posterior", posterior).withColumn("kept", F.col("posterior") >= threshold)
     return out.select(*kept, *OWN)

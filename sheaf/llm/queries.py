@@ -75,7 +75,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the document's evidence, the site's and path's rates, the posterior and kept."""
     from sheaf.llm.quality_classifier import classify
 
-    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), keep=["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", "evidence", "site_rate", "path_rate", "posterior", "kept")
 
 
