@@ -14,11 +14,13 @@ the smallest few hashes must agree.
 
 Exact copies (equal sets) are one class from the start. For the rest, verification goes
 in two rounds, as only components are wanted. First each class is compared with one
-pivot, the one of all smallest members of its groups with which it shares most words;
-links join components. Then what groups still hold of different components is compared:
-where all but eight members are one component, those eight with all others; in groups of many
-components, pairs that share a second group. Each pair that links shares two groups, so
-either one of them is of the first kind, or both are of the second: none is missed.
+pivot, that member of its groups which shares most of its words: of a family of edited copies
+the least edited, with which all others that belong to it link. Links join components. Then,
+of the groups that still hold several components, a class's own shingles are counted,
+those that no other class in such groups has. What two classes have in common is at most
+what is not their own, which with their sizes bounds the similarity; pairs of different
+components that the bound allows are verified. Copies edited beyond the limit are many in a
+large family, but most of what makes them differ is their own: they make no pairs.
 
 How it runs. Sketch words travel packed, sorted by key, to one of many ranges of the key
 space; a task finds the keys that occur twice. Groups are rows from there on; joins on
@@ -44,8 +46,6 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import materialize
 
-SPLIT_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SHINGLE = 5
 SMALL = 24
 U = np.uint64
@@ -62,7 +62,7 @@ class Shingler:
     """Shingle hashes of texts; keeps the hashes of words it has met, up to a bound."""
 
     def __init__(self, limit: int = 500_000):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.limit = limit
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -71,8 +71,8 @@ class Shingler:
 
         if not text:
             return np.zeros(0, U)
-        lowered = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-        words = [w for w in lowered.translate(SPLIT_SPACE).split(" ") if w]
+        # On bytes, lower() knows A-Z only and split() the six ASCII spaces: the words of the contract.
+        words = text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, U)
         known = self.known
@@ -82,8 +82,7 @@ class Shingler:
         if None in found:
             for i, h in enumerate(found):
                 if h is None:
-                    w = words[i]
-                    found[i] = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                    found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
         h = np.array(found, U)
         k = min(SHINGLE, len(h))
         with np.errstate(over="ignore"):
@@ -163,7 +162,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, buckets: int, flush: int = 1_000_000) -> DataFrame:
-    """(gid, cls, pivot) for every key that two classes or more share; pivot: the smallest of them."""
+    """(gid, cls) for every key that two classes or more share."""
     edges = [i * 2**64 // buckets for i in range(1, buckets)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,32 +205,74 @@ def groups_of(docs: DataFrame, buckets: int, flush: int = 1_000_000) -> DataFram
         keys, classes = keys[order], classes[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])]
         keys, classes = keys[new], classes[new]
-        first = np.r_[True, keys[1:] != keys[:-1]]
-        size = np.diff(np.r_[np.flatnonzero(first), len(keys)])
-        pivot, many = np.repeat(classes[first], size), np.repeat(size > 1, size)
-        return pa.table({"gid": pa.array(keys[many].view(np.int64)), "cls": pa.array(classes[many]), "pivot": pa.array(pivot[many])})
+        many = np.r_[False, keys[1:] == keys[:-1]] | np.r_[keys[1:] == keys[:-1], False]
+        return pa.table({"gid": pa.array(keys[many].view(np.int64)), "cls": pa.array(classes[many])})
 
     sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, classes binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "gid long, cls long, pivot long")
+    return sent.groupBy("bucket").applyInArrow(meet, "gid long, cls long")
+
+
+def texts_of(involved: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, text) of one document of each class in ``involved`` (cls)."""
+    wanted = classes.join(involved, "cls").select("cls", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cls", "text")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link, by the texts of one document of each class."""
+    """Those of ``pairs`` (a, b) whose sets link, by the whole texts of one document of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, last = Shingler(), (None, None)
         for batch in batches:
-            keep = [links(shingler(x), shingler(y)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            keep = []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                if last[0] != x:
+                    last = x, shingler(x)
+                keep.append(links(last[1], shingler(y)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = classes.join(involved, "cls").select("cls", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cls", "text")
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, classes)
+    both = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def own_shingles(involved: DataFrame, docs: DataFrame, classes: DataFrame, bucket_keys: int) -> DataFrame:
+    """(cls, n_own): the shingles of each class that no other in ``involved`` has. Packed by ranges of the hashes, like the sketches."""
+    total = classes.join(involved, "cls").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(total / bucket_keys))
+    edges = [i * 2**64 // buckets for i in range(1, buckets)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingler(t) for t in part.column("text").to_pylist()]
+                h = np.concatenate([np.zeros(0, U), *sets])
+                c = np.repeat(part.column("cls").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                order = np.argsort(h, kind="stable")
+                h, c = h[order], c[order]
+                cut = np.concatenate([[0], np.searchsorted(h, np.array(edges, U)), [len(h)]])
+                rows = [(b, h[i:j].tobytes(), c[i:j].astype(np.int64).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "classes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(table["keys"].to_pylist()), U)
+        c = np.frombuffer(b"".join(table["classes"].to_pylist()), np.int64)
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]  # rows that are there twice
+        h, c = h[new], c[new]
+        alone = np.r_[True, h[1:] != h[:-1]] & np.r_[h[1:] != h[:-1], True]
+        cls, n = np.unique(c[alone], return_counts=True)
+        return pa.table({"cls": pa.array(cls), "n_own": pa.array(n.astype(np.int64))})
+
+    sent = texts_of(involved, docs, classes).mapInArrow(send, "bucket int, keys binary, classes binary")
+    return sent.groupBy("bucket").applyInArrow(count, "cls long, n_own long").groupBy("cls").agg(F.sum("n_own").alias("n_own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cls, comp) of every vertex of ``edges`` (a, b): each joins its smallest neighbour, and the graph shrinks until no edge is left."""
     labels = None
@@ -248,32 +289,30 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
 
 
-def labelled(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    return groups.join(comps, "cls", "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp"))
-
-
-def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, few: int = 8) -> DataFrame:
-    """Pairs of different components that may link and were not compared with their pivot."""
-    rows = labelled(groups, comps)
-    sizes = rows.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("gid").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    mixed = materialize(mixed.select(F.col("gid").alias("g"), (F.col("n") - F.col("main.n") <= few).alias("direct"), F.col("main.comp").alias("main")), "mixed")
-    rows = materialize(rows.join(mixed, F.col("gid") == F.col("g")).select("gid", "cls", "comp", "direct", "main"), "mixed-rows")
-
-    direct = rows.where("direct")
-    minor = direct.where("comp <> main").select("gid", F.col("cls").alias("x"), F.col("comp").alias("cx"))
-    one = minor.join(direct.select("gid", F.col("cls").alias("y"), F.col("comp").alias("cy")), "gid").where("cx <> cy").select("x", "y")
-
-    # Of a class's own groups, every two: at most the square of its sketch, and no more than it shares.
-    own = rows.where("not direct").groupBy("cls", "comp").agg(F.array_sort(F.collect_set("gid")).alias("gs")).where("size(gs) > 1")
-    twos = own.select("cls", "comp", F.posexplode("gs").alias("i", "gi"), "gs").select("cls", "comp", "gi", F.explode(F.expr("slice(gs, i + 2, size(gs))")).alias("gj"))
-    left, right = twos.select("gi", "gj", F.col("cls").alias("x"), F.col("comp").alias("cx")), twos.select("gi", "gj", F.col("cls").alias("y"), F.col("comp").alias("cy"))
-    two = left.join(right, ["gi", "gj"]).where("x < y and cx <> cy").select("x", "y")
-
-    pairs = one.union(two).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    n = classes.select(F.col("cls").alias("c"), F.col("n_shingles").alias("n"))
-    sized = pairs.join(n.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where("100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b")
+def pivots_of(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class b with the pivot a of its groups, the member that shares most words for its size."""
+    shared = groups.groupBy("cls").agg(F.count(F.lit(1)).alias("h")).join(classes.select("cls", "n_shingles"), "cls").select("cls", (F.col("h") / F.col("n_shingles")).alias("score"))
+    scored = groups.join(shared, "cls")
+    tops = scored.groupBy("gid").agg(F.max(F.struct("score", "cls")).alias("top"))
+    best = groups.join(tops, "gid").groupBy("cls").agg(F.max("top").alias("best"))
+    return best.where("best.cls <> cls").select(F.col("best.cls").alias("a"), F.col("cls").alias("b"))
+
+
+def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, bucket_keys: int) -> DataFrame:
+    """Pairs of different components that share a group and whose sizes and own shingles allow a link."""
+    rows = groups.join(comps, "cls", "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp"))
+    mixed = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"))
+    rows = materialize(rows.join(mixed, F.col("gid") == F.col("g")).select("gid", "cls", "comp"), "mixed-groups")
+    own = own_shingles(rows.select("cls").distinct(), docs, classes, bucket_keys)
+    # c: what a class can have in common with another at most. A link needs c >= 0.8 n, and sizes up to 2.25 c - n.
+    sized = classes.select("cls", "n_shingles").join(own, "cls", "left").select("cls", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("c"))
+    alive = materialize(rows.join(sized.where("100 * c >= 80 * n"), "cls").withColumn("slot", F.floor(F.log("n") * 50)), "alive")
+    smaller = alive.select("gid", "slot", F.col("cls").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("ky"))
+    most = F.least(F.col("n"), F.floor(2.25 * F.col("c") - F.col("n") + 1e-6))
+    slots = F.sequence(F.floor(F.log(0.8 * F.col("n")) * 50) - 1, F.greatest(F.floor(F.log(most) * 50), F.floor(F.log(0.8 * F.col("n")) * 50)))
+    larger = alive.select("gid", F.explode(slots).alias("slot"), F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("kx"))
+    able = F.expr("cx <> cy and ny <= nx and 100 * least(kx, ky) >= 80 * (nx + ny - least(kx, ky))")
+    return larger.join(smaller, ["gid", "slot"]).where(able).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000) -> DataFrame:
@@ -282,10 +321,9 @@ def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000) -> DataFrame:
     classes = materialize(sets.where("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least")), "classes")
     total = classes.agg(F.coalesce(F.sum(F.col("n_shingles") * 0.6 + 10), F.lit(0.0))).first()[0]
     groups = materialize(groups_of(docs, max(1, math.ceil(total / bucket_keys))), "groups")
-    pivots = groups.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("cls").agg(F.max(F.struct("n", "pivot")).alias("best"))
-    first = materialize(verify(materialize(pivots.select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")), "pivots"), docs, classes), "links")
+    first = materialize(verify(materialize(pivots_of(groups, classes), "pivots"), docs, classes), "links")
     comps = components(first)
-    rest = materialize(cross_pairs(groups, comps, classes), "cross-pairs")
+    rest = materialize(cross_pairs(groups, comps, classes, docs, bucket_keys), "cross-pairs")
     if not rest.isEmpty():
         second = materialize(verify(rest, docs, classes), "links")
         if not second.isEmpty():
