@@ -18,9 +18,10 @@ pivot, that member of its groups which shares most of its words: of a family of
 the least edited, with which all others that belong to it link. Links join components. Then,
 of the groups that still hold several components, a class's own shingles are counted,
 those that no other class in such groups has. What two classes have in common is at most
-what is not their own, which with their sizes bounds the similarity; pairs of different
-components that the bound allows are verified. Copies edited beyond the limit are many in a
-large family, but most of what makes them differ is their own: they make no pairs.
+what is not their own, which with their sizes bounds the similarity. Pairs of different components
+that this allows are compared by bit sketches, to which each shingle adds one bit by XOR: their
+Hamming distance is a lower bound of the symmetric difference, too. What it allows is
+verified. Copies edited beyond the limit are many in a large family, but make no pairs.
 
 How it runs. Sketch words travel packed, sorted by key, to one of many ranges of the key
 space; a task finds the keys that occur twice. Groups are rows from there on; joins on
@@ -48,6 +49,8 @@ from sheaf.llm.common import materialize
 
 SHINGLE = 5
 SMALL = 24
+#: 64-bit words of a bit sketch.
+SKETCH = 64
 U = np.uint64
 
 
@@ -99,6 +102,12 @@ def class_of(shingles: np.ndarray) -> int:
         return int(mix(np.array([total], U)).view(np.int64)[0])
 
 
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH words; each shingle flips one of their bits."""
+    bits = np.bincount((mix(shingles ^ U(0xA0761D6478BD642F)) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def links(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
@@ -237,7 +246,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def own_shingles(involved: DataFrame, docs: DataFrame, classes: DataFrame, bucket_keys: int) -> DataFrame:
+def own_shingles(involved: DataFrame, texts: DataFrame, classes: DataFrame, bucket_keys: int) -> DataFrame:
     """(cls, n_own): the shingles of each class that no other in ``involved`` has. Packed by ranges of the hashes, like the sketches."""
     total = classes.join(involved, "cls").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_keys))
@@ -267,10 +276,34 @@ def own_shingles(involved: DataFrame, docs: DataFrame, classes: DataFrame, bucke
         h, c = h[new], c[new]
         alone = np.r_[True, h[1:] != h[:-1]] & np.r_[h[1:] != h[:-1], True]
         cls, n = np.unique(c[alone], return_counts=True)
-        return pa.table({"cls": pa.array(cls), "n_own": pa.array(n.astype(np.int64))})
+        slot = (cls.view(np.uint64) % U(buckets)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        cls, n, slot = cls[order], n[order], slot[order]
+        edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+        ends = np.r_[edge[1:], len(slot)].astype(np.int64)
+        rows = [(int(slot[i]), cls[i:j].tobytes(), n[i:j].astype(np.int64).tobytes()) for i, j in zip(edge, ends, strict=False)]
+        return pa.table({"slot": pa.array([r[0] for r in rows], pa.int32()), "classes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+    def total_of(table: pa.Table) -> pa.Table:
+        cls, at = np.unique(np.frombuffer(b"".join(table["classes"].to_pylist()), np.int64), return_inverse=True)
+        n = np.bincount(at, np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64), len(cls)).astype(np.int64)
+        return pa.table({"cls": pa.array(cls), "n_own": pa.array(n)})
+
+    sent = texts.mapInArrow(send, "bucket int, keys binary, classes binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "slot int, classes binary, counts binary")
+    return counted.groupBy("slot").applyInArrow(total_of, "cls long, n_own long")
+
+
+def sketches_of(texts: DataFrame) -> DataFrame:
+    """(cls, sketch)."""
 
-    sent = texts_of(involved, docs, classes).mapInArrow(send, "bucket int, keys binary, classes binary")
-    return sent.groupBy("bucket").applyInArrow(count, "cls long, n_own long").groupBy("cls").agg(F.sum("n_own").alias("n_own"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            found = [bit_sketch(shingler(t)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], names=["cls", "sketch"])
+
+    return texts.mapInArrow(run, "cls long, sketch binary").dropDuplicates(["cls"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,16 +336,38 @@ def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, docs: D
     rows = groups.join(comps, "cls", "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp"))
     mixed = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"))
     rows = materialize(rows.join(mixed, F.col("gid") == F.col("g")).select("gid", "cls", "comp"), "mixed-groups")
-    own = own_shingles(rows.select("cls").distinct(), docs, classes, bucket_keys)
-    # c: what a class can have in common with another at most. A link needs c >= 0.8 n, and sizes up to 2.25 c - n.
+    involved = rows.select("cls").distinct()
+    texts = materialize(texts_of(involved, docs, classes), "mixed-texts")
+    own = own_shingles(involved, texts, classes, bucket_keys)
+    # c: what a class can have in common with another at most. A link needs c >= 0.8 n.
     sized = classes.select("cls", "n_shingles").join(own, "cls", "left").select("cls", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("c"))
-    alive = materialize(rows.join(sized.where("100 * c >= 80 * n"), "cls").withColumn("slot", F.floor(F.log("n") * 50)), "alive")
-    smaller = alive.select("gid", "slot", F.col("cls").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("ky"))
-    most = F.least(F.col("n"), F.floor(2.25 * F.col("c") - F.col("n") + 1e-6))
-    slots = F.sequence(F.floor(F.log(0.8 * F.col("n")) * 50) - 1, F.greatest(F.floor(F.log(most) * 50), F.floor(F.log(0.8 * F.col("n")) * 50)))
-    larger = alive.select("gid", F.explode(slots).alias("slot"), F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("kx"))
-    able = F.expr("cx <> cy and ny <= nx and 100 * least(kx, ky) >= 80 * (nx + ny - least(kx, ky))")
-    return larger.join(smaller, ["gid", "slot"]).where(able).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    able = materialize(sized.where("100 * c >= 80 * n").join(sketches_of(texts), "cls"), "able")
+    alive = rows.join(able, "cls")
+    parts = max(1, math.ceil(rows.count() / 20_000))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("gid", "ascending"), ("n", "ascending")])
+        gid, cls, comp, n, c = (table[k].to_numpy() for k in ("gid", "cls", "comp", "n", "c"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
+        edge = np.r_[np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]]), len(gid)] if len(gid) else np.zeros(1, np.int64)
+        found: set[tuple[int, int]] = set()
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if (comp[i:j] == comp[i]).all():
+                continue
+            for x in range(i + 1, j):
+                # The smaller ones are before it; of these, what sizes, components and own shingles allow.
+                low = i + int(np.searchsorted(n[i:x], math.ceil(0.8 * n[x] - 1e-9)))
+                both = np.minimum(c[low:x], c[x])
+                y = low + np.flatnonzero((comp[low:x] != comp[x]) & (100 * both >= 80 * (n[low:x] + n[x] - both)))
+                if len(y):
+                    apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1)
+                    for k in y[9 * apart <= n[y] + n[x]].tolist():
+                        found.add((min(cls[k], cls[x]), max(cls[k], cls[x])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = alive.withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000) -> DataFrame:
