@@ -8,7 +8,7 @@ with weights that depend on b, the bucket of how often the context u occurs. The
 learned by expectation-maximisation on held-out counts: the part of the training
 documents kept for that (``is_dev``) is deleted from the counts that predict it.
 
-How it runs. Texts are read once and become blocks: about a million tokens as numbers
+How it runs. Texts are read once and become blocks: about two million tokens as numbers
 into the block's own vocabulary, documents side by side. For the counts, a block sorts
 its n-grams' 64-bit keys and sends each range of the key space (a bucket) its distinct
 keys with their training and held-out counts, as one packed row. A bucket's task adds up
@@ -19,7 +19,7 @@ hot; buckets are cut so that each holds about ``bucket_keys`` keys. EM sees the
 tokens as a table of counts over (bucket, log ratios of the estimates): responsibilities
 depend on ratios alone, so the table has a bounded number of rows, and all tokens count.
 
-Words are told apart by 64-bit hashes (xxh3). Tokens are the words of the text with A-Z
+Words are told apart by 64-bit hashes (xxh3), n-grams by 40 bits within their bucket. Tokens are the words of the text with A-Z
 lower-cased, then one end token. A document's first token has the start as its context,
 which occurs once in every training document.
 
@@ -32,6 +32,7 @@ empty result. Only doc_id and text are read; other columns do not matter.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -52,7 +53,7 @@ FREQUENCY_BUCKETS = 14
 RATIO_STEPS, NONE = 16, -(2**15)
 
 BLOCKS = "block long, kind int, n_tokens long, doc_ids binary, nulls binary, lengths binary, tokens binary, keys binary"
-REQUESTS = "gram int, bucket int, block long, keys binary, train binary, dev binary"
+REQUESTS = "gram int, bucket int, block long, kind int, keys binary, counts binary"
 ANSWERS = "block long, gram int, bucket int, train binary, dev binary, n_distinct long"
 
 
@@ -98,7 +99,26 @@ class Block:
         keys = np.array([END_KEY, *(max(3, xxhash.xxh3_64_intdigest(w)) for w in list(self.index)[1:])], np.uint64)
         ids = np.array([d or 0 for d in self.doc_ids], np.int64)
         nulls = np.array([d is None for d in self.doc_ids], np.uint8)
-        return block, self.kind, self.total, ids.tobytes(), nulls.tobytes(), np.array(self.lengths, np.uint32).tobytes(), np.concatenate(self.tokens).tobytes(), keys.tobytes()
+        return block, self.kind, self.total, ids.tobytes(), nulls.tobytes(), np.array(self.lengths, np.uint32).tobytes(), squeeze(np.concatenate(self.tokens)), keys.tobytes()
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, those that are 0 throughout left out, compressed."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(x), width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def gaps(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=np.zeros(1, np.uint64))
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -130,7 +150,7 @@ class Grams:
 
     def __init__(self, row: dict, order: int):
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
-        self.tokens = np.frombuffer(row["tokens"], np.uint32)
+        self.tokens = expand(row["tokens"])
         words = np.frombuffer(row["keys"], np.uint64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.word_keys, self.first = words, np.zeros(len(self.tokens), bool)
@@ -146,62 +166,79 @@ class Grams:
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are equal ranges of the key space, so sorted keys fall into them in order."""
-    edges = (np.arange(1, buckets, dtype=object) * (2**64) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
+    edges = np.array([i * 2**64 // buckets for i in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def shorten(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """The first 40 bits of each key's place in its bucket: of two million n-grams in one bucket, two in a million share them with another."""
+    size = 2**64 // buckets
+    return (keys - np.uint64(bucket * 2**64 // buckets)) >> np.uint64(max(0, size.bit_length() - 41))
+
+
 def ask(blocks: DataFrame, order: int, buckets: list[int]) -> DataFrame:
+    """Sends each bucket the distinct keys of every block with their counts. Single words keep whole keys: V and N are exact."""
+
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                [row] = batch.slice(i, 1).to_pylist()
                 grams = Grams(row, order)
                 for g in range(order):
                     keys, n = np.unique(grams.keys[g], return_counts=True)
-                    n = n.astype(np.uint32)
-                    none = np.zeros_like(n)
-                    train, dev = {TRAIN: (n, none), DEV: (n, n), HELD: (none, none)}[row["kind"]]
                     cut = _bucket_of(keys, buckets[g])
                     out = []
                     for b in range(buckets[g]):
                         i, j = cut[b], cut[b + 1]
                         if i < j:
-                            out.append((g, b, row["block"], keys[i:j].tobytes(), train[i:j].tobytes(), dev[i:j].tobytes()))
+                            own = shorten(keys[i:j], b, buckets[g]) if g else keys[i:j]
+                            out.append((g, b, row["block"], row["kind"], squeeze(gaps(own)), squeeze(n[i:j])))
                     yield _batch(out, REQUESTS)
 
     return blocks.mapInArrow(requests, REQUESTS)
 
 
 def answer(requests: DataFrame) -> DataFrame:
-    """Sums each bucket's counts over all blocks and sends every block the totals of its keys."""
+    """Sums each bucket's counts over all blocks and sends every block the totals of its keys; the held-out ones only to blocks that they tune."""
 
     def totals(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("block").to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        table = table.sort_by("block")
+        blocks, kinds = table["block"].to_pylist(), table["kind"].to_pylist()
+        keys = [np.cumsum(expand(k), dtype=np.uint64) for k in table["keys"].to_pylist()]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]), len(every)).astype(np.int64) for c in ("train", "dev")]
-        distinct, start, out = int((sums[0] > 0).sum()), 0, []
-        for k, r in enumerate(rows):
-            own = at[start : start + len(keys[k])]
-            start += len(keys[k])
-            train, dev = (np.minimum(s[own], 2**32 - 1).astype(np.uint32) for s in sums)
-            out.append((r["block"], r["gram"], r["bucket"], train.tobytes(), dev.tobytes(), distinct if k == 0 else 0))
+        train, dev = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        start = 0
+        for k, kind, counts in zip(keys, kinds, table["counts"].to_pylist(), strict=True):
+            own = at[start : start + len(k)]
+            start += len(k)
+            if kind != HELD:
+                # Shortened keys of one block may be equal, so their counts are added up.
+                np.add.at(train, own, expand(counts).astype(np.int64))
+                if kind == DEV:
+                    np.add.at(dev, own, expand(counts).astype(np.int64))
+        distinct, start, out = int((train > 0).sum()), 0, []
+        gram, bucket = table["gram"][0].as_py(), table["bucket"][0].as_py()
+        for i, (k, block, kind) in enumerate(zip(keys, blocks, kinds, strict=True)):
+            own = at[start : start + len(k)]
+            start += len(k)
+            out.append((block, gram, bucket, squeeze(train[own]), squeeze(dev[own] if kind == DEV else np.zeros(0, np.int64)), distinct if i == 0 else 0))
         return pa.Table.from_batches([_batch(out, ANSWERS)])
 
     return requests.groupBy("gram", "bucket").applyInArrow(totals, ANSWERS)
 
 
 class Counts:
-    """Training and held-out counts of every token's n-grams and contexts in one block."""
+    """Training counts of every token's n-grams and contexts in one block, and with ``dev`` the held-out ones."""
 
-    def __init__(self, row: dict, answers: list[dict], order: int, n_docs: tuple[int, int]):
+    def __init__(self, row: dict, answers: list[dict], order: int, n_docs: tuple[int, int], dev: bool = False):
         grams = Grams(row, order)
         self.grams = grams
         self.train, self.dev = [], []
         for g in range(order):
             keys, at = np.unique(grams.keys[g], return_inverse=True)
             own = sorted((a for a in answers if a["gram"] == g), key=lambda a: a["bucket"])
-            for name, out in (("train", self.train), ("dev", self.dev)):
-                count = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(a[name], np.uint32) for a in own)])
+            for name, out in (("train", self.train), ("dev", self.dev))[: 1 + dev]:
+                count = np.concatenate([np.zeros(0, np.uint64), *(expand(a[name]) for a in own)])
                 if len(count) != len(keys):
                     raise RuntimeError("a block's answers do not cover its keys")
                 out.append(count[at].astype(np.float64))
@@ -230,7 +267,7 @@ def estimates(grams: list[np.ndarray], context: list[np.ndarray], n: float, v: f
 
 def ratios(row: dict, answers: list[dict], order: int, n_docs: tuple[int, int], n: tuple[int, int], v: int) -> pd.DataFrame:
     """The held-out tokens of a block as counts over (bucket, log ratio of each estimate to the uniform one), from counts without them."""
-    c = Counts(row, answers, order, n_docs)
+    c = Counts(row, answers, order, n_docs, dev=True)
     grams = [t - d for t, d in zip(c.train, c.dev, strict=True)]
     context = [t - d for t, d in zip(*c.context, strict=True)]
     p = estimates(grams, context, n[0] - n[1], v)
@@ -283,7 +320,7 @@ def score_block(row: dict, answers: list[dict], order: int, n_docs: tuple[int, i
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCORES.split(", ")])
 
 
-def score_documents(docs: DataFrame, order: int = 2, block_tokens: int = 1_000_000, bucket_keys: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2, block_tokens: int = 2_500_000, bucket_keys: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     blocks = materialize(build_blocks(docs, block_tokens), "lm-blocks")
     sums = blocks.groupBy("kind").agg(F.sum("n_tokens").alias("t"), F.sum(F.length("lengths") / 4).cast("long").alias("d")).collect()
