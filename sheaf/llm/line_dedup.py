@@ -1,17 +1,22 @@
-"""Line dedup: content-defined chunks of lines, the repeated ones removed after byte comparison.
-
-Each line is hashed; a rolling hash covers each line and the one before it. A chunk ends
-where the rolling hash is a local minimum, so borders depend on nearby lines only: lines
-added or lost elsewhere in a document shift no border, and no chunk but a document's last
-can be shorter than two lines. A chunk with two lines or more that are not blank is
-removed wherever it repeats, in any document; its first place, by doc_id and then by
-position, keeps it.
-
-Chunks are grouped by hash and by all their bytes. What is sent back to documents is the
-repeated chunks with their bytes, which are compared once more with the lines they would
-remove. Grouping combines before the shuffle, so a chunk that half of all documents share
+"""Line dedup: repeated passages of lines, removed after byte comparison.
+
+Units of a text that may be removed are
+  - every window of two lines that are not blank, with the blank lines between them,
+  - every line of 50 words or more,
+  - content-defined chunks: each line is hashed, a rolling hash covers each line and the
+    one before it, and a chunk ends where the rolling hash is a local minimum.
+A unit is removed wherever it repeats, in any document; its first place, by doc_id and then
+by position, keeps it, and so does a place in the same document that overlaps the first.
+What goes is the union of the lines covered, so a passage of two lines or more goes
+wherever its borders lie; chunks take the blank lines at its edges along. The first place
+of a line always stays.
+
+First only hashes of units are counted. Units whose hash repeats are then taken from their
+documents and grouped by hash and by all their bytes. What is sent back to documents is the
+repeated units with their bytes, which are compared once more with the lines they would
+remove. Grouping combines before the shuffle, so a unit that half of all documents share
 is one row from each task; the join back to its places is an inner join that adaptive
-execution splits by place. The largest group collected is the chunks of one document.
+execution splits by place. The largest group collected is the units of one document.
 
 All of it is DataFrame and SQL functions.
 
@@ -27,54 +32,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import SPACE_CHARS, let
+from sheaf.llm.common import SPACE_CHARS, let, materialize, words
 
 
-def chunks(text: Column, min_lines: int = 2) -> Column:
-    """The chunks that may be removed: struct(h, body, s, n, again), sorted by h, body and s.
+def units(text: Column, min_lines: int = 2, long_words: int = 50) -> Column:
+    """The units that may be removed: struct(h, s, n): hash, first line and lines. Chunks, windows and long lines in the same place are one."""
 
-    ``s``: first line; ``n``: lines; ``again``: an equal chunk comes before it in the text.
-    """
-    lines_of = F.split(text, "\n")
+    def code(s: Column, n: Column) -> Column:
+        return F.shiftleft(s.cast("long"), 32) + n
 
     def cut(x: Column) -> Column:
-        lines, rolled = x["lines"], x["rolled"]
+        lines, hashed, rolled, full = x["lines"], x["hashed"], x["rolled"], x["full"]
         last = F.size(lines) - 1
         inner = F.filter(F.sequence(F.lit(1), F.greatest(last - 2, F.lit(1))), lambda i: (i <= last - 2) & (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) < F.get(rolled, i + 1)))
 
-        def pieces(ends: Column) -> Column:
-            def piece(e: Column, j: Column) -> Column:
-                s = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-                own = F.slice(lines, s + 1, e - s + 1)
-                return let(F.struct(s.alias("s"), (e - s + 1).alias("n"), own.alias("own")), lambda c: F.struct(c["s"].alias("s"), c["n"].alias("n"), F.array_join(c["own"], "\n").alias("body"), F.size(F.filter(c["own"], lambda v: F.length(F.translate(v, SPACE_CHARS, "")) > 0)).alias("full")))
+        def chunks(ends: Column) -> Column:
+            starts = F.transform(ends, lambda e, j: F.struct(F.coalesce(F.get(ends, j - 1) + 1, F.lit(0)).alias("s"), e.alias("e")))
+            found = F.filter(starts, lambda c: F.size(F.filter(F.slice(full, c["s"] + 1, c["e"] - c["s"] + 1), lambda f: f)) >= min_lines)
+            return F.transform(found, lambda c: code(c["s"], c["e"] - c["s"] + 1))
 
-            found = F.filter(F.transform(ends, piece), lambda c: c["full"] >= min_lines)
-            return F.array_sort(F.transform(found, lambda c: F.struct(F.xxhash64(c["body"]).alias("h"), c["body"].alias("body"), c["s"].alias("s"), c["n"].alias("n"))))
+        def windows(at: Column) -> Column:
+            pairs = F.transform(at, lambda i, j: code(i, F.get(at, j + (min_lines - 1)) - i + 1))
+            long = F.filter(at, lambda i: (F.length(F.get(lines, i)) >= 2 * long_words - 1) & (F.size(words(F.get(lines, i))) >= long_words))
+            return F.concat(F.filter(pairs, lambda c: c.isNotNull()), F.transform(long, lambda i: code(i, F.lit(1))))
 
-        return let(F.concat(inner, F.array(last)), pieces)
+        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(full, i))
+        every = F.array_union(let(F.concat(inner, F.array(last)), chunks), let(at, windows))
+        own = F.transform(every, lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("s"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")))
+        return F.transform(own, lambda c: F.struct(F.xxhash64(F.slice(hashed, c["s"] + 1, c["n"])).alias("h"), c["s"].alias("s"), c["n"].alias("n")))
 
     def roll(lines: Column) -> Column:
         hashed = F.transform(lines, lambda v: F.xxhash64(v))
-        return let(hashed, lambda h: F.struct(lines.alias("lines"), F.transform(h, lambda v, i: F.xxhash64(F.get(h, i - 1), v)).alias("rolled")))
+        full = F.transform(lines, lambda v: F.length(F.translate(v, SPACE_CHARS, "")) > 0)
+        return let(hashed, lambda h: F.struct(lines.alias("lines"), h.alias("hashed"), F.transform(h, lambda v, i: F.xxhash64(F.get(h, i - 1), v)).alias("rolled"), full.alias("full")))
 
-    found = let(let(lines_of, roll), cut)
-    return let(found, lambda order: F.transform(order, lambda c, k: F.struct(c["h"].alias("h"), c["body"].alias("body"), c["s"].alias("s"), c["n"].alias("n"), F.coalesce(F.get(order, k - 1)["body"] == c["body"], F.lit(False)).alias("again"))))
+    return let(let(F.split(text, "\n"), roll), cut)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """``docs`` without the repeats of chunks, and ``n_lines_removed``."""
-    lowest = F.lit(-(2**63)).cast("long")
-    key = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    # Documents of fewer than two lines have no chunk.
-    found = key.where(F.contains("_text", F.lit("\n"))).select("_id", "_th", F.inline(chunks(F.col("_text"), min_lines)))
+def bodies(text: Column, found: Column, min_lines: int = 2) -> Column:
+    """``found`` with bytes: struct(h, body, s, n, again), sorted by h, body and s. ``again``: an equal unit comes before it in the text and ends before it."""
+    own = let(F.split(text, "\n"), lambda lines: F.array_sort(F.transform(found, lambda c: F.struct(c["h"].alias("h"), F.array_join(F.slice(lines, c["s"] + 1, c["n"]), "\n").alias("body"), c["s"].alias("s"), c["n"].alias("n")))))
 
-    repeated = found.groupBy("h", "body").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "body", "first")
-    places = found.select("_id", "_th", "h", "s", "n", "again", F.length("body").alias("size"))
-    hits = places.join(repeated, "h").where((F.col("size") == F.length("body")) & (F.col("again") | (F.col("_id") > F.col("first"))))
-    removed = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n", "body")).alias("_cut")).withColumnsRenamed({"_id": "_cid", "_th": "_cth"})
+    def again(order: Column, c: Column, k: Column) -> Column:
+        # Of equal windows, the one min_lines places before is the first that cannot overlap.
+        out = F.lit(False)
+        for step in range(1, min_lines + 1):
+            out = out | let(F.get(order, k - step), lambda p: F.coalesce((p["h"] == c["h"]) & (p["body"] == c["body"]) & (p["s"] + p["n"] <= c["s"]), F.lit(False)))
+        return out
+
+    return let(own, lambda order: F.transform(order, lambda c, k: F.struct(c["h"].alias("h"), c["body"].alias("body"), c["s"].alias("s"), c["n"].alias("n"), again(order, c, k).alias("again"))))
 
-    own = docs.select(*[docs[c] for c in docs.columns if c != "n_lines_removed"], F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.xxhash64(text_col).alias("_th"))
-    joined = own.join(removed, (F.col("_id") == F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int = 50) -> DataFrame:
+    """``docs`` without the repeats of units, and ``n_lines_removed``."""
+    lowest = F.lit(-(2**63)).cast("long")
+    columns = [c for c in docs.columns if c != "n_lines_removed"]
+    own = docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.xxhash64(text_col).alias("_th"))
+
+    # A text of one short line has no unit.
+    places = own.where(F.contains(text_col, F.lit("\n")) | (F.length(text_col) >= 2 * long_words - 1)).select("_id", "_th", F.inline(units(F.col(text_col), min_lines, long_words)))
+    likely = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    found = places.join(likely, "h").groupBy("_id", "_th").agg(F.collect_set(F.struct("h", "s", "n")).alias("_found")).withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
+    held = materialize(own.join(found, (F.col("_id") == F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left").drop("_fid", "_fth"), "line-units")
+    some = held.where("_found is not null")
+
+    equal = some.select("_id", "_th", F.inline(bodies(F.col(text_col), F.col("_found"), min_lines)))
+    repeated = equal.groupBy("h", "body").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "body", "first")
+    again = equal.select("_id", "_th", "h", "s", "n", "again", F.length("body").alias("size"))
+    hits = again.join(repeated, "h").where((F.col("size") == F.length("body")) & (F.col("again") | (F.col("_id") > F.col("first"))))
+    removed = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n", "body")).alias("_cut")).withColumnsRenamed({"_id": "_cid", "_th": "_cth"})
+    joined = some.join(removed, (F.col("_id") == F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
 
     def left(lines: Column) -> Column:
         same = F.filter("_cut", lambda c: F.array_join(F.slice(lines, c["s"] + 1, c["n"]), "\n") == c["body"])
@@ -84,5 +111,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     done = joined.withColumn("_left", F.when(F.col("_cut").isNotNull(), let(F.split(text_col, "\n"), left)))
     text = F.when(F.col("_cut").isNotNull(), F.col("_left.text")).otherwise(F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "n_lines_removed"]
-    return done.select(*out, F.coalesce("_left.n", F.lit(0)).cast("long").alias("n_lines_removed"))
+    changed = done.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.coalesce("_left.n", F.lit(0)).cast("long").alias("n_lines_removed"))
+    return changed.unionByName(held.where("_found is null").select(*columns, F.lit(0).cast("long").alias("n_lines_removed")))

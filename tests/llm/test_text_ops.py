@@ -70,6 +70,32 @@ def test_line_dedup_odd(spark):
     assert dedup_lines(docs(spark, []).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("blank", [False, True])
+def test_line_dedup_finds_short_passages_between_unrelated_lines(spark, blank):
+    rng = random.Random(11)
+    line = lambda n=8: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        size = k % 6 + 1
+        passage = [line(50)] if size == 1 else [line() for _ in range(size)]
+        if blank and size > 1:
+            passage.insert(1, "")
+        for copy in range(2):
+            before, after = [line() for _ in range(rng.randint(1, 4))], [line() for _ in range(rng.randint(1, 4))]
+            rows.append((2 * k + copy, "\n".join(before + passage + after)))
+            want[2 * k + copy] = (rows[-1][1], 0) if copy == 0 else ("\n".join(before + after), len(passage))
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_line_dedup_within_a_text(spark):
+    rows = [(1, "\n".join(["r s"] * 5)), (2, "u v\nw x\ny z\nu v\nw x"), (3, "k l\nm n"), (4, "q\nk l\nm o"), (5, "x y " * 24 + "z"), (6, "x y " * 24 + "z"), (7, "v w " * 25), (8, "v w " * 25)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got[1] == "r s\nr s" and got[2] == "u v\nw x\ny z"  # the first place keeps both of its lines
+    assert all(got[i] == t for i, t in rows if i in (3, 4, 5, 6, 7))  # one short line, a line of 49 words
+    assert got[8] == ""
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(5, 30), rng.choice(["a"] * 6 + ["b", "c"]), rng.choice(["x", "y"])) for i in range(4000)] + [(-1, None, None, None), (None, "a b", "a", "x"), (-2, "", "a", "x")]
