@@ -8,15 +8,20 @@ are ranked by their exact inner products.
 
 Vectors of different lengths are taken into account by one more coordinate, which makes
 all candidates equally long (queries have 0 there), so that the largest inner product is
-the smallest angle. For vectors of one length it is left out.
+the smallest angle. The candidates of a band of lengths (a factor of 1.3; at most 8 bands,
+the last one holds all that is shorter) are made as long as the longest of the band, which
+has buckets of its own, and queries look into all bands. For a band of one length the
+coordinate is 0.
 
-How it runs. A count of the codes (tables x codes rows) tells which buckets are large:
+How it runs. A count of the codes (bands x tables x codes rows) tells which buckets are large:
 those are dealt out over several salts, so a task compares at most ``bucket_rows``
 candidates with ``query_rows`` queries, however common a vector is. Vectors travel packed
 by bucket. A task keeps each query's best k, ties by id; a second exchange by
-query merges them. Nothing is broadcast. The number of probes falls with the number of
-vectors, for the nearest 20 of more vectors are nearer. Queries that found fewer than k
-are answered again over all buckets of one table, which is exact.
+query merges them. Nothing is broadcast. The number of probes is measured: up to 200
+queries are compared with all vectors, the probe that reaches each of their true
+neighbours is computed, and the fewest probes are taken whose recall, less two standard
+errors, is 0.92. Queries that found fewer than k are answered again over all buckets of
+one table, which is exact.
 
 Nulls: vectors that are null or zero, hold nulls or non-finite components, or have
 another dimension than most, and rows without an id take no part. Rows with the query's
@@ -39,6 +44,9 @@ from sheaf.llm.common import materialize
 PACKED = "bucket int, salt int, part int, query boolean, ids binary, vectors binary"
 FOUND = "slot int, query_id long, ids binary, scores binary"
 RESULT = "query_id long, rank int, vec_id long, score double"
+TRUE = "slot int, places binary, ids binary, scores binary, probes binary"
+#: Largest by smallest length of a band, and bands at most.
+BAND, BANDS = 1.3, 8
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,45 +60,59 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Codes of vectors in every table. ``longest``: the largest length, or 0 for vectors of one length."""
+    """Buckets of vectors in every band of lengths and table. ``longest``: the largest length of each band, or 0 for bands of one length; ``top``: the largest of all."""
 
-    def __init__(self, dim: int, tables: int, longest: float, seed: int = 17):
-        self.dim, self.tables, self.longest = dim, tables, longest
-        self.size = 1 << max(1, (dim + (longest > 0) - 1).bit_length())
+    def __init__(self, dim: int, tables: int, longest: tuple[float, ...] = (0.0,), top: float = 0.0, seed: int = 17):
+        self.dim, self.tables, self.longest, self.top = dim, tables, np.array(longest), top
+        self.size = 1 << max(1, (dim + bool(self.longest.any()) - 1).bit_length())
+        self.codes = 2 * self.size
+        self.buckets = len(self.longest) * tables * self.codes
         signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.size))
         self.signs = signs
 
-    def _wide(self, x: np.ndarray, query: bool) -> np.ndarray:
-        out = np.zeros((len(x), self.size))
-        out[:, : self.dim] = x
-        if self.longest and not query:
-            out[:, self.dim] = np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1), 0))
-        return out
-
-    def rotate(self, x: np.ndarray, table: int) -> np.ndarray:
-        for s in self.signs[table]:
-            x = hadamard(x * s)
-        return x
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """One code for each vector and table: 2 * axis, and 1 more for the negative side."""
-        wide, out = self._wide(x, False), np.empty((len(x), self.tables), np.int64)
-        for t in range(self.tables):
-            y = self.rotate(wide, t)
+    def _rotated(self, x: np.ndarray, lift: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        wide = np.zeros((len(x), self.size))
+        wide[:, : self.dim] = x
+        if lift is not None and self.longest.any():
+            wide[:, self.dim] = lift
+        for signs in self.signs:
+            y = wide
+            for s in signs:
+                y = hadamard(y * s)
+            yield y
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band, and one code for each table, of each vector. Codes: 2 * axis, and 1 more for the negative side."""
+        squares, out = (x**2).sum(1), np.empty((len(x), self.tables), np.int64)
+        band = np.zeros(len(x), np.int64)
+        if len(self.longest) > 1:
+            band = np.clip(np.floor(np.log(self.top / np.sqrt(squares)) / math.log(BAND)), 0, len(self.longest) - 1).astype(np.int64)
+        lift = np.sqrt(np.maximum(self.longest[band] ** 2 - squares, 0))
+        for t, y in enumerate(self._rotated(x, lift)):
             axis = np.abs(y).argmax(1)
             out[:, t] = 2 * axis + (y[np.arange(len(y)), axis] < 0)
-        return out
+        return band, out
 
-    def probes(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` nearest signed axes of each query in each table."""
-        wide, out = self._wide(x, True), np.empty((len(x), self.tables, count), np.int64)
-        for t in range(self.tables):
-            y = self.rotate(wide, t)
-            both = np.empty((len(y), 2 * self.size))
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """The codes of each table, nearest signed axis first, for each query."""
+        out = np.empty((len(x), self.tables, self.codes), np.int64)
+        for t, y in enumerate(self._rotated(x)):
+            both = np.empty((len(y), self.codes))
             both[:, 0::2], both[:, 1::2] = y, -y
-            out[:, t] = np.argsort(-both, 1, kind="stable")[:, :count]
+            out[:, t] = np.argsort(-both, 1, kind="stable")
         return out
 
+    def stored(self, x: np.ndarray) -> np.ndarray:
+        """The buckets that hold each vector, one for each table."""
+        band, codes = self.of(x)
+        return (band[:, None] * self.tables + np.arange(self.tables)) * self.codes + codes
+
+    def probed(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The buckets of the ``count`` nearest signed axes of each query in each band and table."""
+        codes = self.order(x)[:, None, :, :count]
+        first = np.arange(len(self.longest) * self.tables).reshape(1, -1, self.tables, 1) * self.codes
+        return (first + codes).reshape(len(x), -1)
+
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: largest score, then smallest id."""
@@ -127,29 +149,94 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return (own.where(F.size("vec") == dims["d"]), dims["d"]) if dims else (own, 0)
 
 
-def probe_count(n: int, k: int, codes: int) -> int:
-    """Probes in each table for ``n`` vectors: all codes for few vectors, fewer of them for more."""
-    return codes if n <= 20 * k else max(2, min(codes, math.ceil(48 * n**-0.18 * codes / 128)))
+def _bands(index: DataFrame, norm, short: float, long: float) -> tuple[float, ...]:
+    """The largest length in each band, 0 where all lengths are alike."""
+    if short > 0.999 * long:
+        return (0.0,)
+    count = min(BANDS, int(math.log(long / short) / math.log(BAND)) + 1)
+    own = F.greatest(F.lit(0), F.least(F.lit(count - 1), F.floor(F.log(F.lit(long) / norm) / math.log(BAND)))).alias("band")
+    out = [0.0] * count
+    for r in index.groupBy(own).agg(F.min(norm).alias("short"), F.max(norm).alias("long")).collect():
+        out[int(r["band"])] = 0.0 if r["short"] > 0.999 * r["long"] else r["long"]
+    return tuple(out)
+
+
+def true_probes(index: DataFrame, queries: DataFrame, hasher: Hasher, k: int, most: int = 200) -> np.ndarray:
+    """For up to ``most`` queries and each of their true k nearest: how many probes find it. The queries are those with the least hashes of id."""
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").collect()
+    if not sample:
+        return np.zeros((0, k), np.int64)
+    qid, q = np.array([r["id"] for r in sample], np.int64), np.array([r["vec"] for r in sample], np.float64)
+    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def join(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        ids, scores, probes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = best(ids, scores, len(ids))
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+        return ids[order], scores[order], probes[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.argsort(hasher.order(q), 2)
+        found = [none] * len(q)
+        for batch in batches:
+            ids, x = _vectors(batch, hasher.dim)
+            if not len(ids):
+                continue
+            scores = q @ x.T
+            scores[qid[:, None] == ids[None, :]] = -np.inf
+            kth = np.partition(scores, len(ids) - min(k, len(ids)), 1)[:, len(ids) - min(k, len(ids))]
+            near = [np.flatnonzero((row >= (max(b, f[1][-1]) if len(f[1]) == k else b)) & (row > -np.inf)) for row, b, f in zip(scores, kth, found, strict=True)]
+            use = np.unique(np.concatenate(near))
+            codes = np.zeros((len(ids), hasher.tables), np.int64)
+            if len(use):
+                codes[use] = hasher.of(x[use])[1]
+            for i, c in enumerate(near):
+                if len(c):
+                    probes = rank[i][np.arange(hasher.tables), codes[c]].min(1) + 1
+                    found[i] = join([found[i], (ids[c].astype(np.int64), scores[i, c], probes)])
+        for at in range(0, len(q), 25):
+            own = range(at, min(at + 25, len(q)))
+            data = [np.repeat(np.array(own, np.int64), [len(found[i][0]) for i in own])] + [np.concatenate([found[i][c] for i in own]) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([at // 25], pa.int32()), *(pa.array([d.tobytes()], pa.binary()) for d in data)], names=[f.split()[0] for f in TRUE.split(", ")])
+
+    def merged(table: pa.Table) -> pa.Table:
+        place, ids, scores, probes = (np.frombuffer(b"".join(table[c].to_pylist()), d) for c, d in (("places", np.int64), ("ids", np.int64), ("scores", np.float64), ("probes", np.int64)))
+        out = [join([(ids[at], scores[at], probes[at])])[2].tobytes() for i in np.unique(place) for at in [np.flatnonzero(place == i)]]
+        return pa.table({"probes": pa.array(out, pa.binary())})
+
+    rows = index.mapInArrow(run, TRUE).groupBy("slot").applyInArrow(merged, "probes binary").collect()
+    return np.array([v for r in rows if len(v := np.frombuffer(r["probes"], np.int64)) == k])
+
+
+def probe_count(needed: np.ndarray, codes: int, recall: float = 0.92) -> int:
+    """The fewest probes whose recall on the sampled queries, less two standard errors, is at least ``recall``."""
+    if len(needed) < 2:
+        return codes
+    for count in range(1, codes):
+        hit = (needed <= count).mean(1)
+        if hit.mean() - 2 * hit.std(ddof=1) / math.sqrt(len(hit)) >= recall:
+            return count
+    return codes
 
 
 def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k: int, bucket_rows: int, query_rows: int) -> DataFrame:
-    dim, codes = hasher.dim, 2 * hasher.size
+    dim = hasher.dim
 
     def count(queries_too: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(hasher.tables * codes, np.int64)
+            total = np.zeros(hasher.buckets, np.int64)
             for batch in batches:
                 _, x = _vectors(batch, dim)
-                c = hasher.probes(x, probes) if queries_too else hasher.codes(x)[:, :, None]
-                total += np.bincount((c + (np.arange(hasher.tables) * codes)[None, :, None]).ravel(), minlength=len(total))
+                c = hasher.probed(x, probes) if queries_too else hasher.stored(x)
+                total += np.bincount(c.ravel(), minlength=len(total))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
         return run
 
     def sizes(df: DataFrame, queries_too: bool, most: int) -> np.ndarray:
-        """Into how many parts each bucket is dealt; the table has tables x codes rows."""
-        out = np.zeros(hasher.tables * codes, np.int64)
+        """Into how many parts each bucket is dealt; the table has bands x tables x codes rows."""
+        out = np.zeros(hasher.buckets, np.int64)
         for r in df.mapInArrow(count(queries_too), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
             out[r["bucket"]] = math.ceil(r["n"] / most)
         return out
@@ -160,8 +247,7 @@ def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, x = _vectors(batch, dim)
-                c = hasher.probes(x, probes) if query else hasher.codes(x)[:, :, None]
-                bucket = (c + (np.arange(hasher.tables) * codes)[None, :, None]).reshape(len(ids), c.shape[1] * c.shape[2])
+                bucket = hasher.probed(x, probes) if query else hasher.stored(x)
                 row = np.repeat(np.arange(len(ids)), bucket.shape[1])
                 bucket = bucket.ravel()
                 mine, other = (parts, salts) if query else (salts, parts)
@@ -230,14 +316,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         return vectors.sparkSession.createDataFrame([], RESULT)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     stat = index.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min(norm).alias("short"), F.max(norm).alias("long")).first()
-    hasher = Hasher(dim, tables, 0.0 if stat["short"] > 0.999 * stat["long"] else stat["long"])
+    hasher = Hasher(dim, tables, _bands(index, norm, stat["short"], stat["long"]), stat["long"])
     queries = index.where(is_query)
-    found = materialize(_search(index, queries, hasher, probes or probe_count(stat["n"], k, 2 * hasher.size), k, bucket_rows, query_rows), "neighbours")
+    if not probes:
+        probes = hasher.codes if stat["n"] <= 20 * k else probe_count(true_probes(index, queries, hasher, k), hasher.codes)
+    found = materialize(_search(index, queries, hasher, probes, k, bucket_rows, query_rows), "neighbours")
     full = min(k, stat["ids"] - 1)
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= full).select(F.col("query_id").alias("id"))
     few = materialize(queries.join(enough, "id", "left_anti"), "few-found")
     if full <= 0 or few.isEmpty():
         return found
-    whole = Hasher(dim, 1, hasher.longest)
-    again = _search(index, few, whole, 2 * whole.size, k, bucket_rows, query_rows)
+    whole = Hasher(dim, 1)
+    again = _search(index, few, whole, whole.codes, k, bucket_rows, query_rows)
     return found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)

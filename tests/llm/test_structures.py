@@ -135,6 +135,27 @@ def test_neighbours_recall_and_odd(spark):
     assert hit / (20 * len(by)) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["lognormal", "one long"])
+def test_neighbours_recall_for_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if lengths == "lognormal":
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+    else:
+        x[7] *= 5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(rows, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (20 * len(got)) >= 0.9
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 21])
 def test_few_vectors_give_all(spark, n):
     rows = [(20 * i, [float(i + 1), 1.0]) for i in range(n)]
