@@ -19,7 +19,7 @@ hot; buckets are cut so that each holds about ``bucket_keys`` keys. EM sees the
 tokens as a table of counts over (bucket, log ratios of the estimates): responsibilities
 depend on ratios alone, so the table has a bounded number of rows, and all tokens count.
 
-Words are told apart by 64-bit hashes (xxh3), n-grams by 40 bits within their bucket. Tokens are the words of the text with A-Z
+Words are told apart by 64-bit hashes (xxh3), n-grams by 64-bit keys of these. Tokens are the words of the text with A-Z
 lower-cased, then one end token. A document's first token has the start as its context,
 which occurs once in every training document.
 
@@ -170,14 +170,13 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def shorten(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """The first 40 bits of each key's place in its bucket: of two million n-grams in one bucket, two in a million share them with another."""
-    size = 2**64 // buckets
-    return (keys - np.uint64(bucket * 2**64 // buckets)) >> np.uint64(max(0, size.bit_length() - 41))
+def place(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Each key's place in its bucket, all bits of it."""
+    return keys - np.uint64(bucket * 2**64 // buckets)
 
 
 def ask(blocks: DataFrame, order: int, buckets: list[int]) -> DataFrame:
-    """Sends each bucket the distinct keys of every block with their counts. Single words keep whole keys: V and N are exact."""
+    """Sends each bucket the distinct keys of every block with their counts."""
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +190,7 @@ def ask(blocks: DataFrame, order: int, buckets: list[int]) -> DataFrame:
                     for b in range(buckets[g]):
                         i, j = cut[b], cut[b + 1]
                         if i < j:
-                            own = shorten(keys[i:j], b, buckets[g]) if g else keys[i:j]
-                            out.append((g, b, row["block"], row["kind"], squeeze(gaps(own)), squeeze(n[i:j])))
+                            out.append((g, b, row["block"], row["kind"], squeeze(gaps(place(keys[i:j], b, buckets[g]))), squeeze(n[i:j])))
                     yield _batch(out, REQUESTS)
 
     return blocks.mapInArrow(requests, REQUESTS)
@@ -212,10 +210,9 @@ def answer(requests: DataFrame) -> DataFrame:
             own = at[start : start + len(k)]
             start += len(k)
             if kind != HELD:
-                # Shortened keys of one block may be equal, so their counts are added up.
-                np.add.at(train, own, expand(counts).astype(np.int64))
+                train[own] += expand(counts).astype(np.int64)
                 if kind == DEV:
-                    np.add.at(dev, own, expand(counts).astype(np.int64))
+                    dev[own] += expand(counts).astype(np.int64)
         distinct, start, out = int((train > 0).sum()), 0, []
         gram, bucket = table["gram"][0].as_py(), table["bucket"][0].as_py()
         for i, (k, block, kind) in enumerate(zip(keys, blocks, kinds, strict=True)):

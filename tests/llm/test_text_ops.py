@@ -152,6 +152,22 @@ def test_lm_base_counts_and_probabilities(spark):
     assert LM.score_documents(docs(spark, []).where("false")).count() == 0
 
 
+def test_lm_counts_keep_bigrams_with_near_keys_apart(spark):
+    import xxhash
+
+    vocab = [f"v{i}" for i in range(3000)]
+    key = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in vocab], np.uint64)
+    pairs = LM.mix64(np.repeat(key, len(key)), np.tile(key, len(key)))
+    order = np.argsort(pairs)
+    same = np.flatnonzero(np.diff(pairs[order] >> np.uint64(24)) == 0)
+    assert len(same)  # bigrams whose keys have their first 40 bits in common
+    texts = [f"{vocab[i // len(vocab)]} {vocab[i % len(vocab)]}" for at in same for i in order[at : at + 2].tolist()]
+    ids = [d for d in range(1000) if LM.split_of(d) == LM.TRAIN][: len(texts)]
+    answers = LM.answer(LM.ask(LM.build_blocks(docs(spark, list(zip(ids, texts, strict=True))), 10**6), 2, [1, 1])).where("gram = 1").collect()
+    seen = {b for t in texts for w in [[None, *t.split(), ""]] for b in zip(w, w[1:])}
+    assert sum(r.n_distinct for r in answers) == len(seen)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores_match_plain_deleted_interpolation(spark, order):
     """Scores from plain dictionaries with the weights that EM finds on the same table of ratios."""
