@@ -57,7 +57,16 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_folder(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_folder = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes stage tables that no later step reads."""
+    for t in tables:
+        if (path := getattr(t, "_stage_folder", None)) is not None:
+            drop_folder(t.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

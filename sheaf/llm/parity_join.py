@@ -6,33 +6,40 @@ in one set and not in the other changes one word at most, so the number of words
 two sketches differ (their Hamming distance, in words) is a lower bound of the symmetric
 difference. Sets with a Jaccard similarity of 0.8 or more differ in at most a ninth of
 both sizes together. Sets are put into bands of sizes; in each band the number of blocks
-exceeds the largest difference allowed by so much that any two sets that link agree in
-two words at least that are not empty (pigeonhole). Documents that share a word are
-candidates, and candidates are verified on their whole texts. Sets of fewer than 24 shingles
-would have one shingle to a block: they share shingles themselves, of which two among
-the smallest few hashes must agree.
-
-Exact copies (equal sets) are one class from the start. For the rest, verification goes
+exceeds the largest difference allowed, so that a set knows how many of its words, t, any
+set that links with it must share (pigeonhole): two at least. Of its words that others have, a set
+leaves out the t - 1 that most others have: a linking pair still meets at the rarest word that they
+share. So a word that countless texts share by a common passage makes no candidates
+by itself. Sets of fewer than 24 shingles would have one shingle to a block: their words are the
+smallest few of their shingles, of which two must agree, and the same holds. Sets that
+still share a word are candidates, and candidates are verified on their whole sets.
+
+Exact copies (equal sets) are one class from the start, told apart by two 64-bit hashes:
+sets that agree in the first and not in the second get ids of their own. For the rest, verification goes
 in two rounds, as only components are wanted. First each class is compared with one
 pivot, that member of its groups which shares most of its words: of a family of edited copies
 the least edited, with which all others that belong to it link. Links join components. Then,
 of the groups that still hold several components, a class's own shingles are counted,
 those that no other class in such groups has. What two classes have in common is at most
-what is not their own, which with their sizes bounds the similarity. Pairs of different components
-that this allows are compared by bit sketches, to which each shingle adds one bit by XOR: their
-Hamming distance is a lower bound of the symmetric difference, too. What it allows is
-verified. Copies edited beyond the limit are many in a large family, but make no pairs.
+what is not their own, which with their sizes bounds the similarity; a class that no other
+of its group can reach by this bound drops out. Pairs of different components
+that are left are compared by bit sketches, to which each shingle adds one bit by XOR (a bit or
+more for each shingle): their Hamming distance is a lower bound of the symmetric difference, too. What
+it allows is verified. Copies edited beyond the limit are many in a large family, but make no pairs.
 
 How it runs. Sketch words travel packed, sorted by key, to one of many ranges of the key
 space; a task finds the keys that occur twice. Groups are rows from there on; joins on
-them are inner joins that adaptive execution can split. Only texts of candidates move. No group
-is collected into one row, and no pairs are made within a component.
+them are inner joins that adaptive execution can split. Texts move once, and of candidates their sets. No group
+is collected into one row, no pairs are made within a component, and a group of more than
+``block_rows`` classes is dealt out to many tasks, each for one pair of its parts.
 
 Nulls: null or empty texts, and texts without words, have the empty set and link with
 nothing, so they are components of their own. Texts of fewer than five words are one
-shingle. Repeated rows (same doc_id) come out once for each row, with equal components. A
-null doc_id gets the smallest id of its component, or null. An empty table gives an empty
-result. Only doc_id and text are read.
+shingle. Texts of any length are taken whole, one at a time where long. Repeated rows (same doc_id) come
+out once for each row, with equal components; rows of one doc_id with different texts are
+documents of their own. A null doc_id gets the smallest id of its component, or null. Ties between groups of
+the same size go by key. An empty table gives an empty result. Only doc_id and text are read, so other
+columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -42,70 +49,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialize
+from sheaf.llm.common import materialize, release
+from sheaf.llm.shingles import U, bounds, mix, pieces, set_ids, shingle_sets, spans
 
-SHINGLE = 5
 SMALL = 24
-#: 64-bit words of a bit sketch.
+#: 64-bit words of the smallest bit sketch; a power of two, as larger ones are folded to it.
 SKETCH = 64
-U = np.uint64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
-class Shingler:
-    """Shingle hashes of texts; keeps the hashes of words it has met, up to a bound."""
-
-    def __init__(self, limit: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The distinct shingle hashes, ascending."""
-        import xxhash
-
-        if not text:
-            return np.zeros(0, U)
-        # On bytes, lower() knows A-Z only and split() the six ASCII spaces: the words of the contract.
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, U)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        found = list(map(known.get, words))
-        if None in found:
-            for i, h in enumerate(found):
-                if h is None:
-                    found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        h = np.array(found, U)
-        k = min(SHINGLE, len(h))
-        with np.errstate(over="ignore"):
-            out = h[: len(h) - k + 1].copy()
-            for i in range(1, k):
-                out = mix(out * U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-            return np.unique(mix(out + U(k)))
+#: Words of a sketch that are compared before the others.
+FIRST = 8
+#: A class in one band: its words to leave out, and the band (that of small sets is -1).
+ENTRY = np.dtype([("cls", "<i8"), ("drop", "<i4"), ("band", "<i4")])
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit hash of the whole set."""
-    with np.errstate(over="ignore"):
-        total = mix(shingles ^ U(0x9E3779B97F4A7C15)).sum(dtype=U) + U(len(shingles)) * U(0xD6E8FEB86659FD93)
-        return int(mix(np.array([total], U)).view(np.int64)[0])
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH words or, for large sets, as many more as give each shingle a bit; each shingle flips one of their bits."""
+    bits = 64 * SKETCH
+    while bits < len(shingles):
+        bits *= 2
+    flips = np.bincount((mix(shingles ^ U(0xA0761D6478BD642F)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH words; each shingle flips one of their bits."""
-    bits = np.bincount((mix(shingles ^ U(0xA0761D6478BD642F)) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch as if made with so many words: its halves laid over each other."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -117,153 +89,239 @@ class Bands:
     """Bands of sizes l..r with r = 1.25 l; the number of blocks and the largest difference of each."""
 
     def __init__(self, most: int = 1 << 40):
-        self.right, self.blocks, self.differ = [], [], []
+        right, blocks, differ = [], [], []
         left = SMALL
         while left <= most:
             r = left * 5 // 4
             d = r // 4  # a ninth of r and 1.25 r together
-            self.right.append(r)
-            self.differ.append(d)
-            self.blocks.append(math.ceil(1.1 * (d + 1)) + 4)
+            right.append(r)
+            differ.append(d)
+            blocks.append(math.ceil(1.1 * (d + 1)) + 4)
             left = r + 1
+        self.right, self.blocks, self.differ = (np.array(x, np.int64) for x in (right, blocks, differ))
+
+    def two(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The band of each size, and whether sets of this size also meet those of the band before."""
+        band = np.searchsorted(self.right, n)
+        return band, (band > 0) & (n <= self.right[np.maximum(band, 1) - 1] * 5 // 4)
 
     def of(self, n: int) -> list[int]:
         """The bands in which a set of n shingles meets those that it may link with: its own, and that of smaller ones."""
-        band = int(np.searchsorted(self.right, n))
-        return [band] if not band or n > self.right[band - 1] * 5 // 4 else [band - 1, band]
+        band, also = self.two(np.array([n]))
+        return [int(band[0]) - 1, int(band[0])] if also[0] else [int(band[0])]
+
+
+def signatures(flat: np.ndarray, start: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketch words of many sets as keys, for each key the place of its entry, and the entries (with places of sets for classes)."""
+    n = np.diff(start)
+    keys, entry, entries, count = [], [], [], 0
+
+    def add(key: np.ndarray, owner: np.ndarray, sets: np.ndarray, drop: np.ndarray, band: np.ndarray) -> None:
+        nonlocal count
+        keys.append(key)
+        entry.append(owner + count)
+        e = np.zeros(len(sets), ENTRY)
+        e["cls"], e["drop"], e["band"] = sets, drop, band
+        entries.append(e)
+        count += len(sets)
+
+    small = np.flatnonzero((n > 0) & (n < SMALL * 5 // 4))
+    if len(small):
+        # Of a linking pair's common shingles, the two with the smallest hashes are among the first of both.
+        size = np.minimum(n[small], n[small] - (4 * n[small] + 4) // 5 + 2)
+        add(mix(flat[spans(start[small], size)] ^ U(0x5851F42D4C957F2D)), np.repeat(np.arange(len(small)), size), small, np.ones(len(small), np.int32), np.full(len(small), -1, np.int32))
+    large = np.flatnonzero(n >= SMALL)
+    band, also = bands.two(n[large])
+    for sets, b in ((large, band), (large[also], band[also] - 1)):
+        if not len(sets):
+            continue
+        blocks, size = bands.blocks[b], n[sets]
+        first, row = np.cumsum(blocks) - blocks, np.repeat(np.arange(len(sets)), size)
+        s = flat[spans(start[sets], size)]
+        # Blocks are equal ranges of the hash space, so ascending hashes fall into them in order.
+        slot = first[row] + (((s >> U(32)) * blocks[row].astype(U)) >> U(32)).astype(np.int64)
+        edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        word = np.zeros(int(blocks.sum()), U)
+        word[slot[edge]] = np.bitwise_xor.reduceat(s, edge)
+        used = np.zeros(len(word), bool)
+        used[slot[edge]] = True
+        filled = np.add.reduceat(used.astype(np.int64), first)
+        # With so many empty blocks that two sets might agree in these alone, they are words too; two at least agree.
+        lean = filled < bands.differ[b] + 2
+        owner = np.repeat(np.arange(len(sets)), blocks)
+        block = np.arange(len(word)) - first[owner]
+        use = used | lean[owner]
+        with np.errstate(over="ignore"):
+            key = mix(word[use] + mix(block[use].astype(U) * U(0x9E3779B97F4A7C15) + (2 * b[owner[use]] + 1).astype(U)))
+        add(key, owner[use], sets, np.where(lean, 1, filled - bands.differ[b] - 1), b)
+    if not keys:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, ENTRY)
+    return np.concatenate(keys), np.concatenate(entry), np.concatenate(entries)
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys by which a set meets others."""
-    n, out = len(s), []
-    if n < SMALL * 5 // 4:
-        # Of a linking pair's common shingles, the two with the smallest hashes are among the first of both.
-        out.append(mix(s[: n - math.ceil(0.8 * n - 1e-9) + 2] ^ U(0x5851F42D4C957F2D)))
-    if n >= SMALL:
-        for band in bands.of(n):
-            blocks = bands.blocks[band]
-            at = (mix(s + U(band)) % U(blocks)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            word, block = np.bitwise_xor.reduceat(s[order], edge), at[edge].astype(U)
-            if blocks - len(edge) > blocks - bands.differ[band] - 2:
-                # So many empty blocks that two sets might agree in these alone: they are keys too.
-                empty = np.setdiff1d(np.arange(blocks, dtype=U), block)
-                word, block = np.r_[word, np.zeros(len(empty), U)], np.r_[block, empty]
-            with np.errstate(over="ignore"):
-                out.append(mix(word + mix(block * U(0x9E3779B97F4A7C15) + U(band * 2 + 1))))
-    return np.concatenate(out) if out else np.zeros(0, U)
-
-
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text, tells rows with one id apart), n_shingles and class of every row."""
+def other_id(cls: np.ndarray, check: np.ndarray) -> np.ndarray:
+    return mix(cls.view(U) ^ mix(check.view(U))).view(np.int64)
+
+
+def renamed(cls: np.ndarray, check: np.ndarray, taken: dict[int, int]) -> np.ndarray:
+    """Class ids; of those that different sets have (``taken``: whose check keeps the id) the others get another."""
+    if not taken:
+        return cls
+    move = np.array([taken.get(c, h) != h for c, h in zip(cls.tolist(), check.tolist(), strict=True)], bool)
+    return np.where(move, other_id(cls, check), cls)
+
+
+def identify(flat: np.ndarray, start: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    cls, check = set_ids(flat, start)
+    return cls >> np.int64(64 - bits), check
+
+
+def sets_of(docs: DataFrame, bits: int) -> DataFrame:
+    """doc_id, th (hash of the text, tells rows with one id apart), n_shingles, class, its check and the id to take if another set has the class, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
-            sets = [shingler(t) for t in batch.column("text").to_pylist()]
-            n, cls = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), n, cls], names=["doc_id", "th", "n_shingles", "cls"])
+            for part in pieces(batch):
+                flat, start = shingle_sets(part.column("text"))
+                cls, check = identify(flat, start, bits)
+                n = np.diff(start)
+                ids = [pa.array(x, mask=n == 0) for x in (cls, check, other_id(cls, check))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n), *ids], names=["doc_id", "th", "n_shingles", "cls", "check", "other"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    return own.mapInArrow(run, "doc_id long, th long, n_shingles long, cls long")
+    return own.mapInArrow(run, "doc_id long, th long, n_shingles long, cls long, check long, other long")
 
 
-def groups_of(docs: DataFrame, buckets: int, flush: int = 1_000_000) -> DataFrame:
-    """(gid, cls) for every key that two classes or more share."""
-    edges = [i * 2**64 // buckets for i in range(1, buckets)]
+def groups_of(docs: DataFrame, buckets: int, bits: int, taken: dict[int, int], flush: int = 1_000_000) -> DataFrame:
+    """(gid, cls, band, drop, size) for every key that two classes or more share; size: how many."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands, seen = Shingler(), Bands(), set()
-        keys: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
-        held = 0
+        bands, seen = Bands(), set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def packed() -> pa.RecordBatch:
-            k, c = np.concatenate(keys), np.concatenate(classes)
-            order = np.argsort(k)
-            k, c = k[order], c[order]
-            cut = np.concatenate([[0], np.searchsorted(k, np.array(edges, U)), [len(k)]])
-            rows = [(b, k[i:j].tobytes(), c[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "classes"])
+            shift = bounds(np.array([len(e) for _, _, e in held]))
+            keys, entries = np.concatenate([k for k, _, _ in held]), np.concatenate([e for _, _, e in held])
+            owner = np.concatenate([o + s for (_, o, _), s in zip(held, shift[:-1], strict=True)])
+            order = np.argsort(keys)
+            keys, owner = keys[order], owner[order]
+            bucket = (((keys >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            rows = []
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
+                use, at = np.unique(owner[i:j], return_inverse=True)
+                rows.append((int(bucket[i]), keys[i:j].tobytes(), at.astype("<u2" if len(use) <= 65536 else "<u4").tobytes(), entries[use].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "owners", "entries"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s = shingler(text)
-                cls = class_of(s) if len(s) else None
-                if cls is None or cls in seen:
-                    continue
-                seen.add(cls)
-                k = signatures(s, bands)
-                keys.append(k)
-                classes.append(np.full(len(k), cls, np.int64))
-                held += len(k)
-                if held > flush:
+            for part in pieces(batch):
+                flat, start = shingle_sets(part.column("text"))
+                cls = renamed(*identify(flat, start, bits), taken)
+                n = np.diff(start)
+                new = np.zeros(len(n), bool)
+                new[np.unique(cls, return_index=True)[1]] = True
+                new &= (n > 0) & np.array([c not in seen for c in cls.tolist()], bool)
+                seen.update(cls[new].tolist())
+                if len(seen) > 200_000:
+                    seen.clear()
+                flat = flat[spans(start[:-1][new], n[new])]
+                keys, owner, entries = signatures(flat, bounds(n[new]), bands)
+                entries["cls"] = cls[new][entries["cls"]]
+                held.append((keys, owner, entries))
+                if sum(len(k) for k, _, _ in held) > flush:
                     yield packed()
-                    keys, classes, held = [], [], 0
-            if len(seen) > 1_000_000:
-                seen.clear()
-        if held:
+                    held = []
+        if sum(len(k) for k, _, _ in held):
             yield packed()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), U)
-        classes = np.frombuffer(b"".join(table["classes"].to_pylist()), np.int64)
-        order = np.lexsort((classes, keys))
-        keys, classes = keys[order], classes[order]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])]
-        keys, classes = keys[new], classes[new]
-        many = np.r_[False, keys[1:] == keys[:-1]] | np.r_[keys[1:] == keys[:-1], False]
-        return pa.table({"gid": pa.array(keys[many].view(np.int64)), "cls": pa.array(classes[many])})
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, classes binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "gid long, cls long")
-
-
-def texts_of(involved: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, text) of one document of each class in ``involved`` (cls)."""
-    wanted = classes.join(involved, "cls").select("cls", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
+        entries = [np.frombuffer(e, ENTRY) for e in table["entries"].to_pylist()]
+        shift = bounds(np.array([len(e) for e in entries]))
+        owner = np.concatenate([np.frombuffer(o, "<u2" if len(e) <= 65536 else "<u4").astype(np.int64) + s for o, e, s in zip(table["owners"].to_pylist(), entries, shift[:-1], strict=True)])
+        keys, entries = np.frombuffer(b"".join(table["keys"].to_pylist()), U), np.concatenate(entries)
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
+        next_same = np.r_[keys[1:] == keys[:-1], False]
+        many = next_same | np.r_[False, next_same[:-1]]
+        keys, own = keys[many], entries[owner[many]]
+        order = np.lexsort((own["cls"], keys))
+        keys, own = keys[order], own[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (own["cls"][1:] != own["cls"][:-1])][: len(keys)]  # a class is there once from each task
+        keys, own = keys[new], own[new]
+        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        size = np.diff(np.r_[edge, len(keys)])
+        size = np.repeat(size, size)
+        use = size > 1
+        return pa.table({"gid": keys[use].view(np.int64), "cls": own["cls"][use].copy(), "band": own["band"][use].copy(), "drop": own["drop"][use].copy(), "size": size[use]})
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, owners binary, entries binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "gid long, cls long, band int, drop int, size long")
+
+
+def rarest(groups: DataFrame) -> DataFrame:
+    """(gid, cls) without the ``drop`` largest groups of each class in its band, and without groups of which one class is left."""
+    order = Window.partitionBy("cls", "band").orderBy(F.desc("size"), "gid")
+    kept = materialize(groups.withColumn("place", F.row_number().over(order)).where(F.col("place") > F.col("drop")).select("gid", "cls"), "rare-words")
+    many = kept.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
+    out = materialize(kept.join(many, "gid"), "groups")
+    release(kept)
+    return out
+
+
+def candidate_sets(groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, set, sketch) of one document of each class in ``groups``; a class may come twice where a repeated row is its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for c in batch.column("cls").to_pylist():
+                new.append(c not in seen)
+                seen.add(c)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            if len(seen) > 200_000:
+                seen.clear()
+            for part in pieces(batch, 1_000_000) if batch.num_rows else ():
+                flat, start = shingle_sets(part.column("text"))
+                sets = [flat[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+                packed = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (sets, map(bit_sketch, sets))]
+                yield pa.RecordBatch.from_arrays([part.column("cls"), *packed], names=["cls", "set", "sketch"])
+
+    wanted = classes.join(groups.select("cls").distinct(), "cls").select("cls", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cls", "text")
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cls", "text")
+    return texts.mapInArrow(run, "cls long, set binary, sketch binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link, by the whole texts of one document of each class."""
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last = Shingler(), (None, None)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if last[0] != x:
-                    last = x, shingler(x)
-                keep.append(links(last[1], shingler(y)))
+            sides = (np.frombuffer(x, U) for pair in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True) for x in pair)
+            keep = [links(x, next(sides)) for x in sides]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, classes)
-    both = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def own_shingles(involved: DataFrame, texts: DataFrame, classes: DataFrame, bucket_keys: int) -> DataFrame:
-    """(cls, n_own): the shingles of each class that no other in ``involved`` has. Packed by ranges of the hashes, like the sketches."""
-    total = classes.join(involved, "cls").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+def own_shingles(sets: DataFrame, total: int, bucket_keys: int) -> DataFrame:
+    """(cls, n_own): the shingles of each class that no other in ``sets`` has. Packed by ranges of the hashes, like the sketches."""
     buckets = max(1, math.ceil(total / bucket_keys))
-    edges = [i * 2**64 // buckets for i in range(1, buckets)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingler(t) for t in part.column("text").to_pylist()]
-                h = np.concatenate([np.zeros(0, U), *sets])
-                c = np.repeat(part.column("cls").to_numpy(zero_copy_only=False), [len(x) for x in sets])
-                order = np.argsort(h, kind="stable")
+                packed = part.column("set").to_pylist()
+                h = np.frombuffer(b"".join(packed), U)
+                c = np.repeat(part.column("cls").to_numpy(zero_copy_only=False), [len(x) // 8 for x in packed])
+                order = np.argsort(h)
                 h, c = h[order], c[order]
-                cut = np.concatenate([[0], np.searchsorted(h, np.array(edges, U)), [len(h)]])
-                rows = [(b, h[i:j].tobytes(), c[i:j].astype(np.int64).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+                bucket = (((h >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(h)])
+                rows = [(int(bucket[i]), h[i:j].tobytes(), c[i:j].astype(np.int64).tobytes()) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=False)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "classes"])
 
@@ -272,7 +330,7 @@ def own_shingles(involved: DataFrame, texts: DataFrame, classes: DataFrame, buck
         c = np.frombuffer(b"".join(table["classes"].to_pylist()), np.int64)
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]  # rows that are there twice
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]  # classes that are there twice
         h, c = h[new], c[new]
         alone = np.r_[True, h[1:] != h[:-1]] & np.r_[h[1:] != h[:-1], True]
         cls, n = np.unique(c[alone], return_counts=True)
@@ -289,23 +347,11 @@ def own_shingles(involved: DataFrame, texts: DataFrame, classes: DataFrame, buck
         n = np.bincount(at, np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64), len(cls)).astype(np.int64)
         return pa.table({"cls": pa.array(cls), "n_own": pa.array(n)})
 
-    sent = texts.mapInArrow(send, "bucket int, keys binary, classes binary")
+    sent = sets.select("cls", "set").mapInArrow(send, "bucket int, keys binary, classes binary")
     counted = sent.groupBy("bucket").applyInArrow(count, "slot int, classes binary, counts binary")
     return counted.groupBy("slot").applyInArrow(total_of, "cls long, n_own long")
 
 
-def sketches_of(texts: DataFrame) -> DataFrame:
-    """(cls, sketch)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            found = [bit_sketch(shingler(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], names=["cls", "sketch"])
-
-    return texts.mapInArrow(run, "cls long, sketch binary").dropDuplicates(["cls"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(cls, comp) of every vertex of ``edges`` (a, b): each joins its smallest neighbour, and the graph shrinks until no edge is left."""
     labels = None
@@ -313,12 +359,13 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         step = materialize(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m")), "step")
         if labels is None:
-            labels = step.select(F.col("v").alias("cls"), F.col("m").alias("comp"))
+            last, labels = None, step.select(F.col("v").alias("cls"), F.col("m").alias("comp"))
         else:
-            labels = labels.join(step, F.col("comp") == F.col("v"), "left").select("cls", F.coalesce("m", "comp").alias("comp"))
+            last, labels = labels, labels.join(step, F.col("comp") == F.col("v"), "left").select("cls", F.coalesce("m", "comp").alias("comp"))
         labels = materialize(labels, "labels")
         ends = edges.join(step.select(F.col("v").alias("a"), F.col("m").alias("x")), "a").join(step.select(F.col("v").alias("b"), F.col("m").alias("y")), "b")
-        edges = materialize(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        before, edges = edges, materialize(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        release(before, step, last)
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
 
 
@@ -331,60 +378,116 @@ def pivots_of(groups: DataFrame, classes: DataFrame) -> DataFrame:
     return best.where("best.cls <> cls").select(F.col("best.cls").alias("a"), F.col("cls").alias("b"))
 
 
-def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, bucket_keys: int) -> DataFrame:
+def near_in_group(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, c: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that sizes, own shingles and sketches allow; of a group's two parts (``side`` 0 and 1), pairs across."""
+    # 180 min(c) >= 80 (n + m): the other's size is at most ``top``. Who can have no partner by this goes, until all may have one.
+    top = (9 * c) // 4 - n
+    while True:
+        use = np.zeros(len(n), bool)
+        for s in np.unique(side):
+            mine, others = side == s, side != s if side.any() else np.ones(len(n), bool)
+            if others.any():
+                use |= mine & (top >= n[others].min()) & (n <= top[others].max())
+        if use.all():
+            break
+        cls, comp, n, c, sketch, side, top = (x[use] for x in (cls, comp, n, c, sketch, side, top))
+        if len(n) < 2:
+            return
+    order = np.argsort(n, kind="stable")
+    cls, comp, n, c, sketch, side, top = (x[order] for x in (cls, comp, n, c, sketch, side, top))
+    low = np.searchsorted(n, (4 * n + 4) // 5)  # the smaller ones that sizes allow
+    across = bool(side.any())
+    for x in range(1, len(n)):
+        i = low[x]
+        y = (comp[i:x] != comp[x]) & (n[i:x] <= top[x]) & (n[x] <= top[i:x])
+        if across:
+            y &= side[i:x] != side[x]
+        y = i + np.flatnonzero(y)
+        for words in (slice(0, FIRST), slice(FIRST, None)):
+            if len(y):
+                apart = np.bitwise_count(sketch[y, words] ^ sketch[x, words]).sum(1, dtype=np.int64)
+                y = y[9 * apart <= n[y] + n[x]]
+        if len(y):
+            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1, dtype=np.int64)
+            for k in y[9 * apart <= n[y] + n[x]].tolist():
+                yield min(int(cls[k]), int(cls[x])), max(int(cls[k]), int(cls[x]))
+
+
+def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, bucket_keys: int, block_rows: int) -> DataFrame:
     """Pairs of different components that share a group and whose sizes and own shingles allow a link."""
     rows = groups.join(comps, "cls", "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp"))
     mixed = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"))
     rows = materialize(rows.join(mixed, F.col("gid") == F.col("g")).select("gid", "cls", "comp"), "mixed-groups")
-    involved = rows.select("cls").distinct()
-    texts = materialize(texts_of(involved, docs, classes), "mixed-texts")
-    own = own_shingles(involved, texts, classes, bucket_keys)
+    involved = materialize(classes.join(rows.select("cls").distinct(), "cls").select("cls", F.col("n_shingles").alias("n")), "involved")
+    total = involved.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = sets.join(involved.select("cls"), "cls", "left_semi")
+    own = own_shingles(held, total, bucket_keys)
     # c: what a class can have in common with another at most. A link needs c >= 0.8 n.
-    sized = classes.select("cls", "n_shingles").join(own, "cls", "left").select("cls", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("c"))
-    able = materialize(sized.where("100 * c >= 80 * n").join(sketches_of(texts), "cls"), "able")
-    alive = rows.join(able, "cls")
-    parts = max(1, math.ceil(rows.count() / 20_000))
+    sized = involved.join(own, "cls", "left").select("cls", "n", (F.col("n") - F.coalesce("n_own", F.lit(0))).alias("c")).where("100 * c >= 80 * n")
+    able = materialize(sized.join(sets.select("cls", "sketch").dropDuplicates(["cls"]), "cls"), "able")
+    alive = materialize(rows.join(able.select(F.col("cls").alias("k")), F.col("cls") == F.col("k"), "left_semi"), "alive")
+    sizes = alive.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("cuts", F.ceil(F.col("m") / block_rows).cast("int"))
+    # A group of more than block_rows is cut into parts by a hash; every pair of its parts is a block, compared by itself.
+    own_cut = F.pmod(F.xxhash64("cls", "gid"), F.col("cuts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, own_cut).alias("i"), F.greatest(o, own_cut).alias("j")))
+    dealt = alive.join(sizes.select("gid", "cuts"), "gid").select("gid", "cls", "comp", own_cut.alias("cut"), F.explode(others).alias("b"))
+    parts = max(1, math.ceil(alive.count() / 20_000))
+    spread = dealt.select("gid", "cls", "comp", "b.i", "b.j", "cut").withColumn("part", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(parts)))
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("gid", "ascending"), ("n", "ascending")])
-        gid, cls, comp, n, c = (table[k].to_numpy() for k in ("gid", "cls", "comp", "n", "c"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
-        edge = np.r_[np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]]), len(gid)] if len(gid) else np.zeros(1, np.int64)
+        table = table.sort_by([("gid", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending"), ("cls", "ascending")])
+        gid, i, j, cut, cls, comp, n, c = (table[k].to_numpy() for k in ("gid", "i", "j", "cut", "cls", "comp", "n", "c"))
+        packed = table["sketch"].to_pylist()
+        edge = np.r_[np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]), len(gid)] if len(gid) else np.zeros(1, np.int64)
         found: set[tuple[int, int]] = set()
-        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if (comp[i:j] == comp[i]).all():
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if (comp[a:b] == comp[a]).all():
+                continue
+            words = min(map(len, packed[a:b])) // 8
+            sketch = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in packed[a:b]])
+            side = (cut[a:b] != i[a]).astype(np.int8) if i[a] != j[a] else np.zeros(b - a, np.int8)
+            if i[a] != j[a] and (side.all() or not side.any()):
                 continue
-            for x in range(i + 1, j):
-                # The smaller ones are before it; of these, what sizes, components and own shingles allow.
-                low = i + int(np.searchsorted(n[i:x], math.ceil(0.8 * n[x] - 1e-9)))
-                both = np.minimum(c[low:x], c[x])
-                y = low + np.flatnonzero((comp[low:x] != comp[x]) & (100 * both >= 80 * (n[low:x] + n[x] - both)))
-                if len(y):
-                    apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1)
-                    for k in y[9 * apart <= n[y] + n[x]].tolist():
-                        found.add((min(cls[k], cls[x]), max(cls[k], cls[x])))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    dealt = alive.withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts)))
-    return dealt.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    sets = materialize(sets_of(docs), "sets")
+            found.update(near_in_group(cls[a:b], comp[a:b], n[a:b], c[a:b], sketch, side))
+        x, y = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+    pairs = materialize(spread.join(able, "cls").groupBy("part").applyInArrow(meet, "a long, b long").distinct(), "cross-pairs")
+    release(rows, involved, able, alive)
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000, block_rows: int = 8192, class_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    ``bucket_keys``: keys that one task compares; ``block_rows``: classes of one group that one task compares with
+    as many others; ``class_bits``: bits of class ids before those of different sets are told apart.
+    """
+    sets = materialize(sets_of(docs, class_bits), "sets")
+    twice = sets.where("cls is not null").groupBy("cls").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+    # With 64 bits, by chance less than one class in a billion at 10 billion classes.
+    taken = {r["cls"]: r["lo"] for r in twice.select("cls", "lo").toLocalIterator()}
+    if taken:
+        names = twice.select(F.col("cls").alias("k"), "lo")
+        moved = F.when(F.col("lo").isNotNull() & (F.col("check") != F.col("lo")), F.col("other")).otherwise(F.col("cls"))
+        sets = materialize(sets.join(names, F.col("cls") == F.col("k"), "left").select("doc_id", "th", "n_shingles", moved.alias("cls")), "sets")
     classes = materialize(sets.where("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least")), "classes")
     total = classes.agg(F.coalesce(F.sum(F.col("n_shingles") * 0.6 + 10), F.lit(0.0))).first()[0]
-    groups = materialize(groups_of(docs, max(1, math.ceil(total / bucket_keys))), "groups")
-    first = materialize(verify(materialize(pivots_of(groups, classes), "pivots"), docs, classes), "links")
+    found = materialize(groups_of(docs, max(1, math.ceil(total / bucket_keys)), class_bits, taken), "shared-words")
+    groups = rarest(found)
+    candidates = materialize(candidate_sets(groups, docs, classes), "candidate-sets")
+    pairs = materialize(pivots_of(groups, classes), "pivots")
+    first = materialize(verify(pairs, candidates), "links")
     comps = components(first)
-    rest = materialize(cross_pairs(groups, comps, classes, docs, bucket_keys), "cross-pairs")
+    rest = cross_pairs(groups, comps, classes, candidates, bucket_keys, block_rows)
     if not rest.isEmpty():
-        second = materialize(verify(rest, docs, classes), "links")
+        second = materialize(verify(rest, candidates), "links")
         if not second.isEmpty():
             comps = components(first.union(second))
+        release(second)
     whole = classes.select("cls", "least").join(comps, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = materialize(whole.select("cls", "comp").join(least, "comp").select(F.col("cls").alias("c"), "component_id"), "component-ids")
+    release(found, groups, candidates, pairs, first, rest, comps, classes)
     out = sets.join(ids, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -196,8 +196,63 @@ def test_near_duplicates_against_all_pairs(spark, seed):
     rows = near_copies(seed)
     sets = {d: shingles(t) for d, t in rows}
     want = components(sets)
-    got = J.near_duplicates(docs(spark, rows).withColumn("cls", F.lit("x")), bucket_keys=2000).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(sets[d]), want[d]) for d in sets}
+    for block_rows, bits in ((8192, 64), (7, 6)):  # groups cut into blocks, and class ids that many sets have
+        got = J.near_duplicates(docs(spark, rows).withColumn("cls", F.lit("x")), bucket_keys=2000, block_rows=block_rows, class_bits=bits).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(sets[d]), want[d]) for d in sets}
+
+
+def test_near_duplicates_long_texts_and_many_that_share_a_part(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    long = [word() for _ in range(100_000)]
+    near = long[:]
+    for k in range(0, 100_000, 2500):
+        near[k] = word()
+    far = long[:70_000] + [word() for _ in range(30_000)]
+    part = [word() for _ in range(120)]
+    mixed = [part + [word() for _ in range(40)] for _ in range(2000)]
+    texts = [long, near, far, *mixed, [*mixed[5][:-1], "x"]]
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), block_rows=300).collect()}
+    assert got == {i: {1: 0, len(texts) - 1: 8}.get(i, i) for i in range(len(texts))}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab A\n\t\x0b\x85é"), max_size=40)), max_size=12))
+def test_shingle_sets_of_a_batch(texts):
+    import pyarrow as pa
+    from sheaf.llm.shingles import shingle_sets
+
+    known = test_shingle_sets_of_a_batch.__dict__.setdefault("known", {})
+    flat, start = shingle_sets(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, start[:-1], start[1:], strict=True):
+        own, want = flat[a:b].tolist(), shingles(t)
+        assert own == sorted(set(own)) and len(own) == len(want)
+        assert known.setdefault(want, own) == own
+    assert len({tuple(v) for v in known.values()}) == len(known)
+
+
+def test_group_members_are_compared_as_all_pairs():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.r_[base[i % 6][: 300 - rng.integers(0, 60)], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)]) for i in range(240)]
+    n = np.array([len(s) for s in sets])
+    cls, comp = np.arange(240), rng.integers(0, 80, 240)
+    every = np.concatenate(sets)
+    alone = {int(x) for x, k in zip(*np.unique(every, return_counts=True), strict=True) if k == 1}
+    c = np.array([len(s) - sum(int(x) in alone for x in s) for s in sets])
+    sketch = np.stack([J.bit_sketch(s) for s in sets])
+    for side in (np.zeros(240, np.int8), rng.integers(0, 2, 240).astype(np.int8)):
+        got = set(J.near_in_group(cls, comp, n, c, sketch, side))
+        want = {(i, j) for j in range(240) for i in range(j) if comp[i] != comp[j] and (not side.any() or side[i] != side[j]) and J.links(sets[i], sets[j])}
+        assert want <= got and len(got) <= 2 * len(want) + 20
+
+
+def test_sketches_fold_to_smaller_ones():
+    s = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
+    wide = J.bit_sketch(s)
+    assert len(wide) * 64 == 32768
+    bits = np.bincount((J.mix(s ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(4095)).astype(np.int64), minlength=4096) & 1
+    assert (np.unpackbits(J.fold(wide, 64).view(np.uint8), bitorder="little") == bits).all()
 
 
 def test_near_duplicates_odd(spark):
@@ -209,7 +264,7 @@ def test_near_duplicates_odd(spark):
 
 def test_bands_leave_two_full_words_to_agree():
     bands = J.Bands(100_000)
-    for r, d, b in zip(bands.right, bands.differ, bands.blocks, strict=True):
+    for r, d, b in zip(bands.right.tolist(), bands.differ.tolist(), bands.blocks.tolist(), strict=True):
         assert (r + r * 5 // 4) // 9 <= d and b - d >= 3
     for n in range(J.SMALL, 3000):
         for m in range(n, n * 5 // 4 + 1):
