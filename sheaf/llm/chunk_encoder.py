@@ -50,7 +50,7 @@ class Store:
 class WordEncoder:
     """``first``, ``later``: ids of words at the start of a line and of words after a space. ``whole``: ids of any text."""
 
-    def __init__(self, first: Callable[[list[str]], list[bytes]], later: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], newline: bytes, simple: Callable[[str], bool] = simple_spacing, opening: Callable[[list[str]], list[bytes]] | None = None, limit: int = 500_000):
+    def __init__(self, first: Callable[[list[str]], list[bytes]], later: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], newline: bytes, simple: Callable[[str], bool] = simple_spacing, opening: Callable[[list[str]], list[bytes]] | None = None, limit: int = 250_000):
         self.first, self.later, self.whole, self.newline, self.simple = Store(first, limit), Store(later, limit), whole, newline, simple
         self.opening = Store(opening, limit) if opening else self.first
 

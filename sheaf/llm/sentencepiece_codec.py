@@ -7,12 +7,15 @@ byte fallback. Texts are encoded in multithreaded batches of distinct words wher
 has a marker after another character: nothing joins across the start of a word, and a
 text's ids are those of its words. For other models, texts are encoded whole.
 
-Parity: whatever is encoded is also encoded by the sentencepiece library; where the two
-differ, its ids are taken and the documents that hold the word have ``parity`` false.
-Decoding gives back the normalised text; ``round_trip`` says that it equals the input.
-
-Null texts count as empty: no ids, parity and round_trip true. Other columns pass through
-unchanged; ``ids``, ``n_tokens``, ``parity`` and ``round_trip`` replace columns of these names.
+Parity: the ids are the rebuilt tokenizer's. Whatever it encodes is also encoded by the
+sentencepiece library, and where the two differ the documents that hold the word or are the text
+have ``parity`` false; nothing is replaced. Decoding, by the tokenizers library's decoders, gives back the normalised
+text; ``round_trip`` says that it equals the input.
+
+Null texts count as empty: no ids, parity and round_trip true. Repeated rows come out once for each row with
+equal ids. Texts of any length are taken whole; where they have other spacing than single spaces and newlines,
+in one call. An empty table gives an empty result. Other columns pass through
+unchanged; ``ids``, ``n_tokens``, ``parity`` and ``round_trip`` replace columns of these names. Null ids decode to null.
 """
 
 from __future__ import annotations
@@ -145,61 +148,79 @@ class Codec:
         self.model = model = parse_model(raw)
         self.tokenizer = build_tokenizer(model)
         self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None  # from here on it sees normalised text
-        # A later message of the same field overrides an earlier one: no prefix and no trimming, the text is normalised already.
+        # A later message of the same field overrides an earlier one: no prefix and no trimming, words are normalised already.
         own = b"\x18\x00\x20\x00\x28\x01"
-        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=raw + b"\x1a" + bytes([len(own)]) + own)
+        self.their_words = sentencepiece.SentencePieceProcessor(model_proto=raw + b"\x1a" + bytes([len(own)]) + own)
+        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=raw)
         usable = [p for p, _, kind in model.pieces if kind in (NORMAL, USER)]
         #: Whether words are encoded apart: nothing joins across a marker or a newline, and text is taken as it is.
         self.apart = model.byte_fallback and model.escape_whitespaces and not model.charsmap and not model.remove_extra_whitespaces and not any(MARK in p.lstrip(MARK) or "\n" in p for p in usable)
-        self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.encode() for p, _, kind in model.pieces]
-        self.odd: set[str] = set()
+        self.control = frozenset(i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL)
+        self.opening = MARK if model.add_dummy_prefix else ""
+        #: Words by what is before them, and whole texts of the last call, on which the two libraries differ.
+        self.odd: dict[str, set[str]] = {"": set(), MARK: set()}
+        self.odd_texts: set[str] = set()
         newline = next((i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x0A>"), 0)
-        opening = self._words(MARK if model.add_dummy_prefix else "", newline)
-        self.encoder = WordEncoder(self._words("", newline), self._words(MARK, newline), self._whole, np.array([newline], "<u4").tobytes(), lambda t: self.apart and MARK not in t and simple_spacing(t), opening)
+        self.encoder = WordEncoder(self._words("", newline), self._words(MARK, newline), self._whole, np.array([newline], "<u4").tobytes(), self._simple, self._words(self.opening, newline))
 
-    def _checked(self, texts: list[str]) -> list[list[int]]:
-        """The rebuilt tokenizer's ids of normalised texts; the sentencepiece library's where they differ, and the text is noted."""
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.theirs.encode([t.replace(MARK, " ") for t in texts], num_threads=1)
-        self.odd.update(t for t, a, b in zip(texts, ours, theirs, strict=True) if a != b)
-        return theirs
+    def _simple(self, text: str) -> bool:
+        return self.apart and MARK not in text and simple_spacing(text)
 
     def _words(self, prefix: str, newline: int):
         def encode(new: list[str]) -> list[bytes]:
             parts = [new[i : i + 1000] for i in range(0, len(new), 1000)]
             joined = [prefix + f"\n{prefix}".join(p) for p in parts]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-            theirs = self.theirs.encode([t.replace(MARK, " ") for t in joined], num_threads=1)
+            theirs = self.their_words.encode([t.replace(MARK, " ") for t in joined], num_threads=1)
+            out = []
             for p, a, b in zip(parts, ours, theirs, strict=True):
+                split = split_at(a, newline, "<u4")
                 if a != b:
-                    x, y = split_at(a, newline, "<u4"), split_at(b, newline, "<u4")
-                    self.odd.update(w for w, i, j in zip(p, x, y, strict=True) if i != j)
-            return [x for b in theirs for x in split_at(b, newline, "<u4")]
+                    self.odd[prefix].update(w for w, x, y in zip(p, split, split_at(b, newline, "<u4"), strict=True) if x != y)
+                out += split
+            return out
 
         return encode
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in self._checked([self.normalize(t) for t in texts])]
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast([self.normalize(t) for t in texts], add_special_tokens=False)]
+        theirs = self.theirs.encode(texts, num_threads=1)
+        self.odd_texts.update(t for t, a, b in zip(texts, ours, theirs, strict=True) if a != b)
+        return [np.array(x, "<u4").tobytes() for x in ours]
 
     def normalize(self, text: str) -> str:
         if not text:
             return ""
         model = self.model
         if model.charsmap or model.remove_extra_whitespaces:
-            return self.normalizer.normalize_str(text)
-        return (MARK if model.add_dummy_prefix else "") + (text.replace(" ", MARK) if model.escape_whitespaces else text)
+            out = self.normalizer.normalize_str(text)
+            return "" if out == self.opening else out  # of white space only, nothing is left to have a prefix
+        return self.opening + (text.replace(" ", MARK) if model.escape_whitespaces else text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The rebuilt tokenizer's ids."""
+        self.odd_texts.clear()
+        if sum(map(len, self.odd.values())) > 100_000:  # only those that are still stored matter
+            for words in self.odd.values():
+                words.intersection_update(*[set().union(*(k for s in (self.encoder.opening, self.encoder.first, self.encoder.later) for k in (s.young, s.old)))])
         return [np.frombuffer(x, "<u4") for x in self.encoder.encode(texts)]
 
     def parity(self, text: str) -> bool:
-        """Whether the rebuilt tokenizer agreed on every part of a text that was encoded just before."""
-        return not self.odd or (self.normalize(text) not in self.odd and self.odd.isdisjoint(text.replace("\n", " ").split(" ")))
-
-    def decode(self, ids: np.ndarray) -> str:
+        """Whether the sentencepiece library has the same ids for a text that was encoded in the last call."""
+        if self.odd_texts and text in self.odd_texts:
+            return False
+        if not any(self.odd.values()) or not text or not self._simple(text):
+            return True
+        for k, line in enumerate(text.split("\n")):
+            first, *later = line.split(" ")
+            if first in self.odd["" if k else self.opening] or not self.odd[MARK].isdisjoint(later):
+                return False
+        return True
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Markers are spaces, byte pieces their bytes (U+FFFD where they are no UTF-8), control pieces nothing."""
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text
+        control = self.control
+        return self.tokenizer.decode_batch([y if control.isdisjoint(y) else [i for i in y if i not in control] for x in ids for y in (x.tolist(),)], skip_special_tokens=False)
 
 
 @functools.lru_cache(4)
@@ -223,7 +244,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", rows:
                 lengths = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)
-                back = [c.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                back = [x == t for x, t in zip(c.decode(ids), texts, strict=True)]
                 columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(lengths), pa.array([c.parity(t) for t in texts]), pa.array(back)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + columns, names=kept + list(own))
 
@@ -238,7 +259,11 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", text
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            out = [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(out, pa.string())], names=kept + [text])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = part.column(ids).to_pylist()
+                found = iter(c.decode([np.array(x, np.int64) for x in rows if x is not None]))
+                out = [None if x is None else next(found) for x in rows]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(out, pa.string())], names=kept + [text])
 
     return encoded.select(*[encoded[c] for c in kept]).mapInArrow(decode, schema)
