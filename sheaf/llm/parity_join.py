@@ -28,8 +28,11 @@ more for each shingle): their Hamming distance is a lower bound of the symmetric
 it allows is verified. Copies edited beyond the limit are many in a large family, but make no pairs.
 
 How it runs. Sketch words travel packed, sorted by key, to one of many ranges of the key
-space; a task finds the keys that occur twice. Groups are rows from there on; joins on
-them are inner joins that adaptive execution can split. Texts move once, and of candidates their sets. No group
+space; a task finds the keys that occur twice, and sends them on by class, where the largest are left out. A
+word that a thousandth of all sets or more has, by a sample, counts as larger than any other and never
+meets in one task: it is dealt out by class, and from there on its groups are rows for aggregation that combines before its exchange,
+and for joins that adaptive execution can split. (The sample decides how work is dealt out, not what is found.) Groups that still
+hold several components become rows, too. Texts move once, and of candidates their sets. No group
 is collected into one row, no pairs are made within a component, and a group of more than
 ``block_rows`` classes is dealt out to many tasks, each for one pair of its parts.
 
@@ -49,7 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import materialize, release
@@ -60,8 +63,30 @@ SMALL = 24
 SKETCH = 64
 #: Words of a sketch that are compared before the others.
 FIRST = 8
-#: A class in one band: its words to leave out, and the band (that of small sets is -1).
-ENTRY = np.dtype([("cls", "<i8"), ("drop", "<i4"), ("band", "<i4")])
+#: A class in one band: its words to leave out, the band (that of small sets is -1), and the size of its set.
+ENTRY = np.dtype([("cls", "<i8"), ("drop", "<i4"), ("band", "<i4"), ("n", "<i8")])
+#: One of so many sets is looked at to find words that very many have; what this share of them has or more is dealt out by class.
+SAMPLE, HOT = 64, 0.001
+#: What counts as the size of a word that very many have: more than any other.
+HUGE = 2**40
+
+
+def pack(bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its number, and its part of each array as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, arrays = bucket[order], [a[order] for a in arrays]
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]).tolist()
+    ends = [*edge[1:], len(bucket)]
+    columns = [pa.array(bucket[edge].astype(np.int32)), *(pa.array([a[i:j].tobytes() for i, j in zip(edge, ends, strict=False)], pa.binary()) for a in arrays)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", *(f"c{k}" for k in range(len(arrays)))])
+
+
+def unpack(table: pa.Table, *types: type) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table[f"c{k}"].to_pylist()), t) for k, t in enumerate(types)]
+
+
+def packed_schema(count: int) -> str:
+    return ", ".join(["bucket int", *(f"c{k} binary" for k in range(count))])
 
 
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -121,7 +146,7 @@ def signatures(flat: np.ndarray, start: np.ndarray, bands: Bands) -> tuple[np.nd
         keys.append(key)
         entry.append(owner + count)
         e = np.zeros(len(sets), ENTRY)
-        e["cls"], e["drop"], e["band"] = sets, drop, band
+        e["cls"], e["drop"], e["band"], e["n"] = sets, drop, band, n[sets]
         entries.append(e)
         count += len(sets)
 
@@ -192,8 +217,40 @@ def sets_of(docs: DataFrame, bits: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, th long, n_shingles long, cls long, check long, other long")
 
 
-def groups_of(docs: DataFrame, buckets: int, bits: int, taken: dict[int, int], flush: int = 1_000_000) -> DataFrame:
-    """(gid, cls, band, drop, size) for every key that two classes or more share; size: how many."""
+def common_words(docs: DataFrame, bits: int) -> np.ndarray:
+    """Keys that the share ``HOT`` of a sample of classes or more has: a hint for dealing out work, which changes no result. At most the words of a set over ``HOT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen, counts, total = Bands(), set(), {}, 0
+        for batch in batches:
+            for part in pieces(batch):
+                flat, start = shingle_sets(part.column("text"))
+                cls = identify(flat, start, bits)[0]
+                n = np.diff(start)
+                for i in np.flatnonzero((n > 0) & (n < 100_000)).tolist():
+                    if int(cls[i]) not in seen and len(seen) < 200_000:
+                        seen.add(int(cls[i]))
+                        keys = signatures(flat[start[i] : start[i + 1]], np.array([0, n[i]]), bands)[0]
+                        total += 1
+                        for k in keys.tolist():
+                            counts[k] = counts.get(k, 0) + 1
+                if len(counts) > 1_000_000:
+                    counts = {k: c for k, c in counts.items() if c > 1}
+                if len(counts) > 1_000_000:
+                    counts = {}
+        often = {k: c for k, c in counts.items() if c > 1 and c >= HOT * total / 4}
+        yield pa.RecordBatch.from_arrays([pa.array([0, *np.array(list(often), U).view(np.int64).tolist()], pa.int64()), pa.array([total, *often.values()], pa.int64()), pa.array([True] + [False] * len(often))], names=["gid", "n", "whole"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "gid long, n long, whole boolean")
+    sums = materialize(some.groupBy("whole", "gid").agg(F.sum("n").alias("n")), "common-words")
+    total = sums.where("whole").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Of a small sample, what three sets share is no evidence.
+    often = sums.where(~F.col("whole") & (F.col("n") >= max(20, HOT * total))).select("gid")
+    return np.sort(np.array([r["gid"] for r in often.toLocalIterator()], np.int64).view(U))
+
+
+def shared_words(docs: DataFrame, buckets: int, bits: int, taken: dict[int, int], common: np.ndarray, flush: int = 1_000_000) -> DataFrame:
+    """Every key that two classes or more share, with those that have it, how many they are, and whether it is common: packed by class."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(), set()
@@ -206,6 +263,12 @@ def groups_of(docs: DataFrame, buckets: int, bits: int, taken: dict[int, int], f
             order = np.argsort(keys)
             keys, owner = keys[order], owner[order]
             bucket = (((keys >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+            if len(common):
+                # A common word's classes go to as many buckets as there are, by class.
+                hot = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+                bucket[hot] = buckets + entries["cls"][owner[hot]] % buckets
+                order = np.argsort(bucket, kind="stable")
+                keys, owner, bucket = keys[order], owner[order], bucket[order]
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             rows = []
             for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
@@ -239,37 +302,115 @@ def groups_of(docs: DataFrame, buckets: int, bits: int, taken: dict[int, int], f
         shift = bounds(np.array([len(e) for e in entries]))
         owner = np.concatenate([np.frombuffer(o, "<u2" if len(e) <= 65536 else "<u4").astype(np.int64) + s for o, e, s in zip(table["owners"].to_pylist(), entries, shift[:-1], strict=True)])
         keys, entries = np.frombuffer(b"".join(table["keys"].to_pylist()), U), np.concatenate(entries)
+        hot = table["bucket"][0].as_py() >= buckets
         order = np.argsort(keys)
         keys, owner = keys[order], owner[order]
-        next_same = np.r_[keys[1:] == keys[:-1], False]
-        many = next_same | np.r_[False, next_same[:-1]]
-        keys, own = keys[many], entries[owner[many]]
+        if not hot:
+            same = np.r_[keys[1:] == keys[:-1], False]
+            many = same | np.r_[False, same[:-1]]
+            keys, owner = keys[many], owner[many]
+        own = entries[owner]
         order = np.lexsort((own["cls"], keys))
         keys, own = keys[order], own[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (own["cls"][1:] != own["cls"][:-1])][: len(keys)]  # a class is there once from each task
         keys, own = keys[new], own[new]
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
         size = np.diff(np.r_[edge, len(keys)])
-        size = np.repeat(size, size)
+        size = np.full(len(keys), HUGE) if hot else np.repeat(size, size)
         use = size > 1
-        return pa.table({"gid": keys[use].view(np.int64), "cls": own["cls"][use].copy(), "band": own["band"][use].copy(), "drop": own["drop"][use].copy(), "size": size[use]})
+        return pa.Table.from_batches([pack(own["cls"][use] % buckets, keys[use].view(np.int64), size[use], own[use])])
 
     sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, owners binary, entries binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "gid long, cls long, band int, drop int, size long")
+    return sent.groupBy("bucket").applyInArrow(meet, packed_schema(3))
+
+
+def rarest(shared: DataFrame) -> DataFrame:
+    """The groups (keys) of each class without the ``drop`` largest in its band, packed by class: c0 to c2 the groups, their classes and whether they are common; c3 to c5 the
+    two largest that a class has left in its band, the class, and the share of its shingles that its groups are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gid, size, own = unpack(table, np.int64, np.int64, ENTRY)
+        order = np.lexsort((gid, -size, own["band"], own["cls"]))
+        gid, size, own = gid[order], size[order], own[order]
+        new = np.r_[True, (own["cls"][1:] != own["cls"][:-1]) | (own["band"][1:] != own["band"][:-1])][: len(gid)]
+        first = np.flatnonzero(new)
+        place = np.arange(len(gid)) - np.repeat(first, np.diff(np.r_[first, len(gid)]))
+        use = place >= own["drop"]
+        gid, size, own, top = gid[use], size[use], own[use], (place < own["drop"] + 2)[use]
+        cls, at, held = np.unique(own["cls"], return_inverse=True, return_counts=True)
+        score = held[at] / own["n"]
+        row = pa.RecordBatch.from_arrays([pa.array([table["bucket"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (gid, own["cls"], size == HUGE, gid[top], own["cls"][top], score[top]))], names=["bucket", *(f"c{k}" for k in range(6))])
+        return pa.Table.from_batches([row])
+
+    return materialize(shared.groupBy("bucket").applyInArrow(run, packed_schema(6)), "groups")
 
 
-def rarest(groups: DataFrame) -> DataFrame:
-    """(gid, cls) without the ``drop`` largest groups of each class in its band, and without groups of which one class is left."""
-    order = Window.partitionBy("cls", "band").orderBy(F.desc("size"), "gid")
-    kept = materialize(groups.withColumn("place", F.row_number().over(order)).where(F.col("place") > F.col("drop")).select("gid", "cls"), "rare-words")
-    many = kept.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
-    out = materialize(kept.join(many, "gid"), "groups")
-    release(kept)
-    return out
+def pivots_of(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class b with the pivot a of its largest groups, the member that shares most words for its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, c, s in zip(*(batch.column(k).to_pylist() for k in ("c3", "c4", "c5")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, t)) for x, t in ((g, np.int64), (c, np.int64), (s, np.float64))], names=["gid", "cls", "score"])
+
+    largest = materialize(groups.select("c3", "c4", "c5").mapInArrow(run, "gid long, cls long, score double"), "largest-groups")
+    tops = largest.groupBy("gid").agg(F.max(F.struct("score", "cls")).alias("top"))
+    best = largest.select("gid", "cls").join(tops, "gid").groupBy("cls").agg(F.max("top").alias("best"))
+    return best.where("best.cls <> cls").select(F.col("best.cls").alias("a"), F.col("cls").alias("b"))
+
+
+def grouped_classes(groups: DataFrame) -> DataFrame:
+    """(cls) of every class that has a group left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column("c1").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(c, np.int64)))], names=["cls"])
+
+    return groups.select("c1").mapInArrow(run, "cls long")
+
+
+def mixed_groups(groups: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
+    """(gid, cls, comp) of the groups that hold several components. Common ones are rows from the start, and found by aggregation that combines before its exchange."""
+
+    def attach(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_batches([pack(np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3)])
+        gid, cls, hot = unpack(left, np.int64, np.int64, bool)
+        known, comp = right["cls"].to_numpy(), right["comp"].to_numpy()
+        order = np.argsort(known)
+        known, comp = known[order], comp[order]
+        own = cls.copy()
+        if len(known):
+            at = np.minimum(np.searchsorted(known, cls), len(known) - 1)
+            own = np.where(known[at] == cls, comp[at], cls)
+        bucket = np.where(hot, -1, (((gid.view(U) >> U(32)) * U(buckets)) >> U(32)).astype(np.int64))
+        return pa.Table.from_batches([pack(bucket, gid, cls, own)])
+
+    def mixed(table: pa.Table) -> pa.Table:
+        gid, cls, comp = unpack(table, np.int64, np.int64, np.int64)
+        order = np.lexsort((comp, gid))
+        gid, cls, comp = gid[order], cls[order], comp[order]
+        first = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]][: len(gid)])
+        last = np.r_[first[1:], len(gid)] - 1
+        use = np.repeat(comp[first] != comp[last], last - first + 1)
+        return pa.table({"gid": gid[use], "cls": cls[use], "comp": comp[use]})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["c0", "c1", "c2"]).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[f"c{k}"], np.int64)) for k in range(3)], names=["gid", "cls", "comp"])
+
+    out = "gid long, cls long, comp long"
+    dealt = comps.select("cls", "comp", F.pmod("cls", F.lit(buckets)).cast("int").alias("bucket"))
+    named = materialize(groups.select("bucket", "c0", "c1", "c2").groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(attach, packed_schema(3)), "group-components")
+    common = named.where("bucket < 0").mapInArrow(rows, out)
+    several = common.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"))
+    return named.where("bucket >= 0").groupBy("bucket").applyInArrow(mixed, out).unionByName(common.join(several, F.col("gid") == F.col("g")).select("gid", "cls", "comp"))
 
 
-def candidate_sets(groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, set, sketch) of one document of each class in ``groups``; a class may come twice where a repeated row is its document."""
+def candidate_sets(involved: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, set, sketch) of one document of each class in ``involved`` (cls); a class may come twice where a repeated row is its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -287,7 +428,7 @@ def candidate_sets(groups: DataFrame, docs: DataFrame, classes: DataFrame) -> Da
                 packed = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (sets, map(bit_sketch, sets))]
                 yield pa.RecordBatch.from_arrays([part.column("cls"), *packed], names=["cls", "set", "sketch"])
 
-    wanted = classes.join(groups.select("cls").distinct(), "cls").select("cls", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
+    wanted = classes.join(involved, "cls").select("cls", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cls", "text")
     return texts.mapInArrow(run, "cls long, set binary, sketch binary")
@@ -369,15 +510,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
 
 
-def pivots_of(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b): each class b with the pivot a of its groups, the member that shares most words for its size."""
-    shared = groups.groupBy("cls").agg(F.count(F.lit(1)).alias("h")).join(classes.select("cls", "n_shingles"), "cls").select("cls", (F.col("h") / F.col("n_shingles")).alias("score"))
-    scored = groups.join(shared, "cls")
-    tops = scored.groupBy("gid").agg(F.max(F.struct("score", "cls")).alias("top"))
-    best = groups.join(tops, "gid").groupBy("cls").agg(F.max("top").alias("best"))
-    return best.where("best.cls <> cls").select(F.col("best.cls").alias("a"), F.col("cls").alias("b"))
-
-
 def near_in_group(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, c: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs of different components that sizes, own shingles and sketches allow; of a group's two parts (``side`` 0 and 1), pairs across."""
     # 180 min(c) >= 80 (n + m): the other's size is at most ``top``. Who can have no partner by this goes, until all may have one.
@@ -413,11 +545,8 @@ def near_in_group(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, c: np.ndarra
                 yield min(int(cls[k]), int(cls[x])), max(int(cls[k]), int(cls[x]))
 
 
-def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, bucket_keys: int, block_rows: int) -> DataFrame:
-    """Pairs of different components that share a group and whose sizes and own shingles allow a link."""
-    rows = groups.join(comps, "cls", "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"))
-    rows = materialize(rows.join(mixed, F.col("gid") == F.col("g")).select("gid", "cls", "comp"), "mixed-groups")
+def cross_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, bucket_keys: int, block_rows: int) -> DataFrame:
+    """Pairs of different components that share one of the groups ``rows`` (gid, cls, comp) and whose sizes and own shingles allow a link."""
     involved = materialize(classes.join(rows.select("cls").distinct(), "cls").select("cls", F.col("n_shingles").alias("n")), "involved")
     total = involved.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     held = sets.join(involved.select("cls"), "cls", "left_semi")
@@ -426,7 +555,7 @@ def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, sets: D
     sized = involved.join(own, "cls", "left").select("cls", "n", (F.col("n") - F.coalesce("n_own", F.lit(0))).alias("c")).where("100 * c >= 80 * n")
     able = materialize(sized.join(sets.select("cls", "sketch").dropDuplicates(["cls"]), "cls"), "able")
     alive = materialize(rows.join(able.select(F.col("cls").alias("k")), F.col("cls") == F.col("k"), "left_semi"), "alive")
-    sizes = alive.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("cuts", F.ceil(F.col("m") / block_rows).cast("int"))
+    sizes = alive.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").withColumn("cuts", F.ceil(F.col("m") / block_rows).cast("int"))
     # A group of more than block_rows is cut into parts by a hash; every pair of its parts is a block, compared by itself.
     own_cut = F.pmod(F.xxhash64("cls", "gid"), F.col("cuts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, own_cut).alias("i"), F.greatest(o, own_cut).alias("j")))
@@ -453,7 +582,7 @@ def cross_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame, sets: D
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     pairs = materialize(spread.join(able, "cls").groupBy("part").applyInArrow(meet, "a long, b long").distinct(), "cross-pairs")
-    release(rows, involved, able, alive)
+    release(involved, able, alive)
     return pairs
 
 
@@ -473,13 +602,14 @@ def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000, block_rows: i
         sets = materialize(sets.join(names, F.col("cls") == F.col("k"), "left").select("doc_id", "th", "n_shingles", moved.alias("cls")), "sets")
     classes = materialize(sets.where("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least")), "classes")
     total = classes.agg(F.coalesce(F.sum(F.col("n_shingles") * 0.6 + 10), F.lit(0.0))).first()[0]
-    found = materialize(groups_of(docs, max(1, math.ceil(total / bucket_keys)), class_bits, taken), "shared-words")
-    groups = rarest(found)
-    candidates = materialize(candidate_sets(groups, docs, classes), "candidate-sets")
-    pairs = materialize(pivots_of(groups, classes), "pivots")
+    buckets = max(1, math.ceil(total / bucket_keys))
+    groups = rarest(shared_words(docs, buckets, class_bits, taken, common_words(docs, class_bits)))
+    candidates = materialize(candidate_sets(grouped_classes(groups), docs, classes), "candidate-sets")
+    pairs = materialize(pivots_of(groups), "pivots")
     first = materialize(verify(pairs, candidates), "links")
     comps = components(first)
-    rest = cross_pairs(groups, comps, classes, candidates, bucket_keys, block_rows)
+    mixed = materialize(mixed_groups(groups, comps, buckets), "mixed-groups")
+    rest = cross_pairs(mixed, classes, candidates, bucket_keys, block_rows)
     if not rest.isEmpty():
         second = materialize(verify(rest, candidates), "links")
         if not second.isEmpty():
@@ -488,6 +618,6 @@ def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000, block_rows: i
     whole = classes.select("cls", "least").join(comps, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = materialize(whole.select("cls", "comp").join(least, "comp").select(F.col("cls").alias("c"), "component_id"), "component-ids")
-    release(found, groups, candidates, pairs, first, rest, comps, classes)
+    release(groups, mixed, candidates, pairs, first, rest, comps, classes)
     out = sets.join(ids, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

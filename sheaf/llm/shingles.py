@@ -1,6 +1,6 @@
 """Shingle hashes of whole texts, a batch at a time.
 
-Words are split, lower-cased and told apart by Arrow's kernels; a word is hashed once for each
+Words are split and told apart by Arrow's kernels; a word is lower-cased and hashed once for each
 batch. Everything after that is arithmetic on one array of the batch's words, so a short
 text costs no more than its words. A set is the ascending distinct hashes of its shingles.
 """
@@ -49,13 +49,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, text after text, and where each text begins."""
     import xxhash
 
-    # Arrow's ascii kernels lower A-Z only and split at the six ASCII spaces only: the words of the contract.
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Arrow splits at the six ASCII spaces only, and lower() on bytes knows A-Z only: the words of the contract.
+    # (Arrow's own ascii_lower is not used: its version 23 misreads slices of large strings.)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     found = lists.flatten()
     start = lists.offsets.to_numpy().astype(np.int64)
     full = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0
     coded = found.dictionary_encode()
-    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), U, len(coded.dictionary))
+    words = map(bytes.lower, coded.dictionary.cast(pa.large_binary()).to_pylist())
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(coded.dictionary))
     hashes = known[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0, U)
     return hashes[full], bounds(full)[start - start[0]]
 

@@ -338,6 +338,22 @@ def test_shingle_sets_of_a_batch(texts):
     assert len({tuple(v) for v in known.values()}) == len(known)
 
 
+def test_shingle_sets_of_slices():
+    import pyarrow as pa
+    from sheaf.llm.shingles import pieces, shingle_sets
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcDEF") for _ in range(4)) for _ in range(rng.choice([0, 3, 200, 5000]))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(300))], names=["text", "id"])
+    for most in (10_000, 100_000):
+        parts = list(pieces(batch.slice(7).filter(pa.array([rng.random() < 0.8 for _ in range(293)])), most))
+        for part in parts:
+            flat, start = shingle_sets(part.column("text"))
+            for i, a, b in zip(part.column("id").to_pylist(), start[:-1], start[1:], strict=True):
+                assert len(shingles(texts[i])) == b - a and (flat[a:b] == shingle_sets(pa.array([texts[i]]))[0]).all()
+        assert len(parts) > 3
+
+
 def test_group_members_are_compared_as_all_pairs():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(6)]
