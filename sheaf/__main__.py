@@ -4,11 +4,33 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 log = logging.getLogger("sheaf")
 
 
+def load_env(path: str = ".env") -> None:
+    """Settings of a file of ``NAME=value`` lines, for names that the environment does not have."""
+    if not os.path.isfile(path):
+        return
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, found, value = line.strip().removeprefix("export ").partition("=")
+            if found and name.strip() and not name.lstrip().startswith("#"):
+                value = value.strip()
+                quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+                os.environ.setdefault(name.strip(), value[1:-1] if quoted else value.split(" #")[0].rstrip())
+
+
+def _readable(documents, most: int = 20):
+    """Documents as they were read; a file that cannot be read stops the command."""
+    bad = [r["error"] for r in documents.where("error is not null").limit(most).collect()]
+    if bad:
+        raise ValueError("\n".join(bad))
+    return documents
+
+
 def _numbered(rows, name: str):
     from pyspark.sql import functions as F
 
@@ -34,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     analyze.add_argument("--preferences", default="context/preferences.json")
     analyze.add_argument("--output", default=".")
     args = parser.parse_args(argv)
+    load_env()
     logging.basicConfig(level=logging.INFO, format="%(message)s")
     try:
         return run(args)
@@ -63,14 +86,14 @@ def run(args) -> int:
         return 0
     provider = create_provider(args.provider)
     if args.command == "profile":
-        good, bad, _ = W.build_profiles(_numbered(files.read_documents(spark, args.cv).where("error is null"), "doc_id"), provider)
+        good, bad, _ = W.build_profiles(_numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), provider)
         sinks.save_profiles(good.select("doc_id", F.col("profile_json").alias("data")), args.context)
         log.info("Saved profiles to %s; %d could not be used.", args.context, bad.count())
         return 0
     jobs = _numbered(files.read_text(spark, args.job), "job_id")
     wishes = files.load_preferences(spark, args.preferences)
     if args.cv:
-        out = W.analyze(spark, _numbered(files.read_documents(spark, args.cv).where("error is null"), "doc_id"), jobs, provider, wishes)
+        out = W.analyze(spark, _numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), jobs, provider, wishes)
         if not args.no_save_context:
             sinks.save_profiles(out.profiles.select("doc_id", F.col("profile_json").alias("data")), args.context)
     else:

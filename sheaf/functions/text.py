@@ -60,9 +60,14 @@ def section_type(line: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), normalize_heading(line))
 
 
+def has_year(line: Column) -> Column:
+    """Cheap, and true of every line with a date: most lines need no look at the longer patterns."""
+    return line.rlike("[0-9]{4}")
+
+
 def date_before(line: Column) -> Column:
     """What comes before the first date range; null without one."""
-    return F.when(line.rlike(f"(?i){DATE_RANGE}"), F.regexp_extract(line, rf"(?i)^([\s\S]*?){DATE_RANGE}", 1))
+    return F.when(has_year(line) & line.rlike(f"(?i){DATE_RANGE}"), F.regexp_extract(line, rf"(?i)^([\s\S]*?){DATE_RANGE}", 1))
 
 
 def date_range(line: Column) -> Column:
@@ -70,11 +75,11 @@ def date_range(line: Column) -> Column:
     whole = F.regexp_extract(line, rf"(?i)^([\s\S]*?{DATE_RANGE})", 1)
     near = F.length(whole) >= F.length(line) - 2
     parts = F.struct(trim_js(F.regexp_extract(line, f"(?i){DATE_RANGE}", 1)).alias("start"), trim_js(F.regexp_extract(line, f"(?i){DATE_RANGE}", 2)).alias("end"))
-    return F.when(line.rlike(f"(?i){DATE_RANGE}") & near, parts)
+    return F.when(has_year(line) & line.rlike(f"(?i){DATE_RANGE}") & near, parts)
 
 
 def lone_date(line: Column) -> Column:
-    return line.rlike(f"(?i){DATE_RANGE}") | line.rlike(LONE_DATE)
+    return has_year(line) & (line.rlike(f"(?i){DATE_RANGE}") | line.rlike(LONE_DATE))
 
 
 def bullet_body(line: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Sections, items and bullets are gaps and islands: running counts of the lines that open
 one, over the lines of a document in order. Every window is partitioned by document, and
-all of them share one exchange. A document's lines are its own, so partitions are even.
+all of them share one exchange, that of whole texts before they become lines. A document is a doc_id
+with one text: rows that share an id, or have none, and differ in their texts are documents of their own
+(``doc_key`` tells them apart), and rows that repeat both are one. A document's lines are its own, so partitions are even.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 from sheaf.functions import text as T
 
 
+DOC = ("doc_id", "doc_key")
+
+
 def _doc():
-    return Window.partitionBy("doc_id").orderBy("pos")
+    return Window.partitionBy(*DOC).orderBy("pos")
 
 
 def normalized_lines(text: Column) -> Column:
@@ -24,8 +29,13 @@ def normalized_lines(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0, after the filter), line."""
-    return docs.select("doc_id", F.posexplode(normalized_lines(F.col("text"))).alias("pos", "line"))
+    """doc_id, doc_key, pos (from 0, after the filter), line."""
+    return once(docs).select(*DOC, F.posexplode(normalized_lines(F.col("text"))).alias("pos", "line"))
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_key, text: each document once."""
+    return docs.groupBy("doc_id", F.xxhash64("text").alias("doc_key")).agg(F.any_value("text").alias("text"))
 
 
 def marked(rows: DataFrame) -> DataFrame:
@@ -35,7 +45,8 @@ def marked(rows: DataFrame) -> DataFrame:
     such headings where each is the date line of the one before, every second counts.
     """
     line, doc = F.col("line"), _doc()
-    out = rows.withColumn("opens", T.section_type(line)).withColumn("next_date", T.date_range(F.lead("line").over(doc)))
+    # Dates are read once for each line, below the windows, which pass them on.
+    out = rows.withColumn("opens", T.section_type(line)).withColumn("dates", T.date_range(line)).withColumn("next_date", F.lead("dates").over(doc))
     out = out.withColumn("section_id", F.count("opens").over(doc)).withColumn("section_type", F.last("opens", ignorenulls=True).over(doc))
     employed = F.col("opens").isNull() & (F.col("section_type") == "employment")
     is_markdown = line.rlike(T.MARKDOWN_HEADING)
@@ -47,17 +58,17 @@ def marked(rows: DataFrame) -> DataFrame:
     title = T.trim_js(F.regexp_extract(line, T.MARKDOWN_HEADING, 1))
     named = T.role_company(title)
     markdown = F.struct(title.alias("heading"), named["role"].alias("role"), named["company"].alias("company"), F.lit(None).cast("string").alias("location"), F.col("next_date.start").alias("start_date"), F.col("next_date.end").alias("end_date"))
-    dates, before = T.date_range(line), T.trim_js(T.date_before(line))
+    dates, before = F.col("dates"), T.trim_js(T.date_before(line))
     parts = T.parts_of(before, rf"\t+|{T.WS}{{2,}}|{T.WS}+\|{T.WS}+")
     plain = F.struct(before.alias("heading"), F.get(parts, F.lit(0)).alias("role"), F.get(parts, F.lit(1)).alias("company"), F.get(parts, F.lit(2)).alias("location"), dates["start"].alias("start_date"), dates["end"].alias("end_date"))
     is_plain = employed & ~is_markdown & ~F.col("is_date") & dates.isNotNull() & (F.size(parts) >= 2)
-    return out.withColumn("head", F.when(F.col("accepted"), markdown).when(F.coalesce(is_plain, F.lit(False)), plain)).select("doc_id", "pos", "line", "opens", "section_id", "section_type", "head", "is_date")
+    return out.withColumn("head", F.when(F.col("accepted"), markdown).when(F.coalesce(is_plain, F.lit(False)), plain)).select(*DOC, "pos", "line", "opens", "section_id", "section_type", "head", "is_date")
 
 
 def with_items(rows: DataFrame) -> DataFrame:
     """Adds item_id within the section, and bullet_id within the item for lines that make bullets."""
-    section = Window.partitionBy("doc_id", "section_id").orderBy("pos")
-    item = Window.partitionBy("doc_id", "section_id", "item_id").orderBy("pos")
+    section = Window.partitionBy(*DOC, "section_id").orderBy("pos")
+    item = Window.partitionBy(*DOC, "section_id", "item_id").orderBy("pos")
     out = rows.withColumn("item_id", F.count("head").over(section).cast("int"))
     inside = F.col("opens").isNull() & (F.col("item_id") > 0) & F.col("head").isNull() & ~F.col("is_date")
     out = out.withColumn("body", F.when(inside, T.bullet_body(F.col("line"))))
@@ -76,12 +87,12 @@ def headers(parsed: DataFrame) -> DataFrame:
     return parsed.where("section_id = 0").select("doc_id", "pos", "line")
 
 
-def sections(parsed: DataFrame) -> DataFrame:
+def sections(parsed: DataFrame, keyed: bool = False) -> DataFrame:
     """doc_id, section_id, type, heading, content: all lines of the section but those that items take after their heading."""
     own = F.col("opens").isNull() & ((F.col("item_id") == 0) | F.col("head").isNotNull())
     kept = F.array_sort(F.collect_list(F.when(own, F.struct("pos", "line"))))
-    out = parsed.where("section_id > 0").groupBy("doc_id", "section_id").agg(F.max("opens").alias("type"), F.max(F.when(F.col("opens").isNotNull(), F.col("line"))).alias("opened"), kept.alias("kept"))
-    return out.select("doc_id", "section_id", "type", T.strip_heading(F.col("opened")).alias("heading"), F.transform("kept", lambda x: x["line"]).alias("content"))
+    out = parsed.where("section_id > 0").groupBy(*DOC, "section_id").agg(F.max("opens").alias("type"), F.max(F.when(F.col("opens").isNotNull(), F.col("line"))).alias("opened"), kept.alias("kept"))
+    return out.select(*(DOC if keyed else DOC[:1]), "section_id", "type", T.strip_heading(F.col("opened")).alias("heading"), F.transform("kept", lambda x: x["line"]).alias("content"))
 
 
 def items(parsed: DataFrame) -> DataFrame:
@@ -92,33 +103,43 @@ def items(parsed: DataFrame) -> DataFrame:
 def bullets(parsed: DataFrame) -> DataFrame:
     """doc_id, section_id, item_id, bullet_id, bullet: a bullet line with the lines that continue it."""
     pieces = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    out = parsed.where("piece is not null").groupBy("doc_id", "section_id", "item_id", "bullet_id").agg(pieces.alias("p"))
-    return out.withColumn("bullet", T.trim_js(F.array_join(F.transform("p", lambda x: x["piece"]), " "))).drop("p")
+    out = parsed.where("piece is not null").groupBy(*DOC, "section_id", "item_id", "bullet_id").agg(pieces.alias("p"))
+    return out.withColumn("bullet", T.trim_js(F.array_join(F.transform("p", lambda x: x["piece"]), " "))).drop("p", "doc_key")
 
 
-def items_with_bullets(parsed: DataFrame) -> DataFrame:
+def items_with_bullets(parsed: DataFrame, keyed: bool = False) -> DataFrame:
     """One row for each item, its bullets as an array in order. One grouping of the parsed lines."""
     pieces = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("bullet_id", "pos", "piece"))))
-    out = parsed.where("item_id > 0").groupBy("doc_id", "section_id", "item_id").agg(F.max("head").alias("head"), pieces.alias("p"), F.max("bullet_id").alias("n"))
+    out = parsed.where("item_id > 0").groupBy(*DOC, "section_id", "item_id").agg(F.max("head").alias("head"), pieces.alias("p"), F.max("bullet_id").alias("n"))
 
     def joined(k: Column) -> Column:
         return T.trim_js(F.array_join(F.transform(F.filter("p", lambda x: x["bullet_id"] == k), lambda x: x["piece"]), " "))
 
     found = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), joined)).otherwise(F.array().cast("array<string>"))
-    return out.select("doc_id", "section_id", "item_id", "head.*", found.alias("bullets"))
+    return out.select(*(DOC if keyed else DOC[:1]), "section_id", "item_id", "head.*", found.alias("bullets"))
+
+
+def _join(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """A left join on the document, whose id may be null."""
+    keys = [*DOC, *more]
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(named, on, "left").drop(*[f"_{k}" for k in keys])
 
 
 def semantic(docs: DataFrame) -> DataFrame:
-    """doc_id and the nested record: header lines, and sections with content and items."""
+    """doc_id and the nested record: header lines, and sections with content and items. One row for each document."""
     parsed = parse(docs)
     item = F.struct("heading", "role", "company", "location", F.col("start_date").alias("startDate"), F.col("end_date").alias("endDate"), "bullets")
-    own = items_with_bullets(parsed).groupBy("doc_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("item_id", item.alias("item")))).alias("i"))
-    full = sections(parsed).join(own, ["doc_id", "section_id"], "left")
+    own = items_with_bullets(parsed, keyed=True).groupBy(*DOC, "section_id").agg(F.array_sort(F.collect_list(F.struct("item_id", item.alias("item")))).alias("i"))
+    full = _join(sections(parsed, keyed=True), own, "section_id")
     listed = F.transform(F.coalesce("i", F.array().cast(own.schema["i"].dataType)), lambda x: x["item"])
     section = F.struct("section_id", F.struct("type", "heading", "content", listed.alias("items")).alias("s"))
-    nested = full.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(section)), lambda x: x["s"]).alias("sections"))
-    head = parsed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("section_id") == 0, F.struct("pos", "line")))), lambda x: x["line"]).alias("header"))
+    nested = full.groupBy(*DOC).agg(F.transform(F.array_sort(F.collect_list(section)), lambda x: x["s"]).alias("sections"))
+    head = parsed.groupBy(*DOC).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("section_id") == 0, F.struct("pos", "line")))), lambda x: x["line"]).alias("header"))
     # A document without any line has an empty record all the same.
-    none = docs.select("doc_id").distinct().join(head, "doc_id", "left").join(nested, "doc_id", "left")
+    none = _join(_join(docs.select("doc_id", F.xxhash64("text").alias("doc_key")).distinct(), head), nested)
     sections_type = nested.schema["sections"].dataType
     return none.select("doc_id", F.coalesce("header", F.array().cast("array<string>")).alias("header"), F.coalesce("sections", F.array().cast(sections_type)).alias("sections"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from sheaf.plans.corpora import literal, quoted, resumes, values_sql
 from sheaf.plans.parsing_queries import HEADINGS
 from sheaf.plans.record_queries import MESSAGES
 from sheaf.sources import files, sinks
+from sheaf.sources.staging import stage_folder
 
 col = F.col
 
@@ -126,7 +126,7 @@ def rnd12_timestamp(spark, sf_dir):
 
 def src1_text_files(spark, sf_dir):
     """Texts written as files and read again, whole, with their line ends."""
-    folder = f"{tempfile.mkdtemp(prefix='sheaf-src-')}"
+    folder = stage_folder(spark, "texts")
     rows = literal(spark, [("in", f"{i}.txt", m + "\r\nend") for i, m in MESSAGES], "run_dir string, file_name string, content string")
     sinks.write_files(rows, folder).count()
     return files.read_text(spark, f"{folder}/in").select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("int").alias("id"), "text")
@@ -134,7 +134,7 @@ def src1_text_files(spark, sf_dir):
 
 def snk3_saved_profiles(spark, sf_dir):
     """Profiles saved, loaded, and checked as they are loaded."""
-    folder = f"{tempfile.mkdtemp(prefix='sheaf-snk-')}/context"
+    folder = f"{stage_folder(spark, 'profiles')}/context"
     rows = literal(spark, [(1, json.dumps({"summary": "s", "name": " Ann "})), (2, json.dumps({"name": "no summary"}))], "doc_id long, data string")
     sinks.save_profiles(rows, folder)
     out = files.load_profiles(spark, folder)

@@ -14,7 +14,7 @@ DATES = [(1, "2021-2025"), (2, "Jan 2020 – Present"), (3, "2018 to 2020"), (4,
 
 
 def prs1_lines(spark, sf_dir):
-    return P.lines(resumes(spark, sf_dir))
+    return P.lines(resumes(spark, sf_dir)).drop("doc_key")
 
 
 def prs2_strip_heading(spark, sf_dir):
@@ -28,7 +28,7 @@ def prs4_section_type(spark, sf_dir):
 def prs6_date_range(spark, sf_dir):
     r = T.date_range(F.col("line"))
     own = literal(spark, DATES, "id int, line string").select(F.col("id").cast("long").alias("doc_id"), F.lit(-1).alias("pos"), "line")
-    return P.lines(resumes(spark, sf_dir)).unionByName(own).select("doc_id", "pos", r["start"].alias("start_date"), r["end"].alias("end_date"), T.lone_date(F.col("line")).alias("lone")).where("start_date is not null or lone")
+    return P.lines(resumes(spark, sf_dir)).drop("doc_key").unionByName(own).select("doc_id", "pos", r["start"].alias("start_date"), r["end"].alias("end_date"), T.lone_date(F.col("line")).alias("lone")).where("start_date is not null or lone")
 
 
 def prs7_role_company(spark, sf_dir):

@@ -13,6 +13,7 @@ from sheaf.operators import rules as U
 from sheaf.operators import validation as V
 from sheaf.plans import duck as D
 from sheaf.plans.corpora import literal, quoted, resumes, values_sql
+from sheaf.sources.staging import stage_table
 
 col = F.col
 
@@ -53,7 +54,8 @@ def evd3_match_score(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    return P.items_with_bullets(P.parse(resumes(spark, sf_dir))).withColumnsRenamed({"start_date": "startDate", "end_date": "endDate"})
+    """Parsed once and written: queries name it on both sides of a join."""
+    return stage_table(P.items_with_bullets(P.parse(resumes(spark, sf_dir))).withColumnsRenamed({"start_date": "startDate", "end_date": "endDate"}), "items")
 
 
 def _experiences(items):

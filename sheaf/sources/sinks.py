@@ -39,6 +39,8 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
                 attempt = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(attempt) as out:
                     out.write((pretty(content) if name.endswith(".json") else content).encode("utf-8"))
+                if system.get_file_info(path).type != fs.FileType.NotFound:  # some file systems refuse to move onto a file
+                    system.delete_file(path)
                 system.move(attempt, path)
                 done.append(path)
             yield pd.DataFrame({"path": done})
@@ -49,8 +51,13 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 def save_profiles(profiles: DataFrame, path: str) -> None:
     """Overwrites the saved profiles, one JSON file for each row of (doc_id, data)."""
     rows = profiles.select(F.lit("").alias("run_dir"), F.concat(F.lit("profile-"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"), F.col("data").alias("content"))
-    delete_if_exists(profiles.sparkSession, path)
-    write_files(rows, path).count()
+    spark, new = profiles.sparkSession, f"{resolve(path).rstrip('/')}.{uuid.uuid4().hex[:12]}"
+    write_files(rows, new).count()
+    # The old ones go when the new ones are whole.
+    delete_if_exists(spark, path)
+    if exists(spark, new):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        p(new).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p(new), p(resolve(path)))
 
 
 def delete_if_exists(spark: SparkSession, path: str) -> bool:

@@ -1,17 +1,25 @@
-"""Tables between steps that must not be computed twice, in the folder that the cluster shares."""
+"""Tables and folders between steps, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``. Unset, it is a local one where driver and executors are one machine, and an error elsewhere."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sheaf-stage-")
+    return f"{base.rstrip('/')}/sheaf-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir`` (unset, as in tests: a new local folder) and reads it again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sheaf-stage-")
-    path = f"{base.rstrip('/')}/sheaf-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """Writes ``df`` as a table that must not be computed twice, and reads it again."""
+    path = stage_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -153,3 +153,31 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text(CV)
     parse_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_documents_that_share_an_id_are_parsed_apart(spark):
+    from sheaf.operators import parsing as P
+
+    a, b = "A\nExperience\n### Dev, One\n2019-2020\n- did a", "B\nSkills\n- s\nExperience\n### Ops, Two\n2011-2012\n- did b"
+    rows = [(1, a), (1, b), (1, a), (None, a), (None, b), (2, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = sorted((r.doc_id or 0, r.company, r.start_date, tuple(r.bullets)) for r in P.items_with_bullets(P.parse(docs)).collect())
+    assert items == [(d, *rest) for d in (0, 1) for rest in (("One", "2019", ("did a",)), ("Two", "2011", ("did b",)))]
+    found = sorted((r.doc_id or 0, r.header, len(r.sections)) for r in P.semantic(docs).collect())
+    assert found == [(0, ["A"], 1), (0, ["B"], 2), (1, ["A"], 1), (1, ["B"], 2), (2, [], 0), (2, [], 0)]
+
+
+def test_settings_file_and_unreadable_documents(spark, tmp_path, monkeypatch):
+    import os
+
+    from sheaf import __main__ as cli
+
+    monkeypatch.setenv("SHEAF_A", "kept")
+    monkeypatch.delenv("SHEAF_B", raising=False)
+    (tmp_path / ".env").write_text("# note\nSHEAF_A=other\nexport SHEAF_B='x y'\nSHEAF_C=v # why\nbroken\n")
+    cli.load_env(str(tmp_path / ".env"))
+    assert (os.environ["SHEAF_A"], os.environ.pop("SHEAF_B"), os.environ.pop("SHEAF_C")) == ("kept", "x y", "v")
+    (tmp_path / "cv.pdf").write_bytes(b"no pdf")
+    monkeypatch.setattr("sheaf.sources.files.pdf_text", lambda content: 1 / 0)
+    assert cli.main(["profile", "build", "--cv", str(tmp_path / "cv.pdf"), "--context", str(tmp_path / "c")]) == 1
+    assert not (tmp_path / "c").exists()
