@@ -5,7 +5,7 @@ Units of a text that may be removed are
   - every line of 50 words or more,
   - content-defined chunks: each line is hashed, a rolling hash covers each line and the
     one before it, and a chunk ends where the rolling hash is a local minimum.
-A unit is removed wherever it repeats, in any document; its first place, by doc_id and then
+A unit is removed wherever it repeats, in any document; its first place, by doc_id, then by a hash of the text and then
 by position, keeps it, and so does a place in the same document that overlaps the first.
 What goes is the union of the lines covered, so a passage of two lines or more goes
 wherever its borders lie; chunks take the blank lines at its edges along. The first place
@@ -22,13 +22,16 @@ All of it is DataFrame and SQL functions.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes before all others.
 Rows with the same doc_id and text are one document that is there twice: both stay as
-they are, less what other documents or its own lines repeat. Empty texts stay. An empty
+they are, less what other documents or its own lines repeat. Rows of one doc_id (or none) with different texts are
+documents of their own, in the order of their hashes. Texts of any length are taken whole; the units of one text are one array. Empty texts stay. An empty
 table gives an empty result. All columns of the input pass through ``dedup_lines``; ``text``
 is replaced, and ``n_lines_removed`` is added or replaced.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +90,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the repeats of units, and ``n_lines_removed``."""
     lowest = F.lit(-(2**63)).cast("long")
     columns = [c for c in docs.columns if c != "n_lines_removed"]
-    own = docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.xxhash64(text_col).alias("_th"))
+    own = docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.shiftrightunsigned(F.xxhash64(text_col), 2).alias("_th"))
+    # Id and hash as one number, as numbers combine in place before the shuffle.
+    rank = F.col("_id").cast("decimal(19,0)") * F.lit(Decimal(2**62)) + F.col("_th").cast("decimal(19,0)")
 
     # A text of one short line has no unit.
     places = own.where(F.contains(text_col, F.lit("\n")) | (F.length(text_col) >= 2 * long_words - 1)).select("_id", "_th", F.inline(units(F.col(text_col), min_lines, long_words)))
@@ -97,9 +102,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = held.where("_found is not null")
 
     equal = some.select("_id", "_th", F.inline(bodies(F.col(text_col), F.col("_found"), min_lines)))
-    repeated = equal.groupBy("h", "body").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "body", "first")
-    again = equal.select("_id", "_th", "h", "s", "n", "again", F.length("body").alias("size"))
-    hits = again.join(repeated, "h").where((F.col("size") == F.length("body")) & (F.col("again") | (F.col("_id") > F.col("first"))))
+    repeated = equal.groupBy("h", "body").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "body", "first")
+    again = equal.select("_id", "_th", rank.alias("_rank"), "h", "s", "n", "again", F.length("body").alias("size"))
+    hits = again.join(repeated, "h").where((F.col("size") == F.length("body")) & (F.col("again") | (F.col("_rank") > F.col("first"))))
     removed = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n", "body")).alias("_cut")).withColumnsRenamed({"_id": "_cid", "_th": "_cth"})
     joined = some.join(removed, (F.col("_id") == F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
 

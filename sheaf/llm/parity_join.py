@@ -586,8 +586,9 @@ def cross_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, bucket_key
     return pairs
 
 
-def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000, block_rows: int = 8192, class_bits: int = 64) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000, block_rows: int = 8192, class_bits: int = 64, detail: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; with ``detail`` also text_hash (xxhash64) and component,
+    which tells apart components whose smallest doc_id is the same (null: a row of its own).
 
     ``bucket_keys``: keys that one task compares; ``block_rows``: classes of one group that one task compares with
     as many others; ``class_bits``: bits of class ids before those of different sets are told apart.
@@ -617,7 +618,8 @@ def near_duplicates(docs: DataFrame, bucket_keys: int = 1_500_000, block_rows: i
         release(second)
     whole = classes.select("cls", "least").join(comps, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = materialize(whole.select("cls", "comp").join(least, "comp").select(F.col("cls").alias("c"), "component_id"), "component-ids")
+    ids = materialize(whole.select("cls", "comp").join(least, "comp").select(F.col("cls").alias("c"), "comp", "component_id"), "component-ids")
     release(groups, mixed, candidates, pairs, first, rest, comps, classes)
     out = sets.join(ids, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = [F.col("th").alias("text_hash"), F.col("comp").alias("component")] if detail else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)

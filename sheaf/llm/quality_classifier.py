@@ -5,7 +5,8 @@ A document classifier gives each document a log-odds of evidence. Documents of o
 toward the global rate, the path's rate toward its site's, each by a strength that is
 itself estimated from the spread of the rates (method of moments), so a site with few
 documents takes the global prior and a large one its own. A document's posterior adds
-the evidence to the log-odds of its path's rate.
+the evidence to the log-odds of its path's rate. All three rates are taken over the other documents: a
+document's own evidence is left out of them, so that it counts once. (The global rate counts the share of good labels as one document.)
 
 The classifier is logistic regression on counts of the text, fitted on about
 ``max_train`` labelled documents at most, chosen by a hash of doc_id; this is the
@@ -16,7 +17,8 @@ documents as a table whose size Spark knows, and is broadcast only when that is
 Nulls: a null text counts as empty; a null site or path is a group of its own. Labels
 with a null id or quality are not used; repeated labels of one document count once each.
 Without any usable labels, or with one class only, the evidence is 0 for all. An empty
-table gives an empty result. All columns of the input pass through ``classify``;
+table gives an empty result. Repeated rows count as often as they occur and are judged alike; a posterior equal to the
+threshold is kept. Texts of any length are taken whole. All columns of the input pass through ``classify``;
 ``evidence``, ``site_rate``, ``path_rate``, ``posterior`` and ``kept`` replace columns of these names.
 """
 
@@ -151,11 +153,15 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, thr
     sites = sites.withColumn("site_rate", (F.col("_sgood") + a * overall) / (F.col("_sn") + a))
     both = paths.join(sites, paths["_site"].eqNullSafe(sites["_s"])).withColumn("_r", F.col("_good") / F.col("_n"))
     b = strength(both, "_r", "_n", F.col("site_rate"))
-    rates = both.select("_site", "_path", "site_rate", ((F.col("_good") + b * F.col("site_rate")) / (F.col("_n") + b)).alias("path_rate"))
-    rates = materialize(rates, "path-rates").withColumnsRenamed({"_site": "_rs", "_path": "_rp"})
-
-    scored = featured.withColumn("evidence", model.log_odds(F.col("_x")))
-    joined = scored.join(rates, F.col("_site").eqNullSafe(F.col("_rs")) & F.col("_path").eqNullSafe(F.col("_rp")), "left")
+    sums = materialize(both.select(F.col("_site").alias("_rs"), F.col("_path").alias("_rp"), "_good", "_n", "_sgood", "_sn"), "path-rates")
+
+    scored = featured.withColumn("evidence", model.log_odds(F.col("_x"))).withColumn("_p", p)
+    joined = scored.join(sums, F.col("_site").eqNullSafe(F.col("_rs")) & F.col("_path").eqNullSafe(F.col("_rp")), "left")
+    # A document's own evidence is left out of the rates that it is combined with: it counts once.
+    others = F.lit(float(total[0])) - F.col("_p") + F.lit(share)
+    joined = joined.withColumn("_all", others / F.lit(float(total[1])))
+    joined = joined.withColumn("site_rate", (F.col("_sgood") - F.col("_p") + a * F.col("_all")) / (F.col("_sn") - 1 + a))
+    joined = joined.withColumn("path_rate", (F.col("_good") - F.col("_p") + b * F.col("site_rate")) / (F.col("_n") - 1 + b))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate")))))
     out = joined.withColumn("posterior", posterior).withColumn("kept", F.col("posterior") >= threshold)
     return out.select(*kept, *OWN)

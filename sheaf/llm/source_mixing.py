@@ -9,7 +9,8 @@ have the target shares in expectation. A document is kept if a hash of its id, a
 from 0 to 1, is below that probability: the choice does not depend on partitions or retries.
 
 Cells are far fewer than documents and are summed with aggregation that combines before
-the shuffle; raking runs over the cell table with window sums. The probabilities join the
+the shuffle; raking runs over the cell table with window sums, in one task: the table grows with the number of different
+sources, languages and topics, not with documents. The probabilities join the
 documents as a table whose size Spark knows.
 
 Targets: shares by name, or ``power``: shares of the corpus to a power below 1, which
@@ -20,7 +21,8 @@ Nulls: a null source, language or topic is a group of its own, named by the empt
 null texts have no tokens. A document without tokens has weight in no cell and is not
 kept. A null doc_id is hashed as the empty string. Repeated rows are kept or left
 together. An empty table gives an empty result. All columns of the input pass through
-``mix``; ``topic``, ``n_tokens``, ``p_keep`` and ``kept`` replace columns of these names.
+``mix``; a column ``topic`` is raked as it is, and where there is none the form of a text (by its length and table marks)
+stands in for it. Texts of any length are taken whole. ``topic`` (nulls named by the empty string), ``n_tokens``, ``p_keep`` and ``kept`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -89,12 +91,10 @@ def rake(cells: DataFrame, targets: dict[str, Target], sweeps: int = 12) -> Data
 
 
 def mix(docs: DataFrame, targets: dict[str, Target] | None = None, topic: Column | None = None, sweeps: int = 12, seed: str = "mix:", most_cells: int = 200_000) -> DataFrame:
-    """``docs`` with topic, n_tokens, p_keep and kept.
-
-    Up to ``most_cells`` cells are raked in one partition, where window sums need no
-    exchange; beyond it by the same plan over many. The result is the same.
-    """
+    """``docs`` with topic, n_tokens, p_keep and kept. Up to ``most_cells`` cells are one partition from the start, where window sums need no exchange."""
     kept = [c for c in docs.columns if c not in OWN]
+    if topic is None and "topic" in docs.columns:
+        topic = docs["topic"]
     rows = docs.select(*[docs[c] for c in kept], (form() if topic is None else F.coalesce(topic.cast("string"), F.lit(""))).alias("topic"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     named = [F.coalesce(F.col(a).cast("string"), F.lit("")).alias(a) for a in AXES]
     cells = materialize(rows.select(*named, "n_tokens").where("n_tokens > 0").groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")

@@ -7,7 +7,8 @@ and a text moves once. A task encodes its range and streams one file to the shar
 
 Boundaries (n + 1 of them) and doc ids are Elias-Fano coded; the footer has their places
 and the number of leading documents without an id. A file is written under a name of its
-attempt and then renamed, so that a lost executor or a second attempt leaves a whole file.
+attempt, and the manifest, a table that is committed when all tasks are done, names the attempts that count: a lost
+executor or a second attempt leaves at most a file that no manifest names.
 A shard's first position comes from the running sum over shards, one row for each file.
 
 Nulls: a null text is empty (its document holds the end id only); rows with a null doc_id
@@ -83,9 +84,8 @@ class ShardWriter:
     def __init__(self, folder: str, shard: int, width: int):
         self.fs, root = file_system(folder)
         self.fs.create_dir(root, recursive=True)
-        self.path, self.width, self.folder, self.shard = f"{root}/shard-{shard:08d}.tok", width, folder, shard
-        self.attempt = f"{root}/.{shard:08d}-{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.attempt)
+        self.path, self.width, self.folder, self.shard = f"{root}/shard-{shard:08d}-{uuid.uuid4().hex[:12]}.tok", width, folder, shard
+        self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.ends, self.doc_ids, self.total, self.nulls = [np.zeros(1, np.int64)], [], 0, 0
 
@@ -103,7 +103,6 @@ class ShardWriter:
         n = sum(map(len, self.ends)) - 1
         self.out.write(ends + docs + FOOTER.pack(n, self.total, self.nulls, at, at + len(ends), self.width))
         self.out.close()
-        self.fs.move(self.attempt, self.path)
         return self.shard, f"{self.folder}/{os.path.basename(self.path)}", n, self.total
 
 

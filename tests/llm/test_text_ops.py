@@ -88,6 +88,44 @@ def test_line_dedup_finds_short_passages_between_unrelated_lines(spark, blank):
     assert got == want
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    lines = [f"line {i} of a passage" for i in range(20)]
+    rows = [(1, "\n".join(["a b", *lines])), (1, "\n".join([*lines, "c d"])), (None, "\n".join(["e f", *lines, "g"])), (9, "\n".join(lines[:3])), (9, "\n".join(lines[:3]))]
+    got = [(r.doc_id, r.text, r.n_lines_removed) for r in dedup_lines(docs(spark, rows)).collect()]
+    whole = [x for x in got if lines[5] in x[1]]
+    assert len(got) == 5 and len(whole) == 1 and whole[0][0] is None  # the one without an id comes first
+    assert Counter((d, t) for d, t, _ in got if d is not None) == Counter([(1, "a b"), (1, "c d"), (9, ""), (9, "")])
+    two = [(7, "p\nq r\ns t"), (7, "q r\ns t\nu")]
+    left = sorted(t for _, t, _ in ((r.doc_id, r.text, 0) for r in dedup_lines(docs(spark, two)).collect()))
+    assert left in (["p", "q r\ns t\nu"], ["p\nq r\ns t", "u"])
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Windows of two lines and long lines, by dictionaries, over every document; chunks only add to what goes."""
+    from tests.conftest import SF
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    places: dict[tuple, list] = {}
+    for d in sorted(texts):
+        lines = texts[d].split("\n")
+        full = [i for i, x in enumerate(lines) if words(x)]
+        for i, j in zip(full, full[1:]):
+            places.setdefault(tuple(lines[i : j + 1]), []).append((d, i, j + 1))
+        for i in full:
+            if len(words(lines[i])) >= 50:
+                places.setdefault((lines[i],), []).append((d, i, i + 1))
+    gone: dict[int, set] = {}
+    for found in places.values():
+        first, end = found[0][0], found[0][2]
+        for d, i, j in found[1:]:
+            if d != first or i >= end:
+                gone.setdefault(d, set()).update(range(i, j))
+    must = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in texts.items()}
+    got = {r.doc_id: r.text or "" for r in dedup_lines(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).collect()}
+    differ = [d for d in texts if [x for x in got[d].split("\n") if words(x)] != [x for x in must[d].split("\n") if words(x)]]
+    assert set(got) == set(texts) and not differ
+
+
 def test_line_dedup_within_a_text(spark):
     rows = [(1, "\n".join(["r s"] * 5)), (2, "u v\nw x\ny z\nu v\nw x"), (3, "k l\nm n"), (4, "q\nk l\nm o"), (5, "x y " * 24 + "z"), (6, "x y " * 24 + "z"), (7, "v w " * 25), (8, "v w " * 25)]
     got = {r.doc_id: r.text for r in dedup_lines(docs(spark, rows)).collect()}
@@ -108,6 +146,8 @@ def test_mix_meets_targets(spark):
         got = kept.groupby(column).n_tokens.sum() / kept.n_tokens.sum()
         assert all(abs(got[k] - v) < 0.05 for k, v in share.items())
     assert not out[out.n_tokens == 0].kept.any()
+    own = mix(docs(spark, [(i, "w " * (10 + i % 7), "a", "x", "t1" if i % 4 else "t2") for i in range(2000)], schema + ", topic string"), {**targets, "source": Target(), "lang": Target(), "topic": Target(shares={"t1": 0.5, "t2": 0.5})}).where("kept").groupBy("topic").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.topic for r in own} == {"t1", "t2"} and max(r.n for r in own) / sum(r.n for r in own) < 0.56
     assert mix(docs(spark, [], schema).where("false")).count() == 0
 
 
@@ -128,6 +168,68 @@ def test_classifier_held_out_accuracy_and_odd(spark):
     assert [r.evidence for r in none] == [0.0] * 5
 
 
+def test_classifier_against_plain_sums(spark):
+    """Rates and posteriors from the evidence, by plain sums over the other documents."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 7))) * (1 + (i % 5 == 0) * 4) for _ in range(rng.randint(1, 50))), rng.choice("aaab") + str(i % 40 // 39), rng.choice(["x", "y", None])) for i in range(300)]
+    rows += [rows[4], rows[4], (900, "alone there", "only", "x")]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(150)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    out = classify(docs(spark, rows, "doc_id long, text string, source string, lang string"), labels, F.col("source"), F.col("lang")).collect()
+    assert len(out) == len(rows)
+    y = [i % 5 > 0 for i in range(150)] + [True] + [True, True]  # row 4 is there three times
+    share = sum(y) / len(y)
+    p = [1 / (1 + math.exp(-(r.evidence + math.log(share / (1 - share))))) for r in out]
+    n = len(out)
+    site, path = {}, {}
+    for r, x in zip(out, p, strict=True):
+        for d, k in ((site, r.source), (path, (r.source, r.lang))):
+            s, c = d.get(k, (0.0, 0))
+            d[k] = s + x, c + 1
+
+    def strength(groups):
+        num = sum(c * (s / c - m) ** 2 for s, c, m in groups) - sum(m * (1 - m) for _, _, m in groups)
+        total = sum(c for _, c, _ in groups)
+        between, within = num / total, sum(m * (1 - m) * c for _, c, m in groups) / total
+        return 10_000.0 if between <= 0 else min(10_000.0, max(1.0, within / between - 1))
+
+    overall = sum(p) / n
+    a = strength([(s, c, overall) for s, c in site.values()])
+    mean = {k: (s + a * overall) / (c + a) for k, (s, c) in site.items()}
+    b = strength([(s, c, mean[k[0]]) for k, (s, c) in path.items()])
+    for r, x in zip(out, p, strict=True):
+        rest = (sum(p) - x + share) / n
+        (s, c), (t, e) = site[r.source], path[r.source, r.lang]
+        own_site = (s - x + a * rest) / (c - 1 + a)
+        own_path = (t - x + b * own_site) / (e - 1 + b)
+        want = 1 / (1 + math.exp(-(r.evidence + math.log(own_path / (1 - own_path)))))
+        assert (r.site_rate, r.path_rate, r.posterior) == pytest.approx((own_site, own_path, want), rel=1e-6)
+
+
+def test_rules_against_plain_expectation_maximisation(spark):
+    """Posteriors by plain loops over documents instead of patterns."""
+    from sheaf.llm.quality_rules import RULES
+
+    from tests.conftest import SF
+
+    out = judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    votes, size = [list(r.votes) for r in out], len(RULES)
+    m, gp, gn, bp, bn = 0.8, [0.7] * size, [0.02] * size, [0.3] * size, [0.3] * size
+
+    def good(v):
+        side = lambda prior, p, n: math.log(prior) + sum(math.log(p[k] if x == 1 else n[k] if x == -1 else max(1 - p[k] - n[k], 1e-9)) for k, x in enumerate(v))
+        return 1 / (1 + math.exp(side(1 - m, bp, bn) - side(m, gp, gn)))
+
+    for _ in range(12):
+        q = [good(v) for v in votes]
+        rate = lambda w, k, x: (sum(a for a, v in zip(w, votes, strict=True) if v[k] == x) + 1) / (sum(w) + 3)
+        bad = [1 - x for x in q]
+        m = (sum(q) + 1) / (len(q) + 2)
+        gp, gn, bp, bn = ([rate(w, k, x) for k in range(size)] for w, x in ((q, 1), (q, -1), (bad, 1), (bad, -1)))
+    for r, v in zip(out, votes, strict=True):
+        assert r.quality == pytest.approx(good(v), rel=1e-6, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 def test_fit_separates():
     x = np.r_[np.zeros((50, 2)), np.ones((50, 2))] + np.random.default_rng(0).normal(0, 0.1, (100, 2))
     m = fit(x, np.r_[np.zeros(50), np.ones(50)])
