@@ -4,6 +4,11 @@ near copies, mixed to target weights and encoded.
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all
 but the last return the columns of documents. ``run`` writes each stage's rows as Parquet in
 the shared folder and reads them again for the next.
+
+Nulls: rows without a doc_id or a text are documents like others (see the operators): a null text passes as empty through
+classifier and line dedup, and has no tokens, so that the mixing stage does not keep it. Repeated rows are one after the join.
+Texts of any length are taken whole. Empty tables give an empty result. Columns besides those of documents pass through,
+whatever their names; only the last stage replaces columns named ids, n_tokens, parity and round_trip.
 """
 
 from __future__ import annotations
@@ -35,9 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest doc_id stays."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """Of each component of near copies one row stays: that with the smallest doc_id, and of rows that share it the one
+    whose text has the smallest hash. Rows that repeat doc_id and text count once, those without words, too."""
+    found = near_duplicates(docs, detail=True)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    firsts = found.where("component is not null").groupBy("component").agg(F.min(order).alias("f")).select("f.doc_id", "f.text_hash")
+    keep = firsts.unionByName(found.where("component is null").select("doc_id", "text_hash").distinct())
+    # The same keys for the join and for what repeats: one exchange of texts.
+    key = lambda d, h: [F.coalesce(d, F.lit(0)), d.isNull(), h]
+    own = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(f"k{i}") for i, c in enumerate(key(F.col("doc_id").cast("long"), F.xxhash64("text")))])
+    wanted = keep.select(*[c.alias(f"k{i}") for i, c in enumerate(key(F.col("doc_id"), F.col("text_hash")))])
+    return own.join(wanted, ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
