@@ -141,7 +141,59 @@ def snk3_saved_profiles(spark, sf_dir):
     return out.select(F.regexp_extract("path", r"profile-(\d+)\.json$", 1).cast("long").alias("doc_id"), F.get_json_object("data", "$.name").alias("name"), col("error").isNull().alias("valid"))
 
 
-_OWN = (prs3_normalize_heading, prs5_date_pattern, prs11_lone_date, evd4_employment_items, jsn5_repair_messages, val7_all_schemas, val8_whole_run, llm1_provider_names, pmt_prompts, rnd3_location, rnd4_improvements, rnd9_closing, rnd12_timestamp, src1_text_files, snk3_saved_profiles)
+def _benchmark_files(spark, sf_dir) -> str:
+    """A folder with one file for each benchmark text; the odd ones are named as PDFs, in capitals."""
+    folder = stage_folder(spark, "benchmark")
+    name = F.concat(col("item_id").cast("string"), F.when(col("item_id") % 2 == 0, ".txt").otherwise(".PDF"))
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("in").alias("run_dir"), name.alias("file_name"), F.concat("text", F.lit("\r\nend")).alias("content"))
+    sinks.write_files(rows, folder).count()
+    return f"{folder}/in"
+
+
+def _item():
+    return F.regexp_extract("path", r"(\d+)\.(?:txt|PDF)$", 1).cast("long").alias("item_id")
+
+
+def src2_binary_files(spark, sf_dir):
+    """Bytes of files, by their digest."""
+    return files.read_binary(spark, _benchmark_files(spark, sf_dir)).select(_item(), F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+def src3_documents_by_extension(spark, sf_dir):
+    """Text files as they are, others through the PDF reader that is given; what it gives is trimmed, and nothing is an error."""
+    out = files.read_documents(spark, _benchmark_files(spark, sf_dir), pdf_reader=lambda content: "" if content[:1] in b"aeiou" else f" page: {content.decode()} ")
+    return out.select(_item(), "text", F.substring_index("error", ' "', 1).alias("problem"))
+
+
+def src6_exists_deleted(spark, sf_dir):
+    """Whether a folder is there before and after it is deleted, and what deleting says, the second time, too."""
+    folder = _benchmark_files(spark, sf_dir)
+    said = [files.exists(spark, folder), sinks.delete_if_exists(spark, folder), files.exists(spark, folder), sinks.delete_if_exists(spark, folder)]
+    return literal(spark, list(enumerate(said)), "step int, said boolean")
+
+
+def src9_resolved_paths(spark, sf_dir):
+    paths = ["/a/b", "s3://bucket/x", "file:///c", "rel/d"]
+    return literal(spark, [(p, files.resolve(p) == p, files.resolve(p).endswith(p)) for p in paths], "path string, same boolean, ends boolean")
+
+
+PRETTY = '{"b":[1,{"é":null}],"a":{},"c":[],"d":"x\\ny"}'
+
+
+def snk6_pretty_json(spark, sf_dir):
+    """A JSON file as it is written, line by line, and a text file of the same content, which stays as it is."""
+    folder = stage_folder(spark, "json")
+    sinks.write_files(literal(spark, [("r", "a.json", PRETTY), ("r", "a.txt", PRETTY)], "run_dir string, file_name string, content string"), folder).count()
+    rows = files.read_text(spark, f"{folder}/r").select(F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows
+
+
+def rul6_has_text(spark, sf_dir):
+    """Of every document, and of its first line."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.has_text(col("text")).alias("whole"), T.has_text(F.substring("text", 1, 1)).alias("opens"))
+
+
+_OWN = (src2_binary_files, src3_documents_by_extension, src6_exists_deleted, src9_resolved_paths, snk6_pretty_json, rul6_has_text, prs3_normalize_heading, prs5_date_pattern, prs11_lone_date, evd4_employment_items, jsn5_repair_messages, val7_all_schemas, val8_whole_run, llm1_provider_names, pmt_prompts, rnd3_location, rnd4_improvements, rnd9_closing, rnd12_timestamp, src1_text_files, snk3_saved_profiles)
 QUERIES = {f.__name__: f for f in (*_OWN, *map(_kind_query, _KINDS))}
 
 _P = D.parse_ctes()
@@ -170,6 +222,12 @@ ORACLES = {
     "rnd4_improvements": f"select n_nationkey, {_doc('CV Improvements', [('Suggested Improved CV Bullets', _ONE), ('Skills To Emphasize', _NONE), ('Experience That Should Be Rewritten', f'''{quoted('- a')} || {_NL} || {quoted('- b')}'''), ('Missing Keywords From The Job Description', _NONE)])} improvements, {_doc('Interview Prep', [('Likely Interview Topics', _NONE), ('Technical Questions', _ONE), ('Behavioral Questions', _NONE), ('Suggested Talking Points', _NONE)])} prep from nation",
     "rnd9_closing": f"select id, {D.closing('m')} closed from ({_MSG})",
     "rnd12_timestamp": "select event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') stamp from events",
+    "src2_binary_files": f"select item_id, octet_length(encode(t))::bigint n_bytes, md5(t) digest from (select item_id, text || chr(13) || {_NL} || 'end' t from benchmark)",
+    "src3_documents_by_extension": f"select item_id, case when item_id % 2 = 0 then t when not v then 'page: ' || t end as text, case when item_id % 2 = 1 and v then 'No text could be extracted from' end problem from (select item_id, text || chr(13) || {_NL} || 'end' t, contains('aeiou', left(text, 1)) v from benchmark)",
+    "src6_exists_deleted": "select * from (values (0, true), (1, true), (2, false), (3, false)) v(step, said)",
+    "src9_resolved_paths": "select * from (values ('/a/b', true, true), ('s3://bucket/x', true, true), ('file:///c', true, true), ('rel/d', false, true)) v(path, same, ends)",
+    "snk6_pretty_json": values_sql([("json", i, x) for i, x in enumerate(['{', '  "b": [', '    1,', '    {', '      "é": null', '    }', '  ],', '  "a": {},', '  "c": [],', '  "d": "x\\ny"', '}', ''])] + [("txt", 0, PRETTY)], ["kind", "pos", "line"]),
+    "rul6_has_text": f"select doc_id, coalesce(length({D.trim('text')}) > 0, false) whole, coalesce(length({D.trim('left(text, 1)')}) > 0, false) opens from documents",
     "src1_text_files": f"select id, m || chr(13) || {_NL} || 'end' as text from ({_MSG})",
     "snk3_saved_profiles": "select * from (values (1::bigint, 'Ann', true), (2, null, false)) v(doc_id, name, valid)",
     **{n: values_sql(list(enumerate(ok)), ["id", "valid"]) for n, (_, _, _, ok) in _KINDS.items()},

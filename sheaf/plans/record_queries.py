@@ -159,7 +159,7 @@ def val2_optional_text(spark, sf_dir):
     return literal(spark, OPTIONALS, "id int, answer string").withColumn("v", v).select("id", F.col("v.error").isNull().alias("valid"), F.get_json_object("v.data", "$.linkedinTone").alias("tone"), F.get_json_object("v.data", "$.linkedinTone").isNotNull().alias("present"))
 
 
-def val7_events_numbers(spark, sf_dir):
+def jsn_event_objects(spark, sf_dir):
     """Which events have properties that are JSON objects, over the whole table."""
     return _read(spark, sf_dir, "events").select("event_id", F.coalesce(F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT"), F.lit(False)).alias("is_object"))
 
@@ -311,7 +311,7 @@ ORACLES = {
     "jsn3_first_valid": f"select id, coalesce({_VALID}, false) valid, case when {_VALID} then sc end match_score from ({_JSON})",
     "val3_text_array": f"select id, coalesce(array_to_string(list_filter(list_transform((j->'$.gaps')::json[], lambda g: {_ITEM}), lambda x: x <> ''), '|'), '') gaps from ({_JSON}) where {_VALID}",
     "val2_optional_text": f"select id, coalesce(ty in ('VARCHAR'), true) and ty is distinct from 'NULL' valid, case when ty = 'VARCHAR' then nullif(trim((j->>'$.linkedinTone')), '') end tone, coalesce(ty = 'VARCHAR' and trim((j->>'$.linkedinTone')) <> '', false) present from (select id, answer::json j, json_type(answer::json, '$.linkedinTone') ty from ({values_sql(OPTIONALS, ['id', 'answer'])}))",
-    "val7_events_numbers": "select event_id, coalesce(json_valid(props) and json_type(props) = 'OBJECT', false) is_object from events",
+    "jsn_event_objects": "select event_id, coalesce(json_valid(props) and json_type(props) = 'OBJECT', false) is_object from events",
     "rul1_mentions_education": f"select id, {D.mentions_education('gap')} mentions from (select (generate_subscripts({_GAPS_SQL}, 1) - 1)::bigint id, unnest({_GAPS_SQL}) gap union all select conv_id * 1000 + turn + 100, text from conversations)",
     "rul2_satisfies": f"select id, {_MET} satisfied from ({_EDU_SQL})",
     "rul3_filter_gaps": f"select id, array_to_string(case when len(requirements) > 0 and not {_MET} then {_GAPS_SQL} else list_filter({_GAPS_SQL}, lambda g: not {D.mentions_education('g')}) end, '|') gaps from ({_EDU_SQL})",

@@ -181,3 +181,46 @@ def test_settings_file_and_unreadable_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("sheaf.sources.files.pdf_text", lambda content: 1 / 0)
     assert cli.main(["profile", "build", "--cv", str(tmp_path / "cv.pdf"), "--context", str(tmp_path / "c")]) == 1
     assert not (tmp_path / "c").exists()
+
+
+def test_local_provider_over_http_and_profile_commands(spark, tmp_path, monkeypatch, caplog):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sheaf import __main__ as cli
+    from sheaf.operators.model_stage import create_provider
+
+    asked, answers = [], [{"message": {"content": "  {} \n"}}, {"message": {"content": " "}}, {"error": "no such model"}]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps(answers[len(asked) - 1]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("OLLAMA_BASE_URL", f"http://127.0.0.1:{server.server_port}")
+    provider = create_provider("Ollama")
+    try:
+        assert provider.generate_text([{"role": "user", "content": "hi"}]) == "{}"
+        for wrong in ("empty response", "no such model"):
+            with pytest.raises(RuntimeError, match=wrong):
+                provider.generate_text([{"role": "user", "content": "hi"}], as_json=False)
+    finally:
+        server.shutdown()
+    assert [p for p, _ in asked] == ["/api/chat"] * 3 and asked[0][1]["format"] == "json" and "format" not in asked[1][1]
+    folder = str(tmp_path / "context")
+    sinks.save_profiles(spark.createDataFrame([(1, '{"summary":"s"}')], "doc_id long, data string"), folder)
+    sinks.save_profiles(spark.createDataFrame([(2, '{"summary":"t"}')], "doc_id long, data string"), folder)
+    assert [p.name for p in (tmp_path / "context").glob("*.json")] == ["profile-2.json"]
+    caplog.set_level("INFO", logger="sheaf")
+    for command, said in (("show", '"summary": "t"'), ("reset", "Deleted"), ("reset", "No profile"), ("show", "No profile")):
+        caplog.clear()
+        assert cli.main(["profile", command, "--context", folder]) == 0 and said in caplog.text
