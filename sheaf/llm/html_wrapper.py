@@ -43,10 +43,11 @@ import math
 import re
 import sys
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ BY_NAME, BY_CLASS = 1, 2
 class Node:
     """An element, or a text (name ""), of a page or of a wrapper."""
 
-    __slots__ = ("name", "mark", "drop", "text", "children", "kind", "pages", "varied", "constant", "linked", "key", "fixed")
+    __slots__ = ("name", "mark", "drop", "text", "children", "kind", "pages", "varied", "constant", "linked", "key", "fixed", "below")
 
     def __init__(self, name: str, mark: str = "", drop: int = 0, text: list[str] | str | None = None):
         self.name, self.mark, self.drop, self.text = name, mark, drop, text
@@ -100,6 +101,7 @@ class Node:
         self.kind = ""  # "" one, "?" optional, "+" repeated, "*" both
         self.pages, self.varied, self.constant, self.linked = 1, 0, 0, 0
         self.key = 0  # a hash of all it holds, 0 if that varies
+        self.below = 0  # nodes of a page, at its root
         self.fixed = False  # it stood word for word on two pages, and matches nothing else
 
     def like(self, other: Node) -> bool:
@@ -110,7 +112,7 @@ def parse(page: str) -> Node:
     """A page's tree. End tags that are left out are supplied; those that open nothing are ignored."""
     root = Node("html")
     stack, names, at = [root], ["html"], 0
-    opened: Counter = Counter()
+    opened: dict[str, int] = defaultdict(int)
     opened_ever = False
 
     def add_text(raw: str) -> None:
@@ -121,7 +123,8 @@ def parse(page: str) -> Node:
             top.children.append(Node("", text=[raw]))
 
     def close(found: int) -> None:
-        opened.subtract(names[found:])
+        for x in names[found:]:
+            opened[x] -= 1
         del stack[found:], names[found:]
 
     def last(wanted: str) -> int:
@@ -231,17 +234,21 @@ def element(name: str, rest: str, inside: bool) -> Node:
     return Node(name, " ".join(sorted({w for x in own for w in WORDS.findall(x) if not w.isdigit()})), drop)
 
 
-def digest(*parts: str | int) -> int:
-    import xxhash
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) or 1
 
-    return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) or 1
+
+def key_of(name: str, mark: str, keys: list[int]) -> int:
+    """The key of an element with children of these keys."""
+    return digest(f"{name} {mark}\0{keys}")
 
 
 def wrap(root: Node) -> Node:
     """A page as a wrapper of its own: white space between elements goes, words are counted, and everything has the key of what it holds. All text is constant until another page says otherwise."""
     order, linked = [], {id(root): False}
     for node in walk(root):
-        node.children = [c for c in node.children if c.name or c.text.strip()]
+        if node.children:
+            node.children = [c for c in node.children if c.name or c.text.strip()]
         for c in node.children:
             linked[id(c)] = linked[id(node)] or node.name == "a"
         order.append(node)
@@ -249,13 +256,21 @@ def wrap(root: Node) -> Node:
         if node.name == "":
             words = node.text.split()
             node.text = " ".join(words)
-            node.key = digest("", node.text)
+            node.key = digest(node.text)
             node.text = node.text[:40]  # for reading; the key compares
-            node.linked, node.constant = (len(words), 0) if linked[id(node)] else (0, len(words))
+            if linked[id(node)]:
+                node.linked = len(words)
+            else:
+                node.constant = len(words)
         else:
-            node.key = digest(node.name, node.mark, *(c.key for c in node.children))
-            node.constant = sum(c.constant for c in node.children if not c.drop)
-            node.linked = sum(c.linked for c in node.children if not c.drop)
+            keys, constant, links = [], 0, 0
+            for c in node.children:
+                keys.append(c.key)
+                if not c.drop:
+                    constant += c.constant
+                    links += c.linked
+            node.key, node.constant, node.linked = key_of(node.name, node.mark, keys), constant, links
+    root.below = len(order)
     return root
 
 
@@ -307,11 +322,13 @@ def option(a: Node) -> Node:
 
 def anchors(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
     """Places of what both lists hold word for word, ascending in both: the longest such sequence."""
+    if len(left) == 1 == len(right):
+        return [(0, 0)] if left[0].key and left[0].key == right[0].key and (left[0].constant or left[0].linked) else []
     places: dict[int, list[int]] = {}
     for i, a in enumerate(left):
         if a.key and (a.constant or a.linked):
             places.setdefault(a.key, []).append(i)
-    used: Counter = Counter()
+    used: dict[int, int] = defaultdict(int)
     pairs = []
     for j, b in enumerate(right):
         if b.key in places and used[b.key] < len(places[b.key]):
@@ -343,16 +360,18 @@ def align(left: list[Node], right: list[Node]) -> list[Node]:
 
     def between(left: list[Node], right: list[Node]) -> None:
         i = j = 0
-        further: list[dict[str, list[int]]] = [{}, {}]
-        for found, items in zip(further, (left, right), strict=True):
-            for k, x in enumerate(items):
-                if not x.fixed:
-                    found.setdefault(x.name, []).append(k)
+        further: list[dict[str, list[int]] | None] = [None, None]
 
         def find(side: int, items: list[Node], node: Node, start: int) -> int:
-            for k in further[side].get(node.name, ())[bisect_left(further[side].get(node.name, ()), start) :]:
-                if items[k].like(node):
-                    return k
+            if further[side] is None:
+                further[side] = {}
+                for k, x in enumerate(items):
+                    if not x.fixed:
+                        further[side].setdefault(x.name, []).append(k)
+            places = further[side].get(node.name, ())
+            for at in range(bisect_left(places, start), len(places)):
+                if items[places[at]].like(node):
+                    return places[at]
             return -1
 
         while i < len(left) and j < len(right):
@@ -400,12 +419,14 @@ def align(left: list[Node], right: list[Node]) -> list[Node]:
 
     i = j = 0
     for x, y in anchors(left, right):
-        between(left[i:x], right[j:y])
+        if i < x or j < y:
+            between(left[i:x], right[j:y])
         same = merge_one(left[x], right[y])
         same.fixed = True
         out.append(same)
         i, j = x + 1, y + 1
-    between(left[i:], right[j:])
+    if i < len(left) or j < len(right):
+        between(left[i:], right[j:])
     return out
 
 
@@ -556,9 +577,10 @@ def rule_of(wrapper: Node) -> dict:
     return {"path": steps, "part": [[n.name, n.mark, n.drop, n.kind, n.key if n.fixed else 0, int(n.fixed), len(n.children)] for n in walk(part)]}
 
 
-def load_rule(text: str) -> tuple[list[tuple[str, str]], Node]:
+def load_rule(text: str) -> tuple[list[tuple[str, str]], Node, bool]:
+    """The path, the region's part, and whether it has constant parts."""
     rule = json.loads(text)
-    return [(name, mark) for name, mark, times in rule["path"] for _ in range(times)], from_rows([[n, m, d, None, k, 1, 0, 0, 0, key, bool(f), c] for n, m, d, k, key, f, c in rule["part"]])
+    return [(name, mark) for name, mark, times in rule["path"] for _ in range(times)], from_rows([[n, m, d, None, k, 1, 0, 0, 0, key, bool(f), c] for n, m, d, k, key, f, c in rule["part"]]), any(x[5] for x in rule["part"])
 
 
 def apply_rule(region: Node, part: Node) -> None:
@@ -566,6 +588,8 @@ def apply_rule(region: Node, part: Node) -> None:
     todo = [(region, part)]
     while todo:
         node, known = todo.pop()
+        if not known.children:
+            continue
         keys = {k.key for k in known.children if k.fixed}
         at, others = 0, [k for k in known.children if not k.fixed]
         for c in node.children:
@@ -623,7 +647,7 @@ def blocks(region: Node) -> list[str]:
     return out
 
 
-def extract(page: str | None, rule: tuple[list[tuple[str, str]], Node] | None) -> str:
+def extract(page: str | None, rule: tuple[list[tuple[str, str]], Node, bool] | None) -> str:
     """The main text of a page, by its host's rule or else its own."""
     if not page:
         return ""
@@ -632,7 +656,8 @@ def extract(page: str | None, rule: tuple[list[tuple[str, str]], Node] | None) -
     if found:
         if rule[1].children:
             for r in found:
-                key_texts(r)
+                if rule[2]:
+                    key_texts(r)
                 apply_rule(r, rule[1])
     else:
         whole = wrap(parse(page))
@@ -645,9 +670,9 @@ def key_texts(region: Node) -> None:
     for node in reversed(list(walk(region))):
         if node.name == "":
             words = node.text.split()
-            node.key = digest("", " ".join(words)) if words else 0
+            node.key = digest(" ".join(words)) if words else 0
         else:
-            node.key = digest(node.name, node.mark, *(c.key for c in node.children if c.key))
+            node.key = key_of(node.name, node.mark, [c.key for c in node.children if c.key])
 
 
 def host_of(url: Column) -> Column:
@@ -681,13 +706,17 @@ def infer(pages: DataFrame, fan_in: int = 64) -> DataFrame:
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if not page or (host, digest(page)) in seen:
+                if not page or (known := (host, digest(page))) in seen:
                     continue
-                seen.add((host, digest(page)))
-                new = bounded(wrap(parse(page)))
-                held[host] = join(held[host], new) if host in held else new
-                total += (now := size(held[host])) - sizes.get(host, 0)
-                sizes[host] = now
+                seen.add(known)
+                new = wrap(parse(page))
+                held[host] = merge_one(held[host], new) if host in held else new
+                total += new.below
+                sizes[host] = sizes.get(host, 0) + new.below
+                if sizes[host] > MOST_NODES:  # a bound of its size: all that it has been merged with
+                    before, held[host] = sizes[host], bounded(held[host])
+                    sizes[host] = size(held[host]) // 2
+                    total += sizes[host] - before
                 if total > HELD_NODES:
                     yield _partials([(h, part, _dump(w)) for h, w in held.items()])
                     held, sizes, total = {}, {}, 0
