@@ -2,9 +2,13 @@
 
 A pseudo-rotation (three times: random signs, then the fast Hadamard transform) turns each
 unit vector; its code is the signed axis nearest to it. Near vectors tend to share codes.
-There are several tables, each with a rotation of its own. A query looks into the
-buckets of the axes nearest to it (multiprobe) in every table, and all candidates found
-are ranked by their exact inner products.
+There are several tables, each with rotations of its own. Where one code would leave more
+than ``even_rows`` vectors in an even bucket, a second code is concatenated: the nearest
+signed axis of another rotation among its first 1, 2, 4 ... axes, as many as bring buckets
+down to that size, so that the number of buckets grows with the vectors (to 16,384 a table;
+beyond it buckets are dealt out, see below). A query looks into the buckets nearest to it
+(multiprobe; over two codes by the sum of their squared distances) in every table, and all
+candidates found are ranked by their exact inner products.
 
 Vectors of different lengths are taken into account by one more coordinate, which makes
 all candidates equally long (queries have 0 there), so that the largest inner product is
@@ -16,7 +20,7 @@ coordinate is 0.
 How it runs. A count of the codes (bands x tables x codes rows) tells which buckets are large:
 those are dealt out over several salts, so a task compares at most ``bucket_rows``
 candidates with ``query_rows`` queries, however common a vector is. Vectors travel packed
-by bucket. A task keeps each query's best k, ties by id; a second exchange by
+by bucket, in 32 bits a component where the column has them. A task keeps each query's best k, ties by id; a second exchange by
 query merges them. Nothing is broadcast. The number of probes is measured: up to 200
 queries are compared with all vectors, the probe that reaches each of their true
 neighbours is computed, and the fewest probes are taken whose recall, less two standard
@@ -47,6 +51,8 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 TRUE = "slot int, places binary, ids binary, scores binary, probes binary"
 #: Largest by smallest length of a band, and bands at most.
 BAND, BANDS = 1.3, 8
+#: Buckets of a table at most, unless one code has more.
+CODES = 1 << 14
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -59,47 +65,83 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def last_axes(n: int, size: int, even_rows: int) -> int:
+    """Axes of the second code: the fewest (0 or a power of 2) with which ``n`` vectors dealt evenly leave ``even_rows`` in a bucket."""
+    last = 0
+    while 2 * size * max(1, 2 * last) * even_rows < n:
+        more = 2 * last or 1
+        if more > size or 4 * size * more > CODES:
+            break
+        last = more
+    return last
+
+
+def axis_code(y: np.ndarray) -> np.ndarray:
+    """2 * the axis nearest to each row, and 1 more for its negative side."""
+    axis = np.abs(y).argmax(1)
+    return 2 * axis + (y[np.arange(len(y)), axis] < 0)
+
+
+def axis_costs(y: np.ndarray) -> np.ndarray:
+    """How much farther than the nearest each signed axis lies, squared."""
+    both = np.empty((len(y), 2 * y.shape[1]))
+    both[:, 0::2], both[:, 1::2] = y, -y
+    return (both.max(1)[:, None] - both) ** 2
+
+
 class Hasher:
-    """Buckets of vectors in every band of lengths and table. ``longest``: the largest length of each band, or 0 for bands of one length; ``top``: the largest of all."""
+    """Buckets of vectors in every band of lengths and table. ``longest``: the largest length of each band, or 0 for bands of one length; ``top``: the largest of all; ``even_rows``: see ``last_axes``, of ``n`` vectors."""
 
-    def __init__(self, dim: int, tables: int, longest: tuple[float, ...] = (0.0,), top: float = 0.0, seed: int = 17):
+    def __init__(self, dim: int, tables: int, longest: tuple[float, ...] = (0.0,), top: float = 0.0, n: int = 0, even_rows: int = 1, seed: int = 17):
         self.dim, self.tables, self.longest, self.top = dim, tables, np.array(longest), top
         self.size = 1 << max(1, (dim + bool(self.longest.any()) - 1).bit_length())
-        self.codes = 2 * self.size
+        self.last = last_axes(n, self.size, even_rows)
+        self.codes = 2 * self.size * max(1, 2 * self.last)
         self.buckets = len(self.longest) * tables * self.codes
-        signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.size))
-        self.signs = signs
+        self.signs, self.more = (np.random.default_rng(at).choice([-1.0, 1.0], (tables, 3, self.size)) for at in (seed, seed + 1))
 
-    def _rotated(self, x: np.ndarray, lift: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    def _rotated(self, x: np.ndarray, lift: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """For each table the rotated rows, and the first axes of the second rotation where there is a second code."""
         wide = np.zeros((len(x), self.size))
         wide[:, : self.dim] = x
         if lift is not None and self.longest.any():
             wide[:, self.dim] = lift
-        for signs in self.signs:
+
+        def turn(signs: np.ndarray) -> np.ndarray:
             y = wide
             for s in signs:
                 y = hadamard(y * s)
-            yield y
+            return y
+
+        for t in range(self.tables):
+            yield turn(self.signs[t]), turn(self.more[t])[:, : self.last] if self.last else None
 
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band, and one code for each table, of each vector. Codes: 2 * axis, and 1 more for the negative side."""
+        """Band, and one code for each table, of each vector."""
         squares, out = (x**2).sum(1), np.empty((len(x), self.tables), np.int64)
         band = np.zeros(len(x), np.int64)
         if len(self.longest) > 1:
             band = np.clip(np.floor(np.log(self.top / np.sqrt(squares)) / math.log(BAND)), 0, len(self.longest) - 1).astype(np.int64)
         lift = np.sqrt(np.maximum(self.longest[band] ** 2 - squares, 0))
-        for t, y in enumerate(self._rotated(x, lift)):
-            axis = np.abs(y).argmax(1)
-            out[:, t] = 2 * axis + (y[np.arange(len(y)), axis] < 0)
+        for t, (y, z) in enumerate(self._rotated(x, lift)):
+            out[:, t] = axis_code(y) if z is None else axis_code(y) + 2 * self.size * axis_code(z)
         return band, out
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """The codes of each table, nearest signed axis first, for each query."""
-        out = np.empty((len(x), self.tables, self.codes), np.int64)
-        for t, y in enumerate(self._rotated(x)):
-            both = np.empty((len(y), self.codes))
-            both[:, 0::2], both[:, 1::2] = y, -y
-            out[:, t] = np.argsort(-both, 1, kind="stable")
+    def _costs(self, x: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
+        """The costs of all codes, for some queries and one table at a time."""
+        step = max(1, (1 << 21) // self.codes)
+        for at in range(0, len(x), step):
+            for t, (y, z) in enumerate(self._rotated(x[at : at + step])):
+                cost = axis_costs(y)
+                if z is not None:
+                    cost = (axis_costs(z)[:, :, None] + cost[:, None, :]).reshape(len(y), -1)
+                yield slice(at, at + step), t, cost
+
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """For each query and table the place of every code, nearest first."""
+        out = np.empty((len(x), self.tables, self.codes), np.min_scalar_type(self.codes - 1))
+        for own, t, cost in self._costs(x):
+            np.put_along_axis(out[own, t], np.argsort(cost, 1, kind="stable"), np.arange(self.codes, dtype=out.dtype)[None, :], 1)
         return out
 
     def stored(self, x: np.ndarray) -> np.ndarray:
@@ -108,10 +150,12 @@ class Hasher:
         return (band[:, None] * self.tables + np.arange(self.tables)) * self.codes + codes
 
     def probed(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The buckets of the ``count`` nearest signed axes of each query in each band and table."""
-        codes = self.order(x)[:, None, :, :count]
+        """The ``count`` nearest buckets of each query in each band and table."""
+        codes = np.empty((len(x), self.tables, count), np.int64)
+        for own, t, cost in self._costs(x):
+            codes[own, t] = np.argpartition(cost, count - 1, 1)[:, :count]
         first = np.arange(len(self.longest) * self.tables).reshape(1, -1, self.tables, 1) * self.codes
-        return (first + codes).reshape(len(x), -1)
+        return (first + codes[:, None]).reshape(len(x), -1)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -176,7 +220,7 @@ def true_probes(index: DataFrame, queries: DataFrame, hasher: Hasher, k: int, mo
         return ids[order], scores[order], probes[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.argsort(hasher.order(q), 2)
+        rank = hasher.ranks(q)
         found = [none] * len(q)
         for batch in batches:
             ids, x = _vectors(batch, hasher.dim)
@@ -192,7 +236,7 @@ def true_probes(index: DataFrame, queries: DataFrame, hasher: Hasher, k: int, mo
                 codes[use] = hasher.of(x[use])[1]
             for i, c in enumerate(near):
                 if len(c):
-                    probes = rank[i][np.arange(hasher.tables), codes[c]].min(1) + 1
+                    probes = rank[i][np.arange(hasher.tables), codes[c]].min(1).astype(np.int64) + 1
                     found[i] = join([found[i], (ids[c].astype(np.int64), scores[i, c], probes)])
         for at in range(0, len(q), 25):
             own = range(at, min(at + 25, len(q)))
@@ -219,15 +263,23 @@ def probe_count(needed: np.ndarray, codes: int, recall: float = 0.92) -> int:
     return codes
 
 
-def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k: int, bucket_rows: int, query_rows: int) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k: int, bucket_rows: int, query_rows: int, sent: str = "f8") -> DataFrame:
+    """``sent``: the type in which components travel, that of the column."""
     dim = hasher.dim
+    step = max(1, (1 << 21) // (len(hasher.longest) * hasher.tables * probes))
+
+    def parts_of(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, vectors and buckets, of so many queries at a time as have about two million buckets."""
+        for batch in batches:
+            ids, x = _vectors(batch, dim)
+            for at in range(0, len(ids), step if query else max(1, len(ids))):
+                own = slice(at, at + step) if query else slice(None)
+                yield ids[own], x[own], hasher.probed(x[own], probes) if query else hasher.stored(x)
 
     def count(queries_too: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(hasher.buckets, np.int64)
-            for batch in batches:
-                _, x = _vectors(batch, dim)
-                c = hasher.probed(x, probes) if queries_too else hasher.stored(x)
+            for _, _, c in parts_of(batches, queries_too):
                 total += np.bincount(c.ravel(), minlength=len(total))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
@@ -237,17 +289,15 @@ def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k
     def sizes(df: DataFrame, queries_too: bool, most: int) -> np.ndarray:
         """Into how many parts each bucket is dealt; the table has bands x tables x codes rows."""
         out = np.zeros(hasher.buckets, np.int64)
-        for r in df.mapInArrow(count(queries_too), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-            out[r["bucket"]] = math.ceil(r["n"] / most)
+        counts = df.mapInArrow(count(queries_too), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        out[counts["bucket"].to_numpy()] = -(-counts["n"].to_numpy() // most)
         return out
 
     salts, parts = sizes(index, False, bucket_rows), sizes(queries, True, query_rows)
 
     def pack(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, x = _vectors(batch, dim)
-                bucket = hasher.probed(x, probes) if query else hasher.stored(x)
+            for ids, x, bucket in parts_of(batches, query):
                 row = np.repeat(np.arange(len(ids)), bucket.shape[1])
                 bucket = bucket.ravel()
                 mine, other = (parts, salts) if query else (salts, parts)
@@ -262,7 +312,7 @@ def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k
                 out = []
                 for a, b in zip(edge, np.r_[edge[1:], len(row)], strict=True):
                     own = row[a:b]
-                    data = ids[own].astype(np.int64).tobytes(), x[own].astype(np.float64).tobytes()
+                    data = ids[own].astype(np.int64).tobytes(), x[own].astype(sent).tobytes()
                     for o in range(other[bucket[a]]):
                         salt, part = (o, deal[a]) if query else (deal[a], o)
                         out.append((int(bucket[a]), int(salt), int(part), query, *data))
@@ -276,9 +326,9 @@ def _search(index: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k
         side = {}
         for query in (True, False):
             rows = table.filter(pa.compute.equal(table["query"], query)).to_pylist()
-            side[query] = [np.concatenate([np.zeros(0, d), *(np.frombuffer(r[c], d) for r in rows)]) for c, d in (("ids", np.int64), ("vectors", np.float64))]
+            side[query] = [np.concatenate([np.zeros(0, d), *(np.frombuffer(r[c], d) for r in rows)]) for c, d in (("ids", np.int64), ("vectors", sent))]
         (qid, q), (vid, v) = side[True], side[False]
-        found = list(compare(qid, q.reshape(-1, dim), vid, v.reshape(-1, dim), k)) if len(qid) and len(vid) else []
+        found = list(compare(qid, q.reshape(-1, dim).astype(np.float64), vid, v.reshape(-1, dim).astype(np.float64), k)) if len(qid) and len(vid) else []
         return pa.table({"slot": pa.array([hash(f[0]) % slots for f in found], pa.int32()), "query_id": pa.array([f[0] for f in found], pa.int64()), "ids": pa.array([f[1].astype(np.int64).tobytes() for f in found], pa.binary()), "scores": pa.array([f[2].tobytes() for f in found], pa.binary())})
 
     slots = max(1, math.ceil(queries.count() / 1000))
@@ -309,23 +359,24 @@ def merge(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8, probes: int | None = None, bucket_rows: int = 20_000, query_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8, probes: int | None = None, bucket_rows: int = 20_000, query_rows: int = 20_000, even_rows: int = 4_000) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for the rows where ``is_query`` (a condition on id) holds."""
     index, dim = usable(vectors, id_col, vec_col)
     if not dim:
         return vectors.sparkSession.createDataFrame([], RESULT)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     stat = index.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min(norm).alias("short"), F.max(norm).alias("long")).first()
-    hasher = Hasher(dim, tables, _bands(index, norm, stat["short"], stat["long"]), stat["long"])
+    hasher = Hasher(dim, tables, _bands(index, norm, stat["short"], stat["long"]), stat["long"], stat["n"], even_rows)
+    sent = "f4" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "f8"
     queries = index.where(is_query)
     if not probes:
         probes = hasher.codes if stat["n"] <= 20 * k else probe_count(true_probes(index, queries, hasher, k), hasher.codes)
-    found = materialize(_search(index, queries, hasher, probes, k, bucket_rows, query_rows), "neighbours")
+    found = materialize(_search(index, queries, hasher, probes, k, bucket_rows, query_rows, sent), "neighbours")
     full = min(k, stat["ids"] - 1)
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= full).select(F.col("query_id").alias("id"))
     few = materialize(queries.join(enough, "id", "left_anti"), "few-found")
     if full <= 0 or few.isEmpty():
         return found
     whole = Hasher(dim, 1)
-    again = _search(index, few, whole, whole.codes, k, bucket_rows, query_rows)
+    again = _search(index, few, whole, whole.codes, k, bucket_rows, query_rows, sent)
     return found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)

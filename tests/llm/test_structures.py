@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sheaf.llm import html_wrapper as H
 from sheaf.llm import parity_join as J
-from sheaf.llm.cross_polytope import nearest
+from sheaf.llm.cross_polytope import Hasher, last_axes, nearest
 from sheaf.llm.elias_fano import EliasFano
 from sheaf.llm.queries import tokenizer_file
 from sheaf.llm.sentencepiece_codec import Codec, decode_documents, encode_documents
@@ -242,19 +242,36 @@ def test_neighbours_recall_and_odd(spark):
     assert hit / (20 * len(by)) >= 0.9
 
 
-@pytest.mark.parametrize("lengths", ["lognormal", "one long"])
-def test_neighbours_recall_for_unequal_lengths(spark, lengths):
+@pytest.mark.parametrize("n, last", [(0, 0), (128 * 100, 0), (128 * 100 + 1, 1), (256 * 100 + 1, 2), (10**12, 64)])
+def test_buckets_grow_with_the_vectors(n, last):
+    assert last_axes(n, 64, 100) == last
+    hasher = Hasher(60, 2, n=n, even_rows=100)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, 60))
+    ranks, (_, own) = hasher.ranks(x), hasher.of(x)
+    assert all(sorted(r) == list(range(hasher.codes)) for r in ranks.reshape(-1, hasher.codes))
+    assert (ranks[np.arange(70)[:, None], [0, 1], own] == 0).all()  # a vector's own bucket comes first
+    for count in (1, 7, hasher.codes):
+        probed = hasher.probed(x, count).reshape(70, 2, count) - np.array([0, hasher.codes])[:, None]
+        assert all((ranks[i, t, probed[i, t]] < count).all() and len(set(probed[i, t])) == count for i in range(70) for t in range(2))
+
+
+@pytest.mark.parametrize("lengths, even, kind", [("lognormal", 4000, "double"), ("one long", 4000, "double"), ("lognormal", 20, "double"), ("alike", 20, "float")])
+def test_neighbours_recall_for_unequal_lengths(spark, lengths, even, kind):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(6000, 64))
     x /= np.sqrt((x * x).sum(1))[:, None]
     if lengths == "lognormal":
         x *= np.exp(rng.normal(size=len(x)))[:, None]
-    else:
+    elif lengths == "one long":
         x[7] *= 5
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    if kind == "float":
+        x = x.astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
     got = {}
-    for r in nearest(rows, F.col("id") % 20 == 0).collect():
+    for r in nearest(rows, F.col("id") % 20 == 0, even_rows=even).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12 * (1 + abs(r.score))
     hit = 0
     for q in range(0, len(x), 20):
         s = x @ x[q]
