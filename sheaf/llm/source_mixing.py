@@ -9,13 +9,16 @@ have the target shares in expectation. A document is kept if a hash of its id, a
 from 0 to 1, is below that probability: the choice does not depend on partitions or retries.
 
 Cells are far fewer than documents and are summed with aggregation that combines before
-the shuffle; raking runs over the cell table with window sums, in one task: the table grows with the number of different
-sources, languages and topics, not with documents. The probabilities join the
-documents as a table whose size Spark knows.
+the shuffle. Up to ``most_cells`` cells are raked as one partition by window sums, which need no
+exchange; more of them by grouped sums, pre-aggregated and joined back, with a table written
+after each sweep, so that no task holds all cells or all of a group. Both give the same weights. The
+probabilities join the documents as a table whose size Spark knows. ``marginal_error``
+says how far the raked shares are from their targets; ``mix`` warns where that is over
+``tolerance``, as where the targets contradict each other.
 
 Targets: shares by name, or ``power``: shares of the corpus to a power below 1, which
 lifts small groups. Targets for groups that the corpus lacks are left out and the rest
-scaled to 1. All of it is DataFrame and SQL functions.
+scaled to 1; groups without a named share have the target 0, and their documents are not kept. All of it is DataFrame and SQL functions.
 
 Nulls: a null source, language or topic is a group of its own, named by the empty string;
 null texts have no tokens. A document without tokens has weight in no cell and is not
@@ -27,6 +30,7 @@ stands in for it. Texts of any length are taken whole. ``topic`` (nulls named by
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,44 +67,72 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(hexed, 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def _targets(cells: DataFrame, axis: str, target: Target) -> DataFrame:
-    """Adds the target share of each cell's group."""
-    group, whole = Window.partitionBy(axis), Window.partitionBy()
+def target_shares(cells: DataFrame, axis: str, target: Target) -> DataFrame:
+    """The groups of an axis with their target shares ``_t_<axis>``, which sum to 1."""
+    groups = cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias("_n"))
     if target.shares:
-        named = F.coalesce(*[F.when(F.col(axis) == k, F.lit(float(v))) for k, v in target.shares.items()], F.lit(0.0))
+        share = F.coalesce(*[F.when(F.col(axis) == k, F.lit(float(v))) for k, v in target.shares.items()], F.lit(0.0))
     else:
-        named = F.pow(F.sum("tokens").over(group) / F.sum("tokens").over(whole), F.lit(target.power))
-    # A group's share is in each of its cells; over their number it counts once.
-    each = cells.withColumn(f"_t_{axis}", named)
-    each = each.withColumn("_k", F.count(F.lit(1)).over(group))
-    return each.withColumn(f"_t_{axis}", F.col(f"_t_{axis}") / F.sum(F.col(f"_t_{axis}") / F.col("_k")).over(whole)).drop("_k")
+        whole = groups.agg(F.sum("_n")).first()[0]
+        share = F.pow(F.col("_n") / F.lit(whole), F.lit(target.power))
+    groups = groups.select(axis, share.alias(f"_t_{axis}"))
+    scale = groups.agg(F.sum(f"_t_{axis}")).first()[0]
+    return groups.withColumn(f"_t_{axis}", F.col(f"_t_{axis}") / F.lit(scale or 1.0))
 
 
-def rake(cells: DataFrame, targets: dict[str, Target], sweeps: int = 12) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with raked ``w`` and ``p_keep``."""
-    out = cells.withColumn("tokens", F.col("tokens").cast("double"))
+def _group_sum(out: DataFrame, axis: str, windows: bool) -> DataFrame:
+    """Adds ``_sum``, the sum of ``w`` over the cell's group."""
+    if windows:
+        return out.withColumn("_sum", F.sum("w").over(Window.partitionBy(axis)))
+    return out.join(out.groupBy(axis).agg(F.sum("w").alias("_sum")), axis)
+
+
+def rake(cells: DataFrame, targets: dict[str, Target], sweeps: int = 12, most_cells: int = 200_000) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens), a written table, with raked ``w`` and ``p_keep``."""
+    stat = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").cast("double").alias("tokens")).first()
+    windows = stat["n"] <= most_cells
+    out = cells.withColumn("tokens", F.col("tokens").cast("double")).withColumn("w", F.col("tokens"))
     for axis in AXES:
-        out = _targets(out, axis, targets[axis])
-    out = out.withColumn("_all", F.sum("tokens").over(Window.partitionBy())).withColumn("w", F.col("tokens"))
+        out = out.join(target_shares(cells, axis, targets[axis]), axis)
+    if windows:
+        out = out.coalesce(1)
     for _ in range(sweeps):
         for axis in AXES:
-            total = F.sum("w").over(Window.partitionBy(axis))
-            out = out.withColumn("w", F.col("w") * F.col(f"_t_{axis}") * F.col("_all") / total)
-    out = out.withColumn("_r", F.col("w") / F.col("tokens"))
-    return out.select(*AXES, "tokens", "w", (F.col("_r") / F.max("_r").over(Window.partitionBy())).alias("p_keep"))
+            out = _group_sum(out, axis, windows)
+            w = F.try_divide(F.col("w") * F.col(f"_t_{axis}") * F.lit(stat["tokens"]), F.col("_sum"))
+            out = out.withColumn("w", F.coalesce(w, F.lit(0.0))).drop("_sum")
+        if not windows:
+            out = materialize(out, "mix-sweep")
+    out = materialize(out.withColumn("_r", F.col("w") / F.col("tokens")), "mix-raked")
+    top = out.agg(F.max("_r")).first()[0]
+    return out.select(*AXES, "tokens", "w", (F.col("_r") / F.lit(top or 1.0)).alias("p_keep"))
+
+
+def marginal_error(raked: DataFrame, targets: dict[str, Target]) -> DataFrame:
+    """axis, name, share and target of every group after raking."""
+    whole = raked.agg(F.sum("w")).first()[0] or 1.0
+    out = None
+    for axis in AXES:
+        share = raked.groupBy(axis).agg((F.sum("w") / F.lit(whole)).alias("share"))
+        each = share.join(target_shares(raked, axis, targets[axis]), axis).select(F.lit(axis).alias("axis"), F.col(axis).alias("name"), "share", F.col(f"_t_{axis}").alias("target"))
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
-def mix(docs: DataFrame, targets: dict[str, Target] | None = None, topic: Column | None = None, sweeps: int = 12, seed: str = "mix:", most_cells: int = 200_000) -> DataFrame:
-    """``docs`` with topic, n_tokens, p_keep and kept. Up to ``most_cells`` cells are one partition from the start, where window sums need no exchange."""
+def mix(docs: DataFrame, targets: dict[str, Target] | None = None, topic: Column | None = None, sweeps: int = 12, seed: str = "mix:", most_cells: int = 200_000, tolerance: float = 0.01) -> DataFrame:
+    """``docs`` with topic, n_tokens, p_keep and kept."""
+    targets = targets or DEFAULT
     kept = [c for c in docs.columns if c not in OWN]
     if topic is None and "topic" in docs.columns:
         topic = docs["topic"]
     rows = docs.select(*[docs[c] for c in kept], (form() if topic is None else F.coalesce(topic.cast("string"), F.lit(""))).alias("topic"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     named = [F.coalesce(F.col(a).cast("string"), F.lit("")).alias(a) for a in AXES]
     cells = materialize(rows.select(*named, "n_tokens").where("n_tokens > 0").groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    if cells.count() <= most_cells:
-        cells = cells.coalesce(1)
-    raked = materialize(rake(cells, targets or DEFAULT, sweeps).select(*[F.col(a).alias(f"_{a}") for a in AXES], "p_keep"), "mix-weights")
+    weights = rake(cells, targets, sweeps, most_cells)
+    off = marginal_error(weights, targets).agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0]
+    if off is not None and off > tolerance:
+        warnings.warn(f"a raked share is {off:.3f} from its target after {sweeps} sweeps", stacklevel=2)
+    raked = weights.select(*[F.col(a).alias(f"_{a}") for a in AXES], "p_keep")
     on = [F.coalesce(rows[a].cast("string"), F.lit("")) == raked[f"_{a}"] for a in AXES]
     joined = rows.join(raked, on[0] & on[1] & on[2], "left")
     p = F.when(F.col("n_tokens") > 0, F.coalesce("p_keep", F.lit(0.0))).otherwise(0.0)

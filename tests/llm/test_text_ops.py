@@ -11,7 +11,7 @@ from sheaf.llm import lm_scoring as LM
 from sheaf.llm.line_dedup import dedup_lines
 from sheaf.llm.quality_classifier import classify, fit
 from sheaf.llm.quality_rules import features, judge
-from sheaf.llm.source_mixing import Target, mix
+from sheaf.llm.source_mixing import DEFAULT, Target, marginal_error, mix, rake
 
 from tests.llm.helpers import crc, words
 
@@ -151,6 +151,38 @@ def test_mix_meets_targets(spark):
     assert mix(docs(spark, [], schema).where("false")).count() == 0
 
 
+CELLS = "source string, lang string, topic string, tokens long"
+
+
+def test_rake_by_windows_and_by_grouped_sums(spark):
+    rng = random.Random(5)
+    cells = docs(spark, [(f"s{i}", f"l{j}", f"t{k}", rng.randint(1, 900) ** 2) for i in range(5) for j in range(4) for k in range(3) if rng.random() < 0.8], CELLS)
+    one, many = (sorted(rake(cells, DEFAULT, most_cells=m).collect()) for m in (100, 0))
+    assert all(a[:4] == b[:4] and a.w == pytest.approx(b.w, rel=1e-9) and a.p_keep == pytest.approx(b.p_keep, rel=1e-9) for a, b in zip(one, many, strict=True))
+    assert max(r.p_keep for r in one) == 1
+    error = marginal_error(rake(cells, DEFAULT), DEFAULT).collect()
+    rows = cells.collect()
+    for axis in ("source", "lang", "topic"):
+        own = Counter()
+        for r in rows:
+            own[r[axis]] += r.tokens
+        power = {k: (v / sum(own.values())) ** DEFAULT[axis].power for k, v in own.items()}
+        got = {r.name: r for r in error if r.axis == axis}
+        assert set(got) == set(own)
+        assert all(got[k].target == pytest.approx(v / sum(power.values())) and abs(got[k].share - got[k].target) < 0.01 for k, v in power.items())
+
+
+def test_rake_with_targets_of_nothing(spark):
+    """A language whose only source has no share has no weight; targets that contradict each other are warned of."""
+    rows = [(1, "a b c", "a", "x"), (2, "a b c", "c", "z"), (3, "d e", "b", "x"), (4, "long " * 99, "c", "z"), (4, "long " * 99, "c", "z")]
+    table = docs(spark, rows, "doc_id long, text string, source string, lang string")
+    with pytest.warns(UserWarning, match="from its target"):
+        got = mix(table, {**DEFAULT, "source": Target(shares={"a": 0.5, "b": 0.5})}).collect()
+    assert {r.source: r.p_keep for r in got if r.source == "c"} == {"c": 0} and any(r.p_keep == 1 for r in got)
+    with pytest.warns(UserWarning):
+        assert not any(r.kept for r in mix(table, {**DEFAULT, "source": Target(shares={"elsewhere": 1.0})}).collect())
+
+
 def test_classifier_held_out_accuracy_and_odd(spark):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(60))
