@@ -74,7 +74,7 @@ def byte_level_encoder(tokenizer_path: str, width: int) -> WordEncoder:
             # A special token's string may reach over a space: such a text goes to the library whole.
             return simple_spacing(text) and not any(s in text for s in special)
 
-        _encoders[tokenizer_path, width] = WordEncoder(words(""), words(" "), whole, np.array([newline], kind).tobytes(), simple)
+        _encoders[tokenizer_path, width] = WordEncoder(words(""), words(" "), whole, np.array([newline], kind).tobytes(), simple, limit=500_000)
     return _encoders[tokenizer_path, width]
 
 
