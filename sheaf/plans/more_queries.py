@@ -46,33 +46,48 @@ def jsn5_repair_messages(spark, sf_dir):
     return literal(spark, MESSAGES, "id int, m string").select("id", F.substring_index(F.get(m, F.lit(1))["content"], "Error:\n", -1).alias("tail"))
 
 
+#: Label, shape of the answer, values of the literal rows, and a value for each event: SQL that both engines read.
 _KINDS = {
-    "val1_text": ("semantic CV", '{"header":[],"sections":[{"type":%s,"heading":"h"}]}', ['" a "', '""', "null", "3", '"x"'], [True, False, False, False, True]),
-    "val4_numbers": ("CV profile", '{"summary":"s","yearsOfExperience":%s,"education":[{"graduationYear":%s}]}', ["0", "2.5", "-1", '"3"', "2020", "true"], [True, False, False, False, True, False]),
-    "val5_boolean": ("output review", '{"passed":%s}', ["true", "false", '"true"', "1", "null"], [True, True, False, False, False]),
-    "val6_object_arrays": ("CV profile", '{"summary":"s","projects":%s}', ["[]", '[{"name":"n","description":"d"}]', '[{"name":"n"}]', "{}", "null", '[{"name":"n","description":"d"},1]'], [True, True, False, False, False, False]),
+    "val1_text": ("semantic CV", '{"header":[],"sections":[{"type":%s,"heading":"h"}]}', ['" a "', '""', "null", "3", '"x"'], """case event_id % 4 when 0 then '"  ' || event_type || ' "' when 1 then '"  "' when 2 then props else cast(user_id as string) end"""),
+    "val4_numbers": ("CV profile", '{"summary":"s","yearsOfExperience":%s,"education":[{"graduationYear":%s}]}', ["0", "2.5", "-1", '"3"', "2020", "true"], """case when event_id % 7 = 0 then '"' || user_id || '"' else case when event_id % 5 = 0 then '-' else '' end || case event_id % 3 when 0 then cast(user_id as string) when 1 then cast(cast(value as decimal(18, 2)) as string) else user_id || '.0' end end"""),
+    "val5_boolean": ("output review", '{"passed":%s}', ["true", "false", '"true"', "1", "null"], """case event_id % 4 when 0 then 'true' when 1 then 'false' when 2 then '"' || event_type || '"' else props end"""),
+    "val6_object_arrays": ("CV profile", '{"summary":"s","projects":%s}', ["[]", '[{"name":"n","description":"d"}]', '[{"name":"n"}]', "{}", "null", '[{"name":"n","description":"d"},1]'], """case event_id % 6 when 0 then '[]' when 1 then '[{"name":" ' || event_type || '","description":"d"},{"name":"n","description":"' || user_id || '"}]' when 2 then '[{"name":"' || event_type || '"}]' when 3 then props when 4 then '[' || props || ']' else '[{"name":" ","description":"' || event_type || '"}]' end"""),
 }
 
 
 def _kind_query(name: str):
-    label, shape, values, _ = _KINDS[name]
+    label, shape, values, of_event = _KINDS[name]
 
     def query(spark, sf_dir):
-        rows = literal(spark, [(i, shape.replace("%s", v)) for i, v in enumerate(values)], "id int, answer string")
-        return rows.select("id", V.validate(F.array("answer"), label)["error"].isNull().alias("valid"))
+        rows = literal(spark, [(i, shape.replace("%s", v)) for i, v in enumerate(values)], "id long, answer string")
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id + 100 as id", f"replace({quoted(shape)}, '%s', {of_event}) as answer")
+        return rows.unionByName(events).select("id", V.validate(F.array("answer"), label)["error"].isNull().alias("valid"))
 
     query.__name__ = name
     return query
 
 
+#: For each schema a record around one text, and where that text is in it.
+_RECORDS = {
+    "CV profile": ('{"summary":%s}', "$.summary"),
+    "job requirements": ('{"roleTitle":%s,"keywords":["k"]}', "$.roleTitle"),
+    "match analysis": ('{"matchScore":1,"summary":"s","suggestedPositioning":%s}', "$.suggestedPositioning"),
+    "application assets": ('{"cvImprovements":{"improvedBullets":[" ",%s]},"linkedinMessage":"l","coverLetter":"c","interviewPrep":{}}', "$.cvImprovements.improvedBullets[0]"),
+    "output review": ('{"passed":true,"issues":[%s]}', "$.issues[0]"),
+    "preferences": ('{"linkedinTone":%s}', "$.linkedinTone"),
+    "semantic CV": ('{"sections":[{"type":"t","heading":%s}]}', "$.sections[0].heading"),
+    "raw analysis": ('{"provider":"p","generatedAt":"g","cvProfile":{"summary":%s},"jobRequirements":{"roleTitle":"r"},"matchAnalysis":{"matchScore":1,"summary":"s","suggestedPositioning":"p"},"applicationAssets":{"cvImprovements":{},"linkedinMessage":"l","coverLetter":"c","interviewPrep":{}}}', "$.cvProfile.summary"),
+}
+
+
 def val7_all_schemas(spark, sf_dir):
-    """Each record from its smallest valid form, typed by its schema and printed again."""
-    least = {"CV profile": '{"summary":"s"}', "job requirements": '{"roleTitle":"r"}', "match analysis": '{"matchScore":1,"summary":"s","suggestedPositioning":"p"}', "preferences": "{}", "output review": '{"passed":true}', "semantic CV": "{}"}
+    """For every schema, records around a padded text of a row, checked, typed and printed again: the text comes back trimmed, and a blank one is refused or left out."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("t", F.when(col("n_nationkey") % 5 == 0, '"  "').otherwise(F.concat(F.lit('" '), "n_name", F.lit(' "'))))
     out = None
-    for label, text in least.items():
-        v = V.validate(F.array(F.lit(text)), label)
-        row = spark.range(1).select(F.lit(label).alias("label"), v["data"].alias("d")).select("label", F.to_json(V.typed(col("d"), label)).isNotNull().alias("typed"))
-        out = row if out is None else out.unionByName(row)
+    for label, (shape, path) in _RECORDS.items():
+        v = V.validate(F.array(F.replace(F.lit(shape), F.lit("%s"), col("t"))), label)
+        one = rows.select("n_nationkey", F.lit(label).alias("label"), v.alias("v")).select("n_nationkey", "label", col("v.error").isNull().alias("valid"), F.get_json_object(F.to_json(V.typed(col("v.data"), label)), path).alias("text"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -207,6 +222,22 @@ def _doc(title: str, parts: list[tuple[str, str]]) -> str:
 
 _NONE, _ONE = "'- None identified'", "'- ' || n_name"
 _LONE = f"(regexp_matches(line, '{D.DATE}', 'i') or regexp_matches(line, '^(?:[A-Za-z]+{D.WS}+)?[0-9]{{4}}$'))"
+_FILLED = lambda g, k: f"coalesce(json_type({g}, '{k}') = 'VARCHAR' and trim(({g}->>'{k}')) <> '', false)"
+#: What the value of an answer must be, by the JSON functions of DuckDB.
+_VALID = {
+    "val1_text": _FILLED("j", "$.sections[0].type"),
+    "val4_numbers": "case when json_type(j, '$.yearsOfExperience') in ('UBIGINT', 'BIGINT', 'DOUBLE') then (j->>'$.yearsOfExperience')::double >= 0 and (j->>'$.yearsOfExperience')::double = floor((j->>'$.yearsOfExperience')::double) else false end",
+    "val5_boolean": "json_type(j, '$.passed') = 'BOOLEAN'",
+    "val6_object_arrays": f"case when json_type(j, '$.projects') = 'ARRAY' then len(list_filter((j->'$.projects')::json[], lambda g: not (json_type(g) = 'OBJECT' and {_FILLED('g', '$.name')} and {_FILLED('g', '$.description')}))) = 0 else false end",
+}
+
+
+def _kind_sql(name: str) -> str:
+    _, shape, values, of_event = _KINDS[name]
+    rows = f"select id::bigint id, v from ({values_sql(list(enumerate(values)), ['id', 'v'])}) union all select event_id + 100, {of_event} from events"
+    return f"select id, {_VALID[name]} valid from (select id, replace({quoted(shape)}, '%s', v)::json j from ({rows}))"
+
+
 _LAST = {"profile": "p", "match": "j", "assets": "w", "review": "w"}
 ORACLES = {
     "prs3_normalize_heading": f"select id, {D.normalize_heading('line')} normalized from ({values_sql(HEADINGS, ['id', 'line'])})",
@@ -214,7 +245,7 @@ ORACLES = {
     "prs11_lone_date": _P + f"select doc_id, pos from lines where {_LONE}",
     "evd4_employment_items": _P + f", it as ({D.ITEMS}), bu as (select doc_id, section_id, item_id, count(*) n from ({D.BULLETS}) group by 1, 2, 3) select doc_id, (row_number() over (partition by doc_id order by section_id, item_id) - 1)::int pos, heading, coalesce(n, 0)::int n_bullets from it left join bu using (doc_id, section_id, item_id)",
     "jsn5_repair_messages": f"select id, 'bad shape' || {_NL} || {_NL} || 'Answer:' || {_NL} || m tail from ({_MSG})",
-    "val7_all_schemas": "select unnest(['CV profile', 'job requirements', 'match analysis', 'preferences', 'output review', 'semantic CV']) as label, true typed",
+    "val7_all_schemas": f"select n_nationkey, label, not (blank and required) valid, case when not blank then n_name end as text from (select n_nationkey, n_name, n_nationkey % 5 = 0 blank from nation) cross join ({values_sql([(x, x not in ('application assets', 'output review', 'preferences')) for x in _RECORDS], ['label', 'required'])})",
     "val8_whole_run": "select * from (values (-1::bigint, 1::bigint, true), (-1, 2, true), (-2, 1, true), (-2, 2, true)) v(doc_id, job_id, valid)",
     "llm1_provider_names": "select * from (values ('Ollama', 'ollama'), ('OLLAMA', 'ollama'), ('other', null)) v(asked, chosen)",
     "pmt_prompts": "select n_nationkey, prompt, 2::int n, case when k = '' then '{\"p\":' else '{\"' || k || '\":' end || n_nationkey || '}' as last from nation cross join (values ('profile', 'p'), ('job', 'p'), ('match', 'j'), ('assets', 'w'), ('review', 'w')) v(prompt, k)",
@@ -230,5 +261,5 @@ ORACLES = {
     "rul6_has_text": f"select doc_id, coalesce(length({D.trim('text')}) > 0, false) whole, coalesce(length({D.trim('left(text, 1)')}) > 0, false) opens from documents",
     "src1_text_files": f"select id, m || chr(13) || {_NL} || 'end' as text from ({_MSG})",
     "snk3_saved_profiles": "select * from (values (1::bigint, 'Ann', true), (2, null, false)) v(doc_id, name, valid)",
-    **{n: values_sql(list(enumerate(ok)), ["id", "valid"]) for n, (_, _, _, ok) in _KINDS.items()},
+    **{n: _kind_sql(n) for n in _KINDS},
 }

@@ -85,32 +85,34 @@ MERGE = [
     (3, [("Acme", None, "2019", None, ["r"]), ("Acme", "Dev", "2019", "2021", ["s"])], [("Dev, Acme", "Acme", "Dev", "2019", "2021", ["t"])]),
     (4, [("Acme", "X", None, None, ["r"])], [("Y, Acme", "Acme", "Y", "2019", "2021", ["t"])]),
 ]
-_MERGE_DDL = "id int, experiences array<struct<company:string,role:string,startDate:string,endDate:string,responsibilities:array<string>>>, items array<struct<heading:string,company:string,role:string,startDate:string,endDate:string,bullets:array<string>>>"
+_MERGE_DDL = "id long, experiences array<struct<company:string,role:string,startDate:string,endDate:string,responsibilities:array<string>>>, items array<struct<heading:string,company:string,role:string,startDate:string,endDate:string,bullets:array<string>>>"
 
 
-def _merge_rows(spark):
-    rows = literal(spark, MERGE, _MERGE_DDL)
+def _merge_rows(rows):
     none = F.array().cast("array<string>")
     e = F.transform("experiences", lambda x: F.struct(x["company"].alias("company"), x["role"].alias("role"), F.lit(None).cast("string").alias("location"), x["startDate"].alias("startDate"), x["endDate"].alias("endDate"), x["responsibilities"].alias("responsibilities"), none.alias("technologies"), none.alias("achievements")))
     i = F.transform("items", lambda x: F.struct(x["heading"].alias("heading"), x["company"].alias("company"), x["role"].alias("role"), F.lit(None).cast("string").alias("location"), x["startDate"].alias("startDate"), x["endDate"].alias("endDate"), x["bullets"].alias("bullets")))
     return rows.select("id", e.alias("experiences"), i.alias("items"))
 
 
-def evd7_merge(spark, sf_dir):
-    merged = _merge_rows(spark).select("id", F.posexplode(E.merge_items(col("experiences"), col("items"))).alias("pos", "e"))
-    return merged.select("id", "pos", "e.company", "e.role", F.array_join("e.responsibilities", "|").alias("responsibilities"))
+def _items_and_experiences(spark, sf_dir):
+    """Both as arrays of one row for each document of the corpora."""
+    i = _items(spark, sf_dir)
+    items = i.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_id", "item_id", "heading", "company", "role", "startDate", "endDate", "bullets"))).alias("items"))
+    e = _experiences(i).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "company", "role", "startDate", "endDate", "responsibilities"))).alias("experiences"))
+    return items.join(e, "doc_id", "left").withColumn("experiences", F.coalesce("experiences", F.array().cast(e.schema["experiences"].dataType)))
 
 
-#: What merging gives for MERGE, worked out by hand.
-_MERGED = [(1, 0, "Acme", "Lead", "new one|Kept"), (1, 1, "Beta", "Dev", "b2|b1"), (2, 0, None, "Dev", ""), (3, 0, "Acme", None, "r"), (3, 1, "Acme", "Dev", "t|s"), (4, 0, "Acme", "X", "r"), (4, 1, "Acme", "Y", "t")]
+def evd7_merge(spark, sf_dir):
+    """The literal rows, and every document's items with the experiences that a model might give."""
+    both = _items_and_experiences(spark, sf_dir).select((col("doc_id") + 1000).alias("id"), "experiences", "items")
+    rows = _merge_rows(literal(spark, MERGE, _MERGE_DDL)).unionByName(_merge_rows(both))
+    merged = rows.select("id", F.posexplode(E.merge_items(col("experiences"), col("items"))).alias("pos", "e"))
+    return merged.select("id", "pos", "e.company", "e.role", F.array_join("e.responsibilities", "|").alias("responsibilities"))
 
 
 def evd8_missing_evidence(spark, sf_dir):
-    i = _items(spark, sf_dir)
-    items = i.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_id", "item_id", "heading", "company", "role", "startDate", "endDate", "bullets"))).alias("items"))
-    e = _experiences(i).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "company", "role", "startDate", "endDate", "responsibilities"))).alias("experiences"))
-    both = items.join(e, "doc_id", "left").withColumn("experiences", F.coalesce("experiences", F.array().cast(e.schema["experiences"].dataType)))
-    return both.select("doc_id", F.explode(E.missing_evidence(col("experiences"), col("items"))).alias("missing"))
+    return _items_and_experiences(spark, sf_dir).select("doc_id", F.explode(E.missing_evidence(col("experiences"), col("items"))).alias("missing"))
 
 
 # JSON.
@@ -261,6 +263,19 @@ _PROFILE = f"""{_P}, it as materialized (select *, {_KEY} item from ({D.ITEMS}))
  best as materialized (select doc_id, item, max(s) s, arg_max(pos, (s, -pos)) pos from sc group by 1, 2)
 """
 _DEDUPE = f"list_reduce(list_transform(list_concat(source, own), lambda b: [b]), lambda m, b: case when len(list_filter(m, lambda k: {D.same(D.norm('k'), D.norm('b[1]'))})) > 0 then m else list_concat(m, b) end)"
+_EXP = "{'c': company::varchar, 'r': role::varchar, 's': start_date::varchar, 'e': end_date::varchar, 'b': bs::varchar[]}"
+#: Items in order, one step for each: into the experience of the largest score, the first of equals, or behind all.
+_MERGE_SQL = f"""with recursive {_PROFILE.removeprefix('with ')}, bl as (select doc_id, section_id, item_id, bullet, row_number() over (partition by doc_id, section_id, item_id order by bullet_id) - 1 bp, bullet_id from bu),
+ whole as (select doc_id, section_id, item_id, list(bullet order by bullet_id) bs, coalesce(list(bullet order by bullet_id) filter (bp % 3 <> 2), []) given from bl group by 1, 2, 3),
+ its as materialized (select doc_id + 1000 id, row_number() over (partition by doc_id order by section_id, item_id) k, company, role, start_date, end_date, coalesce(bs, []) bs from it left join whole using (doc_id, section_id, item_id)
+  union all {" union all ".join(f"select {i}, {k}, {quoted(t[1])}, {quoted(t[2])}, {quoted(t[3])}, {quoted(t[4])}, {quoted(t[5])}::varchar[]" for i, _, items in MERGE for k, t in enumerate(items, 1))}),
+ exs as (select doc_id + 1000 id, pos, company, role, start_date, end_date, coalesce(given, []) bs from ex left join whole using (doc_id, section_id, item_id)
+  union all {" union all ".join(f"select {i}, {k}, {quoted(t[0])}, {quoted(t[1])}, {quoted(t[2])}, {quoted(t[3])}, {quoted(t[4])}::varchar[]" for i, found, _ in MERGE for k, t in enumerate(found))}),
+ start as (select id, list({_EXP} order by pos) acc from exs group by 1),
+ steps as (select id, 0::bigint k, coalesce(acc, list_filter([{{'c': '', 'r': '', 's': '', 'e': '', 'b': ['']}}], lambda x: false)) acc from (select distinct id from its) left join start using (id)
+  union all select id, k, case when best is null then list_append(acc, {_EXP}) else list_transform(acc, lambda x, n: case when n = best then {{'c': x['c'], 'r': x['r'], 's': x['s'], 'e': x['e'], 'b': {_DEDUPE.removesuffix(')')}, []::varchar[])}} else x end) end
+   from (select *, case when list_max(sc) >= 4 then list_position(sc, list_max(sc)) end best, bs source, coalesce(acc[best]['b'], []) own from (select its.*, steps.acc, list_transform(steps.acc, lambda x: {D.score("x['c']", "company", 3)} + {D.score("x['r']", "role", 3)} + {D.score("x['s']", "start_date", 1)} + {D.score("x['e']", "end_date", 1)}) sc from steps join its on its.id = steps.id and its.k = steps.k + 1)))
+ select id, (n - 1)::int pos, x['c'] company, x['r'] as role, array_to_string(x['b'], '|') responsibilities from (select id, unnest(acc) x, generate_subscripts(acc, 1) n from (select id, arg_max(acc, k) acc from steps group by 1))"""
 _BULLETS_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(a)}::varchar[], {quoted(b)}::varchar[])" for i, a, b in BULLETS) + ") v(id, source, own)"
 _W = D.WS
 _MSG = values_sql(MESSAGES, ["id", "m"])
@@ -292,8 +307,13 @@ _VALID = "(j is not null and ty in ('UBIGINT', 'BIGINT', 'DOUBLE') and sc betwee
 _ITEM = "case json_type(g) when 'VARCHAR' then trim((g->>'$')) when 'OBJECT' then array_to_string(list_filter(list_transform(json_keys(g), lambda k: case when json_type(g, '$.' || k) in ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') then trim((g->>('$.' || k))) end), lambda x: x <> ''), ': ') end"
 _PROFILES_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {len(s)}, {quoted([bool(((c or '').strip() or (r or '').strip()) and k) for c, r, k in w])}::boolean[], {quoted([bool((r or '').strip()) for c, r, k in w])}::boolean[], {p}, {a})" for i, n, t, s, w, p, a in PROFILES) + ") v(id, name, title, skills, ok, roles, projects, achievements)"
 _MEANING = "(coalesce(list_bool_or(ok), false) or projects > 0 or achievements > 0)"
-_SHORT = f"""select id, case when len(b) >= 2 then array_to_string(b[1:2], chr(10) || chr(10)) when len(s) <= 2 then t else s[1] || chr(10) || chr(10) || array_to_string(s[2:], ' ') end || chr(10) rendered
- from (select id, t, list_filter(list_transform(regexp_split_to_array(t, '\\n{{2,}}'), lambda p: {D.trim(f"regexp_replace(p, '{_W}*\\n{_W}*', ' ', 'g')")}), lambda p: p <> '') b, {D.sentences('t')} s from (select id, {_TRIMMED} t from ({_MSG})))"""
+
+
+def short_message_sql(messages: str) -> str:
+    """Rendered messages of a select of (id, m)."""
+    return f"""select id, case when len(b) >= 2 then array_to_string(b[1:2], chr(10) || chr(10)) when len(s) <= 2 then t else s[1] || chr(10) || chr(10) || array_to_string(s[2:], ' ') end || chr(10) rendered
+ from (select id, t, list_filter(list_transform(regexp_split_to_array(t, '\\n{{2,}}'), lambda p: {D.trim(f"regexp_replace(p, '{_W}*\\n{_W}*', ' ', 'g')")}), lambda p: p <> '') b, {D.sentences('t')} s from (select id, {_TRIMMED} t from ({messages})))"""
+
 
 ORACLES = {
     "evd1_normalize": f"select item_id, {D.norm('text')} norm from benchmark",
@@ -301,7 +321,7 @@ ORACLES = {
     "evd3_match_score": f"select id, case when w = 3 then {D.score('a', 'b', 3)} else {D.score('a', 'b', 1)} end score, coalesce({D.same(D.norm('a'), D.norm('b'))}, false) same from ({values_sql(SCORES, ['id', 'a', 'b', 'w'])})",
     "evd5_best_match": _PROFILE + "select it.doc_id, it.item, case when s >= 4 then pos end match_pos, coalesce(s, 0) score from it left join best using (doc_id, item)",
     "evd6_fuzzy_dedupe": f"{_P}, bu as ({D.BULLETS}), ib as (select doc_id, section_id, item_id, list(bullet order by bullet_id) bl from bu group by 1, 2, 3), big as (select doc_id + 100 id, first(bl order by section_id, item_id) source, flatten(list(bl order by section_id, item_id)) own from ib group by doc_id), rows_ as (select * from ({_BULLETS_SQL}) union all select * from big) select id, coalesce(array_to_string({_DEDUPE}, '|'), '') merged from rows_ where len(source) + len(own) > 0 union all select id, '' from rows_ where len(source) + len(own) = 0",
-    "evd7_merge": values_sql(_MERGED, ["id", "pos", "company", "role", "responsibilities"]),
+    "evd7_merge": _MERGE_SQL,
     "evd8_missing_evidence": _PROFILE + f""", bl as (select *, row_number() over (partition by doc_id, section_id, item_id order by bullet_id) - 1 bp from bu),
  resp as (select ex.doc_id, ex.pos, {D.norm('bullet')} r from ex join bl using (doc_id, section_id, item_id) where bp % 3 <> 2)
  select it.doc_id, heading || ': no matching profile experience' missing from it left join best using (doc_id, item) where coalesce(s, 0) < 4
@@ -318,7 +338,7 @@ ORACLES = {
     "rul4_issues": f"select id, array_to_string(list_filter([case when trim(coalesce(name, '')) = '' then 'candidate name is missing' end, case when trim(coalesce(title, '')) = '' and not coalesce(list_bool_or(roles), false) then 'current title or at least one work experience role is missing' end, case when skills < 3 then 'fewer than 3 skills were extracted' end, case when not {_MEANING} then 'no meaningful work experience or project evidence was extracted' end], lambda x: x is not null), '; ') issues from ({_PROFILES_SQL})",
     "rul5_meaningful": f"select id, {_MEANING} meaningful from ({_PROFILES_SQL})",
     "rnd1_list": f"select id, case when len(source) = 0 then '- None identified' else array_to_string(list_transform(source, lambda x: '- ' || x), chr(10)) end listed from ({_BULLETS_SQL})",
-    "rnd5_message": _SHORT,
+    "rnd5_message": short_message_sql(_MSG),
     "rnd6_spacing": f"select id, {D.spacing('m')} spaced from ({_MSG})",
     "rnd7_sentences": f"select id, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from (select id, {D.sentences('m')} s from (select id::bigint id, m from ({_MSG}) union all select conv_id * 1000 + turn + 100, text from conversations))",
     "rnd8_cover_letter": f"select id, case when {D.closing('t')} then t || chr(10) else t || chr(10) || chr(10) || 'Regards,' || chr(10) || case when id % 3 = 0 then 'Ann' else 'Candidate' end || chr(10) end letter, {D.closing('t')} closed from (select id, {_TRIMMED} t from ({_MSG}))",
