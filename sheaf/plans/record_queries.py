@@ -253,7 +253,7 @@ def rnd11_output_dir(spark, sf_dir):
     return c.join(o, col("c_custkey") == col("o_custkey")).select("c_custkey", R.output_dir(col("name"), col("at")).alias("dir"))
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if k[:3] in ("evd", "jsn", "val", "rul", "rnd") and k[3].isdigit() and callable(f)}
+QUERIES = {k: f for k, f in list(globals().items()) if k[:3] in ("evd", "jsn", "val", "rul", "rnd") and k[3].isdigit() and callable(f)} | {"jsn_event_objects": jsn_event_objects}
 
 _P = D.parse_ctes()
 _KEY = "section_id * 100000 + item_id"

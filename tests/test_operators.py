@@ -14,6 +14,7 @@ from sheaf.operators import model_stage as M
 from sheaf.operators import parsing as P
 from sheaf.operators import validation as V
 from sheaf.plans import workflow as W
+from sheaf.plans import workflow_queries as Q
 from sheaf.sources import files, sinks
 
 CV = "# Nia Holt\nData engineer\n## Skills\n- SQL\n- Python\n## Experience\n### Engineer, Marble Lake\n2020-2024\n- Built loaders\n- Ran audits\n### Analyst, Copper Hill\n2017-2020\n- Wrote reports\n## Education\nBSc\n"
@@ -224,3 +225,17 @@ def test_local_provider_over_http_and_profile_commands(spark, tmp_path, monkeypa
     for command, said in (("show", '"summary": "t"'), ("reset", "Deleted"), ("reset", "No profile"), ("show", "No profile")):
         caplog.clear()
         assert cli.main(["profile", command, "--context", folder]) == 0 and said in caplog.text
+
+
+def test_a_run_written_twice_has_each_call_once_and_numbered_debug_files(spark, tmp_path):
+    run = Q._run(spark, Q.JOBS[1:])
+    for _ in range(2):
+        W.write_run(run, str(tmp_path)).count()
+    audit = spark.read.parquet(str(tmp_path / "audit"))
+    assert audit.count() == run.audit.count() > 0
+    [folder] = (tmp_path / "output").glob("*_-1_3")
+    names = sorted(p.name for p in (folder / "debug").iterdir())
+    assert names == ["01-CV_profile.json", "02-job_requirements.json", "03-job_requirements_repair.json", "04-match_analysis.json", "05-application_assets.json", "06-output_review.json"]
+    first, mended = (json.loads((folder / "debug" / n).read_text()) for n in names[1:3])
+    assert first["response"] == "{broken" and "error" in first and "error" not in mended
+    assert list(mended) == ["label", "messages", "response"]
