@@ -93,11 +93,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-ALL = [op1_html_wrapper, op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files]
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score and rank of every document, toward the texts of benchmark."""
+    from sheaf.llm.importance_resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ALL = [op1_html_wrapper, op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files, op11_importance_resampling]
+
+
 def _sql() -> dict[str, str]:
-    from sheaf.llm import source_mixing
+    from sheaf.llm import importance_resampling, source_mixing
 
-    return {"op5_source_mixing": source_mixing.oracle_sql()}
+    return {"op5_source_mixing": source_mixing.oracle_sql(), "op11_importance_resampling": importance_resampling.oracle_sql()}
 
 
 SQL = _sql()
