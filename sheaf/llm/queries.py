@@ -108,7 +108,14 @@ def op12_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
 
 
-ALL = [op1_html_wrapper, op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files, op11_importance_resampling, op12_language_crf]
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, faults, cost, audit and digest of every conversation, damaged and repaired."""
+    from sheaf.llm.conversation_repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+ALL = [op1_html_wrapper, op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_source_mixing, op6_parity_join, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_token_files, op11_importance_resampling, op12_language_crf, op13_conversation_repair]
 
 
 def _sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from sheaf.llm.registry import ORACLES, QUERIES
 from tests.conftest import SF
 from tests.oracle import check, database
 
-ROWS = {"op1_html_wrapper": "pages", "op9_nearest_neighbours": None}
+ROWS = {"op1_html_wrapper": "pages", "op9_nearest_neighbours": None, "op13_conversation_repair": "(select distinct conv_id from conversations)"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
