@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     analyze.add_argument("--cv", help="file or folder of CVs")
     analyze.add_argument("--job", required=True, help="file or folder of job descriptions")
     analyze.add_argument("--no-save-context", action="store_true")
+    analyze.add_argument("--best", type=int, help="compare each job with so many profiles, those that share most of its skills, instead of all")
     profile = commands.add_parser("profile", help="manage saved profiles").add_subparsers(dest="action", required=True)
     build = profile.add_parser("build")
     build.add_argument("--cv", required=True)
@@ -93,12 +94,12 @@ def run(args) -> int:
     jobs = _numbered(files.read_text(spark, args.job), "job_id")
     wishes = files.load_preferences(spark, args.preferences)
     if args.cv:
-        out = W.analyze(spark, _numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), jobs, provider, wishes)
+        out = W.analyze(spark, _numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), jobs, provider, wishes, best=args.best)
         if not args.no_save_context:
             sinks.save_profiles(out.profiles.select("doc_id", F.col("profile_json").alias("data")), args.context)
     else:
         saved = files.load_profiles(spark, args.context).where("error is null").select(F.xxhash64("path").alias("doc_id"), "data") if files.exists(spark, args.context) else None
-        out = W.analyze(spark, None, jobs, provider, wishes, saved=saved)
+        out = W.analyze(spark, None, jobs, provider, wishes, saved=saved, best=args.best)
     log.info("Wrote %d files; %d rows in quarantine.", W.write_run(out, args.output).count(), out.quarantine.count())
     return 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
+from sheaf.operators import containment
 from sheaf.operators import evidence as E
 from sheaf.operators import json_text as J
 from sheaf.operators import parsing as P
@@ -30,19 +31,8 @@ def evd1_normalize(spark, sf_dir):
 
 
 def evd2_containment_docs_benchmark(spark, sf_dir):
-    """Benchmark texts inside documents, both normalised: blocked by their five-word shingles instead of comparing all with all.
-
-    A text of five words or more lies in a document only if its first five words do, at the borders that normalising leaves.
-    """
-    d = _read(spark, sf_dir, "documents").select("doc_id", T.normalize_for_match(col("text")).alias("d"))
-    b = _read(spark, sf_dir, "benchmark").select("item_id", T.normalize_for_match(col("text")).alias("b")).where(F.size(F.split("b", " ")) >= 7)
-    # Inner words are whole in both texts; the first may be the tail of a longer one.
-    key = lambda c, i: F.array_join(F.slice(c, i, 5), " ")
-    bk = b.withColumn("w", F.split("b", " ")).select("item_id", "b", key(col("w"), F.lit(2)).alias("k"))
-    w = F.split("d", " ")
-    dk = d.withColumn("w", w).where(F.size("w") >= 7).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: key(col("w"), i)))).alias("k"))
-    hits = dk.join(bk.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    return hits.join(d, "doc_id").join(b, "item_id").where(F.contains("d", "b")).select("doc_id", "item_id")
+    """Benchmark texts inside documents, both normalised."""
+    return containment.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 SCORES = [(1, "Acme", "acme corp", 3), (2, None, "acme", 3), (3, "", "acme", 3), (4, "Ab", "cd", 1), (5, "日本", "anything", 3), (6, "Node.js", "node js", 1), (7, "2018", "2018 - 2020", 1)]
@@ -317,7 +307,7 @@ def short_message_sql(messages: str) -> str:
 
 ORACLES = {
     "evd1_normalize": f"select item_id, {D.norm('text')} norm from benchmark",
-    "evd2_containment_docs_benchmark": f"select doc_id, item_id from (select doc_id, {D.norm('text')} d from documents), (select item_id, {D.norm('text')} b from benchmark) where len(string_split(b, ' ')) >= 7 and contains(d, b)",
+    "evd2_containment_docs_benchmark": f"select doc_id, item_id from (select doc_id, {D.norm('text')} d from documents), (select item_id, {D.norm('text')} b from benchmark) where b <> '' and contains(d, b)",
     "evd3_match_score": f"select id, case when w = 3 then {D.score('a', 'b', 3)} else {D.score('a', 'b', 1)} end score, coalesce({D.same(D.norm('a'), D.norm('b'))}, false) same from ({values_sql(SCORES, ['id', 'a', 'b', 'w'])})",
     "evd5_best_match": _PROFILE + "select it.doc_id, it.item, case when s >= 4 then pos end match_pos, coalesce(s, 0) score from it left join best using (doc_id, item)",
     "evd6_fuzzy_dedupe": f"{_P}, bu as ({D.BULLETS}), ib as (select doc_id, section_id, item_id, list(bullet order by bullet_id) bl from bu group by 1, 2, 3), big as (select doc_id + 100 id, first(bl order by section_id, item_id) source, flatten(list(bl order by section_id, item_id)) own from ib group by doc_id), rows_ as (select * from ({_BULLETS_SQL}) union all select * from big) select id, coalesce(array_to_string({_DEDUPE}, '|'), '') merged from rows_ where len(source) + len(own) > 0 union all select id, '' from rows_ where len(source) + len(own) = 0",
