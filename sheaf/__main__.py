@@ -52,6 +52,9 @@ def main(argv: list[str] | None = None) -> int:
     profile.add_parser("reset")
     for p in (analyze, build):
         p.add_argument("--provider")
+        p.add_argument("--calls", type=int, default=8, help="model calls at a time")
+        p.add_argument("--per-minute", type=float, help="model calls in a minute, over all tasks")
+        p.add_argument("--answers", help="folder of answers, by which a run that broke off goes on without asking again")
     for p in (analyze, *profile.choices.values()):
         p.add_argument("--context", default="context/profiles")
     analyze.add_argument("--preferences", default="context/preferences.json")
@@ -70,7 +73,7 @@ def run(args) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from sheaf.operators.model_stage import create_provider
+    from sheaf.operators.model_stage import Pace, create_provider
     from sheaf.plans import workflow as W
     from sheaf.sources import files, sinks
 
@@ -86,20 +89,21 @@ def run(args) -> int:
             log.info("%s", row["error"] or sinks.pretty(row["data"]))
         return 0
     provider = create_provider(args.provider)
+    pace = Pace(args.calls, args.per_minute, files.resolve(args.answers) if args.answers else None)
     if args.command == "profile":
-        good, bad, _ = W.build_profiles(_numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), provider)
+        good, bad, _ = W.build_profiles(_numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), provider, pace=pace)
         sinks.save_profiles(good.select("doc_id", F.col("profile_json").alias("data")), args.context)
         log.info("Saved profiles to %s; %d could not be used.", args.context, bad.count())
         return 0
     jobs = _numbered(files.read_text(spark, args.job), "job_id")
     wishes = files.load_preferences(spark, args.preferences)
     if args.cv:
-        out = W.analyze(spark, _numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), jobs, provider, wishes, best=args.best)
+        out = W.analyze(spark, _numbered(_readable(files.read_documents(spark, args.cv)), "doc_id"), jobs, provider, wishes, best=args.best, pace=pace)
         if not args.no_save_context:
             sinks.save_profiles(out.profiles.select("doc_id", F.col("profile_json").alias("data")), args.context)
     else:
         saved = files.load_profiles(spark, args.context).where("error is null").select(F.xxhash64("path").alias("doc_id"), "data") if files.exists(spark, args.context) else None
-        out = W.analyze(spark, None, jobs, provider, wishes, saved=saved, best=args.best)
+        out = W.analyze(spark, None, jobs, provider, wishes, saved=saved, best=args.best, pace=pace)
     log.info("Wrote %d files; %d rows in quarantine.", W.write_run(out, args.output).count(), out.quarantine.count())
     return 0
 

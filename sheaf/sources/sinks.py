@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.sources import profile_store
 from sheaf.sources.files import exists, resolve
 
 
@@ -49,15 +50,31 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
 
 def save_profiles(profiles: DataFrame, path: str) -> None:
-    """Overwrites the saved profiles, one JSON file for each row of (doc_id, data)."""
-    rows = profiles.select(F.lit("").alias("run_dir"), F.concat(F.lit("profile-"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"), F.col("data").alias("content"))
-    spark, new = profiles.sparkSession, f"{resolve(path).rstrip('/')}.{uuid.uuid4().hex[:12]}"
-    write_files(rows, new).count()
-    # The old ones go when the new ones are whole.
-    delete_if_exists(spark, path)
-    if exists(spark, new):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        p(new).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p(new), p(resolve(path)))
+    """Overwrites the saved profiles (doc_id, data). What counts is the committed version (``profile_store``); one pretty JSON
+    file for each row is written beside it for people, and brought up to date after the commit."""
+    root = resolve(path).rstrip("/")
+    profile_store.replace(profiles, root)
+    _export(profiles.sparkSession, root)
+
+
+def upsert_profiles(profiles: DataFrame, path: str) -> int:
+    """Adds and replaces saved profiles by doc_id, as far as contents differ; returns the version."""
+    root = resolve(path).rstrip("/")
+    version = profile_store.upsert(profiles, root)
+    _export(profiles.sparkSession, root)
+    return version
+
+
+def _export(spark: SparkSession, root: str) -> None:
+    saved = profile_store.read_store(spark, root)
+    name = F.concat(F.lit("profile-"), F.col("doc_id").cast("string"), F.lit(".json"))
+    write_files(saved.where("doc_id is not null").select(F.lit("").alias("run_dir"), name.alias("file_name"), F.col("data").alias("content")), root).count()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = p(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [x.getPath().getName() for x in system.listStatus(p(root))]
+    files = spark.createDataFrame([(n,) for n in there if n.startswith("profile-") and n.endswith(".json")], "file string")
+    for row in files.join(saved.select(name.alias("file")), "file", "left_anti").toLocalIterator():
+        system.delete(p(f"{root}/{row['file']}"), False)
 
 
 def delete_if_exists(spark: SparkSession, path: str) -> bool:
