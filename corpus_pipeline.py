@@ -13,6 +13,8 @@ whatever their names; only the last stage replaces columns named ids, n_tokens,
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +27,29 @@ from sheaf.llm.sentencepiece_codec import encode_documents
 from sheaf.llm.source_mixing import mix
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage):
+    """Columns besides those of documents go by number through a stage, so that they come out as they went in, whatever their names."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in COLUMNS else f"extra_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()]), sf_dir)
+        return out.select(*[F.col(x).alias(c) for c, x in names.items()])
+
+    return run_stage
+
+
+@_apart
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     scored = classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return scored.where("kept").select(*docs.columns)
 
 
+@_apart
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go, and documents of which nothing else was left; n_chars follows the text."""
     left = dedup_lines(docs)
@@ -39,6 +58,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.where(full).withColumn("n_chars", changed).select(*docs.columns)
 
 
+@_apart
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies one row stays: that with the smallest doc_id, and of rows that share it the one
     whose text has the smallest hash. Rows that repeat doc_id and text count once, those without words, too."""
@@ -53,6 +73,7 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return own.join(wanted, ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select("row.*")
 
 
+@_apart
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and topics have their target weights."""
     return mix(docs).where("kept").select(*docs.columns)
