@@ -89,7 +89,11 @@ def bodies(text: Column, found: Column, min_lines: int = 2) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int = 50) -> DataFrame:
     """``docs`` without the repeats of units, and ``n_lines_removed``."""
     lowest = F.lit(-(2**63)).cast("long")
-    columns = [c for c in docs.columns if c != "n_lines_removed"]
+    names = [c for c in docs.columns if c != "n_lines_removed"]
+    # Columns go by number until the end, so that no name of theirs meets one of the steps below.
+    columns = [f"x_{i}" for i in range(len(names))]
+    docs = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(names, columns, strict=True)])
+    id_col, text_col = columns[names.index(id_col)], columns[names.index(text_col)]
     own = docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.shiftrightunsigned(F.xxhash64(text_col), 2).alias("_th"))
     # Id and hash as one number, as numbers combine in place before the shuffle.
     rank = F.col("_id").cast("decimal(19,0)") * F.lit(Decimal(2**62)) + F.col("_th").cast("decimal(19,0)")
@@ -116,5 +120,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     done = joined.withColumn("_left", F.when(F.col("_cut").isNotNull(), let(F.split(text_col, "\n"), left)))
     text = F.when(F.col("_cut").isNotNull(), F.col("_left.text")).otherwise(F.col(text_col))
-    changed = done.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.coalesce("_left.n", F.lit(0)).cast("long").alias("n_lines_removed"))
-    return changed.unionByName(held.where("_found is null").select(*columns, F.lit(0).cast("long").alias("n_lines_removed")))
+    named = list(zip(names, columns, strict=True))
+    changed = done.select(*[(text if x == text_col else F.col(x)).alias(c) for c, x in named], F.coalesce("_left.n", F.lit(0)).cast("long").alias("n_lines_removed"))
+    return changed.unionByName(held.where("_found is null").select(*[F.col(x).alias(c) for c, x in named], F.lit(0).cast("long").alias("n_lines_removed")))

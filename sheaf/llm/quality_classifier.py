@@ -135,9 +135,12 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, thr
     ``keep``: the columns to return besides these, by default all. The counts of a text are
     taken once and written with the kept columns; nothing else of a document moves.
     """
-    kept = [c for c in docs.columns if c not in OWN and (keep is None or c in keep)]
+    names = [c for c in docs.columns if c not in OWN and (keep is None or c in keep)]
+    # Columns go by number until the end, so that no name of theirs meets one of the steps below.
+    numbered = [f"x_{i}" for i in range(len(names))]
+    kept = [F.col(x).alias(c) for c, x in zip(names, numbered, strict=True)]
     own = [F.col("doc_id").alias("_doc"), site.cast("string").alias("_site"), path.cast("string").alias("_path"), text_features(F.col("text")).alias("_x")]
-    featured = materialize(docs.select(*[docs[c] for c in kept], *own), "quality-features")
+    featured = materialize(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(names, numbered, strict=True)], *own), "quality-features")
     model, share = train(featured, labels, max_train)
     prior_odds = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
 

@@ -122,10 +122,14 @@ def marginal_error(raked: DataFrame, targets: dict[str, Target]) -> DataFrame:
 def mix(docs: DataFrame, targets: dict[str, Target] | None = None, topic: Column | None = None, sweeps: int = 12, seed: str = "mix:", most_cells: int = 200_000, tolerance: float = 0.01) -> DataFrame:
     """``docs`` with topic, n_tokens, p_keep and kept."""
     targets = targets or DEFAULT
-    kept = [c for c in docs.columns if c not in OWN]
+    names = [c for c in docs.columns if c not in OWN]
+    # Columns go by number until the end, so that no name of theirs meets one of the steps below.
+    numbered = [f"x_{i}" for i in range(len(names))]
+    kept = [F.col(x).alias(c) for c, x in zip(names, numbered, strict=True)]
     if topic is None and "topic" in docs.columns:
         topic = docs["topic"]
-    rows = docs.select(*[docs[c] for c in kept], (form() if topic is None else F.coalesce(topic.cast("string"), F.lit(""))).alias("topic"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
+    given = [F.col(f"`{c}`").alias(x) for c, x in zip(names, numbered, strict=True)]
+    rows = docs.select(*given, F.col("doc_id").alias("_doc"), "source", "lang", (form() if topic is None else F.coalesce(topic.cast("string"), F.lit(""))).alias("topic"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     named = [F.coalesce(F.col(a).cast("string"), F.lit("")).alias(a) for a in AXES]
     cells = materialize(rows.select(*named, "n_tokens").where("n_tokens > 0").groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     weights = rake(cells, targets, sweeps, most_cells)
@@ -136,7 +140,7 @@ def mix(docs: DataFrame, targets: dict[str, Target] | None = None, topic: Column
     on = [F.coalesce(rows[a].cast("string"), F.lit("")) == raked[f"_{a}"] for a in AXES]
     joined = rows.join(raked, on[0] & on[1] & on[2], "left")
     p = F.when(F.col("n_tokens") > 0, F.coalesce("p_keep", F.lit(0.0))).otherwise(0.0)
-    out = joined.withColumn("p_keep", p).withColumn("kept", uniform(F.col("doc_id"), seed) < F.col("p_keep"))
+    out = joined.withColumn("p_keep", p).withColumn("kept", uniform(F.col("_doc"), seed) < F.col("p_keep"))
     return out.select(*kept, *OWN)
 
 
