@@ -560,7 +560,8 @@ def cross_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, bucket_key
     own_cut = F.pmod(F.xxhash64("cls", "gid"), F.col("cuts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, own_cut).alias("i"), F.greatest(o, own_cut).alias("j")))
     dealt = alive.join(sizes.select("gid", "cuts"), "gid").select("gid", "cls", "comp", own_cut.alias("cut"), F.explode(others).alias("b"))
-    parts = max(1, math.ceil(alive.count() / 20_000))
+    # By the rows that are dealt, as many for each class as its group has cuts: a task gets about 20,000 of them, or one block.
+    parts = max(1, math.ceil(sizes.agg(F.coalesce(F.sum(F.col("m") * F.col("cuts")), F.lit(0))).first()[0] / 20_000))
     spread = dealt.select("gid", "cls", "comp", "b.i", "b.j", "cut").withColumn("part", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(parts)))
 
     def meet(table: pa.Table) -> pa.Table:
