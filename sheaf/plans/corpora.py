@@ -76,3 +76,17 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESUMES_SQL = f"{values_sql(LITERAL, ['doc_id', 'text'], ['bigint', 'varchar'])} union all {RENDERED_SQL}"
+
+
+def with_table(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str, table: str, columns: list[str]) -> DataFrame:
+    """Literal rows with every odd case, and one row for each of a table; ``columns`` are expressions that both engines read."""
+    return literal(spark, rows, schema).unionByName(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns))
+
+
+def with_table_sql(rows: list[tuple], names: list[str], table: str, columns: list[str]) -> str:
+    return f"select * from ({values_sql(rows, names)}) union all select {', '.join(columns)} from {table}"
+
+
+#: Texts of conversations as messages: some in paragraphs, with names that need mending, and closings.
+MESSAGE_COLUMNS = ["conv_id * 1000 + turn + 100 as id", "replace(text, '. ', case turn % 4 when 1 then '.' || chr(10) || chr(10) when 2 then '! React. js ' else '. ' end) || case turn % 3 when 0 then chr(10) || 'Best regards, ' || chr(10) || role when 1 then ' Postgre SQL' else '' end as m"]
+HEADING_COLUMNS = ["p_partkey + 100 as id", "case p_partkey % 6 when 0 then '## ' || p_type || ':' when 1 then '# # ' || p_name when 2 then 'Skills :' when 3 then '#' || p_brand || '::' when 4 then ' ### Work Experience' else p_name || ' : ' end as line"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
@@ -13,7 +11,7 @@ from sheaf.operators import prompts
 from sheaf.operators import rendering as R
 from sheaf.operators import validation as V
 from sheaf.plans import duck as D
-from sheaf.plans.corpora import literal, quoted, resumes, values_sql
+from sheaf.plans.corpora import HEADING_COLUMNS, MESSAGE_COLUMNS, literal, quoted, resumes, values_sql, with_table, with_table_sql
 from sheaf.plans.parsing_queries import HEADINGS
 from sheaf.plans.record_queries import MESSAGES
 from sheaf.sources import files, sinks
@@ -23,7 +21,7 @@ col = F.col
 
 
 def prs3_normalize_heading(spark, sf_dir):
-    return literal(spark, HEADINGS, "id int, line string").select("id", T.normalize_heading(col("line")).alias("normalized"))
+    return with_table(spark, sf_dir, HEADINGS, "id long, line string", "part", HEADING_COLUMNS).select("id", T.normalize_heading(col("line")).alias("normalized"))
 
 
 def prs5_date_pattern(spark, sf_dir):
@@ -41,9 +39,13 @@ def evd4_employment_items(spark, sf_dir):
     return P.semantic(resumes(spark, sf_dir)).select("doc_id", F.posexplode(items).alias("pos", "i")).select("doc_id", "pos", "i.heading", F.size("i.bullets").alias("n_bullets"))
 
 
+def _messages(spark, sf_dir):
+    return with_table(spark, sf_dir, MESSAGES, "id long, m string", "conversations", MESSAGE_COLUMNS)
+
+
 def jsn5_repair_messages(spark, sf_dir):
     m = prompts.repair_messages("job requirements", col("m"), F.lit("bad shape"))
-    return literal(spark, MESSAGES, "id int, m string").select("id", F.substring_index(F.get(m, F.lit(1))["content"], "Error:\n", -1).alias("tail"))
+    return _messages(spark, sf_dir).select("id", F.substring_index(F.get(m, F.lit(1))["content"], "Error:\n", -1).alias("tail"))
 
 
 #: Label, shape of the answer, values of the literal rows, and a value for each event: SQL that both engines read.
@@ -92,21 +94,16 @@ def val7_all_schemas(spark, sf_dir):
 
 
 def val8_whole_run(spark, sf_dir):
-    from sheaf.plans.workflow_queries import _run
+    from sheaf.plans.workflow_queries import home_runs
 
-    runs = _run(spark).runs.select("doc_id", "job_id", F.to_json("run").alias("j"))
+    runs = home_runs(spark, sf_dir).runs.select("doc_id", "job_id", F.to_json("run").alias("j"))
     return runs.select("doc_id", "job_id", V.validate(F.array("j"), "raw analysis")["error"].isNull().alias("valid"))
 
 
 def llm1_provider_names(spark, sf_dir):
-    """Names in any case of letters; others are refused."""
-    rows = []
-    for name in ("Ollama", "OLLAMA", "other"):
-        try:
-            rows.append((name, M.create_provider(name).name))
-        except ValueError:
-            rows.append((name, None))
-    return literal(spark, rows, "asked string, chosen string")
+    """Names in any case of letters; others are refused, and none is the local one."""
+    asked = F.when(col("n_nationkey") % 4 == 0, "Ollama").when(col("n_nationkey") % 4 == 1, "OPENAI").when(col("n_nationkey") % 4 == 2, col("n_name"))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", asked.alias("asked")).withColumn("chosen", M.provider_name(col("asked")))
 
 
 def pmt_prompts(spark, sf_dir):
@@ -132,7 +129,7 @@ def rnd4_improvements(spark, sf_dir):
 
 
 def rnd9_closing(spark, sf_dir):
-    return literal(spark, MESSAGES, "id int, m string").select("id", T.has_closing(col("m")).alias("closed"))
+    return _messages(spark, sf_dir).select("id", T.has_closing(col("m")).alias("closed"))
 
 
 def rnd12_timestamp(spark, sf_dir):
@@ -142,16 +139,21 @@ def rnd12_timestamp(spark, sf_dir):
 def src1_text_files(spark, sf_dir):
     """Texts written as files and read again, whole, with their line ends."""
     folder = stage_folder(spark, "texts")
-    rows = literal(spark, [("in", f"{i}.txt", m + "\r\nend") for i, m in MESSAGES], "run_dir string, file_name string, content string")
+    text = F.concat(col("m"), F.lit("\r\nend")).alias("content")
+    rows = with_table(spark, sf_dir, MESSAGES, "id long, m string", "benchmark", ["item_id + 100 as id", "text as m"]).select(F.lit("in").alias("run_dir"), F.concat(col("id").cast("string"), F.lit(".txt")).alias("file_name"), text)
     sinks.write_files(rows, folder).count()
-    return files.read_text(spark, f"{folder}/in").select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("int").alias("id"), "text")
+    return files.read_text(spark, f"{folder}/in").select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("id"), "text")
 
 
 def snk3_saved_profiles(spark, sf_dir):
     """Profiles saved, loaded, and checked as they are loaded."""
     folder = f"{stage_folder(spark, 'profiles')}/context"
-    rows = literal(spark, [(1, json.dumps({"summary": "s", "name": " Ann "})), (2, json.dumps({"name": "no summary"}))], "doc_id long, data string")
-    sinks.save_profiles(rows, folder)
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    named = F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit(" "))
+    data = lambda name: F.to_json(F.struct(name.alias("name"), F.when(col("item_id") % 5 > 0, col("text")).alias("summary")))
+    sinks.save_profiles(b.select(col("item_id").alias("doc_id"), data(named).alias("data")), folder)
+    # Saved again, by key: every third has another name.
+    sinks.upsert_profiles(b.select(col("item_id").alias("doc_id"), data(F.when(col("item_id") % 3 == 0, F.lit("new")).otherwise(named)).alias("data")), folder)
     out = files.load_profiles(spark, folder)
     return out.select(F.regexp_extract("path", r"profile-(\d+)\.json$", 1).cast("long").alias("doc_id"), F.get_json_object("data", "$.name").alias("name"), col("error").isNull().alias("valid"))
 
@@ -188,19 +190,23 @@ def src6_exists_deleted(spark, sf_dir):
 
 
 def src9_resolved_paths(spark, sf_dir):
-    paths = ["/a/b", "s3://bucket/x", "file:///c", "rel/d"]
-    return literal(spark, [(p, files.resolve(p) == p, files.resolve(p).endswith(p)) for p in paths], "path string, same boolean, ends boolean")
+    path = F.when(col("n_nationkey") % 4 == 0, F.concat(F.lit("/a/"), "n_name")).when(col("n_nationkey") % 4 == 1, F.concat(F.lit("s3://bucket/"), "n_name")).when(col("n_nationkey") % 4 == 2, F.concat(F.lit("file:///"), "n_name")).otherwise(col("n_name"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(path.alias("path"))
+    full = files.resolved(col("path"))
+    return rows.select("path", (full == col("path")).alias("same"), full.endswith(col("path")).alias("ends"))
 
 
-PRETTY = '{"b":[1,{"é":null}],"a":{},"c":[],"d":"x\\ny"}'
 
 
 def snk6_pretty_json(spark, sf_dir):
     """A JSON file as it is written, line by line, and a text file of the same content, which stays as it is."""
     folder = stage_folder(spark, "json")
-    sinks.write_files(literal(spark, [("r", "a.json", PRETTY), ("r", "a.txt", PRETTY)], "run_dir string, file_name string, content string"), folder).count()
-    rows = files.read_text(spark, f"{folder}/r").select(F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows
+    content = F.concat(F.lit('{"b":[1,{"é":null}],"a":{},"c":[],"d":'), F.to_json(F.array("text")), F.lit("}")).alias("content")
+    name = lambda kind: F.concat(col("item_id").cast("string"), F.lit(f".{kind}")).alias("file_name")
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    sinks.write_files(b.select(F.lit("r").alias("run_dir"), F.explode(F.array(name("json"), name("txt"))).alias("file_name"), content), folder).count()
+    at = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("item_id")
+    return files.read_text(spark, f"{folder}/r").select(at, F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def rul6_has_text(spark, sf_dir):
@@ -213,7 +219,7 @@ QUERIES = {f.__name__: f for f in (*_OWN, *map(_kind_query, _KINDS))}
 
 _P = D.parse_ctes()
 _NL = "chr(10)"
-_MSG = values_sql(MESSAGES, ["id", "m"])
+_MSG = with_table_sql(MESSAGES, ["id", "m"], "conversations", MESSAGE_COLUMNS)
 
 
 def _doc(title: str, parts: list[tuple[str, str]]) -> str:
@@ -238,16 +244,20 @@ def _kind_sql(name: str) -> str:
     return f"select id, {_VALID[name]} valid from (select id, replace({quoted(shape)}, '%s', v)::json j from ({rows}))"
 
 
+_QUOTED = "to_json(text)::varchar"
+_PRETTY_LINES = [quoted(x) for x in ('{', '  "b": [', '    1,', '    {', '      "é": null', '    }', '  ],', '  "a": {},', '  "c": [],', '  "d": [')] + [f"'    ' || {_QUOTED}", quoted("  ]"), quoted("}"), "''"]
+_PRETTY_SQL = f"""select item_id, 'json' kind, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) line from (select item_id, [{', '.join(_PRETTY_LINES)}] l from benchmark)
+ union all select item_id, 'txt', 0, '{{"b":[1,{{"é":null}}],"a":{{}},"c":[],"d":[' || {_QUOTED} || ']}}' from benchmark"""
 _LAST = {"profile": "p", "match": "j", "assets": "w", "review": "w"}
 ORACLES = {
-    "prs3_normalize_heading": f"select id, {D.normalize_heading('line')} normalized from ({values_sql(HEADINGS, ['id', 'line'])})",
+    "prs3_normalize_heading": f"select id, {D.normalize_heading('line')} normalized from ({with_table_sql(HEADINGS, ['id', 'line'], 'part', HEADING_COLUMNS)})",
     "prs5_date_pattern": _P + f"select doc_id, pos, regexp_extract(line, '^([\\s\\S]*?)(?:{D.DATE})', 1, 'i') as before from lines where regexp_matches(line, '{D.DATE}', 'i')",
     "prs11_lone_date": _P + f"select doc_id, pos from lines where {_LONE}",
     "evd4_employment_items": _P + f", it as ({D.ITEMS}), bu as (select doc_id, section_id, item_id, count(*) n from ({D.BULLETS}) group by 1, 2, 3) select doc_id, (row_number() over (partition by doc_id order by section_id, item_id) - 1)::int pos, heading, coalesce(n, 0)::int n_bullets from it left join bu using (doc_id, section_id, item_id)",
     "jsn5_repair_messages": f"select id, 'bad shape' || {_NL} || {_NL} || 'Answer:' || {_NL} || m tail from ({_MSG})",
     "val7_all_schemas": f"select n_nationkey, label, not (blank and required) valid, case when not blank then n_name end as text from (select n_nationkey, n_name, n_nationkey % 5 = 0 blank from nation) cross join ({values_sql([(x, x not in ('application assets', 'output review', 'preferences')) for x in _RECORDS], ['label', 'required'])})",
-    "val8_whole_run": "select * from (values (-1::bigint, 1::bigint, true), (-1, 2, true), (-2, 1, true), (-2, 2, true)) v(doc_id, job_id, valid)",
-    "llm1_provider_names": "select * from (values ('Ollama', 'ollama'), ('OLLAMA', 'ollama'), ('other', null)) v(asked, chosen)",
+    "val8_whole_run": "select doc_id, c_nationkey job_id, true valid from (select o_custkey doc_id from orders group by 1 having count(*) >= 3) join customer on c_custkey = doc_id",
+    "llm1_provider_names": "select n_nationkey, case n_nationkey % 4 when 0 then 'Ollama' when 1 then 'OPENAI' when 2 then n_name end asked, case n_nationkey % 4 when 0 then 'ollama' when 1 then 'openai' when 3 then 'ollama' end chosen from nation",
     "pmt_prompts": "select n_nationkey, prompt, 2::int n, case when k = '' then '{\"p\":' else '{\"' || k || '\":' end || n_nationkey || '}' as last from nation cross join (values ('profile', 'p'), ('job', 'p'), ('match', 'j'), ('assets', 'w'), ('review', 'w')) v(prompt, k)",
     "rnd3_location": f"select c_custkey, 'Job: ' || case when c_custkey % 2 = 0 then c_mktsegment else 'Not specified' end || {_NL} || 'Candidate: ' || case when c_custkey % 3 = 0 then c_name else 'Not specified' end summary from customer",
     "rnd4_improvements": f"select n_nationkey, {_doc('CV Improvements', [('Suggested Improved CV Bullets', _ONE), ('Skills To Emphasize', _NONE), ('Experience That Should Be Rewritten', f'''{quoted('- a')} || {_NL} || {quoted('- b')}'''), ('Missing Keywords From The Job Description', _NONE)])} improvements, {_doc('Interview Prep', [('Likely Interview Topics', _NONE), ('Technical Questions', _ONE), ('Behavioral Questions', _NONE), ('Suggested Talking Points', _NONE)])} prep from nation",
@@ -256,10 +266,10 @@ ORACLES = {
     "src2_binary_files": f"select item_id, octet_length(encode(t))::bigint n_bytes, md5(t) digest from (select item_id, text || chr(13) || {_NL} || 'end' t from benchmark)",
     "src3_documents_by_extension": f"select item_id, case when item_id % 2 = 0 then t when not v then 'page: ' || t end as text, case when item_id % 2 = 1 and v then 'No text could be extracted from' end problem from (select item_id, text || chr(13) || {_NL} || 'end' t, contains('aeiou', left(text, 1)) v from benchmark)",
     "src6_exists_deleted": "select * from (values (0, true), (1, true), (2, false), (3, false)) v(step, said)",
-    "src9_resolved_paths": "select * from (values ('/a/b', true, true), ('s3://bucket/x', true, true), ('file:///c', true, true), ('rel/d', false, true)) v(path, same, ends)",
-    "snk6_pretty_json": values_sql([("json", i, x) for i, x in enumerate(['{', '  "b": [', '    1,', '    {', '      "é": null', '    }', '  ],', '  "a": {},', '  "c": [],', '  "d": "x\\ny"', '}', ''])] + [("txt", 0, PRETTY)], ["kind", "pos", "line"]),
+    "src9_resolved_paths": "select case n_nationkey % 4 when 0 then '/a/' when 1 then 's3://bucket/' when 2 then 'file:///' else '' end || n_name path, n_nationkey % 4 < 3 same, true ends from nation",
+    "snk6_pretty_json": _PRETTY_SQL,
     "rul6_has_text": f"select doc_id, coalesce(length({D.trim('text')}) > 0, false) whole, coalesce(length({D.trim('left(text, 1)')}) > 0, false) opens from documents",
-    "src1_text_files": f"select id, m || chr(13) || {_NL} || 'end' as text from ({_MSG})",
-    "snk3_saved_profiles": "select * from (values (1::bigint, 'Ann', true), (2, null, false)) v(doc_id, name, valid)",
+    "src1_text_files": f"select id, m || chr(13) || {_NL} || 'end' as text from ({with_table_sql(MESSAGES, ['id', 'm'], 'benchmark', ['item_id + 100', 'text'])})",
+    "snk3_saved_profiles": f"select item_id doc_id, case when item_id % 5 > 0 then case when item_id % 3 = 0 then 'new' else {D.trim('left(text, 20)')} end end as name, item_id % 5 > 0 valid from benchmark",
     **{n: _kind_sql(n) for n in _KINDS},
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import text as T
 from sheaf.operators import parsing as P
 from sheaf.plans import duck as D
-from sheaf.plans.corpora import RESUMES_SQL, literal, resumes, values_sql
+from sheaf.plans.corpora import HEADING_COLUMNS, RESUMES_SQL, literal, resumes, values_sql, with_table, with_table_sql
 
 HEADINGS = [(1, "## Experience"), (2, "EXPERIENCE:"), (3, "Skills :"), (4, "#Profile"), (5, "Languages, Technologies and Tools:"), (6, "Summary::"), (7, "the education"), (8, "Licenses and Certifications"), (9, "# # Awards"), (10, "####   honors and awards:")]
 DATES = [(1, "2021-2025"), (2, "Jan 2020 – Present"), (3, "2018 to 2020"), (4, "2018 - 2020)"), (5, "2018 - 2020 abc"), (6, "05/2018 - 06/2020"), (7, "Jan. 2018 - Feb. 2020"), (8, "x 2018—now"), (9, "no date"), (10, "1999-2000 and 2001-2002"), (11, "May 2018 - CURRENT"), (12, "12345-67890"), (13, "2010-2011"), (14, "Engineer\tAcme\t2018 - 2020")]
@@ -18,7 +18,8 @@ def prs1_lines(spark, sf_dir):
 
 
 def prs2_strip_heading(spark, sf_dir):
-    return literal(spark, HEADINGS, "id int, line string").select("id", T.strip_heading(F.col("line")).alias("stripped"), T.normalize_heading(F.col("line")).alias("normalized"))
+    rows = with_table(spark, sf_dir, HEADINGS, "id long, line string", "part", HEADING_COLUMNS)
+    return rows.select("id", T.strip_heading(F.col("line")).alias("stripped"), T.normalize_heading(F.col("line")).alias("normalized"))
 
 
 def prs4_section_type(spark, sf_dir):
@@ -31,10 +32,13 @@ def prs6_date_range(spark, sf_dir):
     return P.lines(resumes(spark, sf_dir)).drop("doc_key").unionByName(own).select("doc_id", "pos", r["start"].alias("start_date"), r["end"].alias("end_date"), T.lone_date(F.col("line")).alias("lone")).where("start_date is not null or lone")
 
 
+_ROLES = [(1, "Lead, Acme"), (2, "Lead"), (3, "Lead, Acme, Oslo"), (4, ", Lead ,"), (5, ",,"), (6, "a,b,,c")]
+_ROLE_COLUMNS = ["p_partkey + 100 as id", "case p_partkey % 5 when 0 then p_type || ', ' || p_brand when 1 then p_name when 2 then p_type || ',' || p_name || ', ' || p_brand when 3 then ' ,' || p_name || ' , ' else ',,' end as heading"]
+
+
 def prs7_role_company(spark, sf_dir):
-    rows = [(1, "Lead, Acme"), (2, "Lead"), (3, "Lead, Acme, Oslo"), (4, ", Lead ,"), (5, ",,"), (6, "a,b,,c")]
     named = T.role_company(F.col("heading"))
-    return literal(spark, rows, "id int, heading string").select("id", named["role"].alias("role"), named["company"].alias("company"))
+    return with_table(spark, sf_dir, _ROLES, "id long, heading string", "part", _ROLE_COLUMNS).select("id", named["role"].alias("role"), named["company"].alias("company"))
 
 
 def _heads(spark, sf_dir):
@@ -87,10 +91,10 @@ _HEAD_COLUMNS = "doc_id, pos, heading, role, company, location, start_date, end_
 _ITEMS_POS = D.ITEMS.replace("select doc_id, section_id, item_id,", "select doc_id, section_id, item_id, pos, accepted,", 1)
 ORACLES = {
     "prs1_lines": _P + "select doc_id, pos, line from lines",
-    "prs2_strip_heading": f"select id, {D.strip_heading('line')} stripped, {D.normalize_heading('line')} normalized from ({values_sql(HEADINGS, ['id', 'line'])})",
+    "prs2_strip_heading": f"select id, {D.strip_heading('line')} stripped, {D.normalize_heading('line')} normalized from ({with_table_sql(HEADINGS, ['id', 'line'], 'part', HEADING_COLUMNS)})",
     "prs4_section_type": _P + f"select doc_id, pos, opens section_type from m1 where opens is not null union all select id, -1, {D.section_type('line')} from ({values_sql(HEADINGS, ['id', 'line'])})",
     "prs6_date_range": _P + f"select doc_id, pos, case when {D.has_range('line')} then {D.range_part('line', 1)} end start_date, case when {D.has_range('line')} then {D.range_part('line', 2)} end end_date, {_LONE} lone from (select doc_id, pos, line from lines union all select id, -1, line from ({values_sql(DATES, ['id', 'line'])})) where {_LONE}",
-    "prs7_role_company": f"select id, case when len(p) >= 2 then p[1] else heading end as role, case when len(p) >= 2 then array_to_string(p[2:], ', ') end company from (select *, {D.parts('heading', ',')} p from ({values_sql([(1, 'Lead, Acme'), (2, 'Lead'), (3, 'Lead, Acme, Oslo'), (4, ', Lead ,'), (5, ',,'), (6, 'a,b,,c')], ['id', 'heading'])}))",
+    "prs7_role_company": f"select id, case when len(p) >= 2 then p[1] else heading end as role, case when len(p) >= 2 then array_to_string(p[2:], ', ') end company from (select *, {D.parts('heading', ',')} p from ({with_table_sql(_ROLES, ['id', 'heading'], 'part', _ROLE_COLUMNS)}))",
     "prs8_markdown_heading": _P + f"select {_HEAD_COLUMNS} from ({_ITEMS_POS}) where accepted",
     "prs9_plain_heading": _P + f"select {_HEAD_COLUMNS} from ({_ITEMS_POS}) where not accepted",
     "prs10_bullet_lines": _P + f"select doc_id, pos, {D.trim(f'''regexp_extract(line, '{D.BULLET}', 1)''')} body from lines where regexp_matches(line, '{D.BULLET}')",

@@ -13,7 +13,7 @@ from sheaf.operators import rendering as R
 from sheaf.operators import rules as U
 from sheaf.operators import validation as V
 from sheaf.plans import duck as D
-from sheaf.plans.corpora import literal, quoted, resumes, values_sql
+from sheaf.plans.corpora import MESSAGE_COLUMNS, literal, quoted, resumes, values_sql, with_table, with_table_sql
 from sheaf.sources.staging import stage_table
 
 col = F.col
@@ -38,9 +38,12 @@ def evd2_containment_docs_benchmark(spark, sf_dir):
 SCORES = [(1, "Acme", "acme corp", 3), (2, None, "acme", 3), (3, "", "acme", 3), (4, "Ab", "cd", 1), (5, "日本", "anything", 3), (6, "Node.js", "node js", 1), (7, "2018", "2018 - 2020", 1)]
 
 
+_SCORE_COLUMNS = ["p_partkey + 100 as id", "case p_partkey % 4 when 0 then p_name when 1 then upper(p_name) || '!' when 2 then p_type else '' end as a", "case p_partkey % 3 when 0 then p_name || ' ' || p_brand when 1 then p_type else p_name end as b", "case when p_partkey % 2 = 0 then 3 else 1 end as w"]
+
+
 def evd3_match_score(spark, sf_dir):
     a, b = col("a"), col("b")
-    return literal(spark, SCORES, "id int, a string, b string, w int").select("id", F.when(col("w") == 3, T.match_score(a, b, 3)).otherwise(T.match_score(a, b, 1)).alias("score"), F.coalesce(T.same_meaning(T.normalize_for_match(a), T.normalize_for_match(b)), F.lit(False)).alias("same"))
+    return with_table(spark, sf_dir, SCORES, "id long, a string, b string, w int", "part", _SCORE_COLUMNS).select("id", F.when(col("w") == 3, T.match_score(a, b, 3)).otherwise(T.match_score(a, b, 1)).alias("score"), F.coalesce(T.same_meaning(T.normalize_for_match(a), T.normalize_for_match(b)), F.lit(False)).alias("same"))
 
 
 def _items(spark, sf_dir):
@@ -112,8 +115,12 @@ ANSWERS = [
 ]
 
 
+#: The properties of events inside prose and fences, doubled, cut short and with wrong quotes.
+_ANSWER_COLUMNS = ["event_id + 100 as id", "case event_id % 7 when 0 then props when 1 then 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' when 2 then 'text ' || props || ' tail ' || props when 3 then '{\"a\": ' || props when 4 then '{''a'': ' || user_id || '}' when 5 then event_type || ' {\"q\": \"{' || user_id || '\"} }' else ' ' || event_type || ' ' end as answer"]
+
+
 def jsn1_candidates(spark, sf_dir):
-    return literal(spark, ANSWERS, "id int, answer string").select("id", F.posexplode(J.candidates(col("answer"))).alias("k", "candidate"))
+    return with_table(spark, sf_dir, ANSWERS, "id long, answer string", "events", _ANSWER_COLUMNS).select("id", F.posexplode(J.candidates(col("answer"))).alias("k", "candidate"))
 
 
 def jsn2_balanced_events(spark, sf_dir):
@@ -129,26 +136,33 @@ MATCHES = [
 ]
 
 
-def _validated(spark):
-    rows = literal(spark, MATCHES, "id int, answer string")
+_SCORED = "cast(cast(value as decimal(18, 2)) as string)"
+_MATCH_COLUMNS = ["event_id + 100 as id", "case event_id % 6 when 4 then 'It is ' when 5 then '```' else '' end || '{\"matchScore\":' || case event_id % 5 when 0 then '\"' || user_id || '\"' else " + _SCORED + " end || ',' || " + quoted(_OK) + " || ',\"gaps\":' || case event_id % 3 when 0 then props else '[\"' || event_type || '\",\" \",' || user_id || ',{\"k\":\"' || event_type || '\",\"n\":' || user_id || ',\"z\":null}]' end || '}' || case event_id % 6 when 4 then ' indeed' when 5 then '```' else '' end as answer"]
+
+
+def _validated(spark, sf_dir):
+    rows = with_table(spark, sf_dir, MATCHES, "id long, answer string", "events", _MATCH_COLUMNS)
     return rows.withColumn("v", V.validate(J.candidates(col("answer")), "match analysis"))
 
 
 def jsn3_first_valid(spark, sf_dir):
     """Whether some candidate is a valid match analysis, and its score."""
-    return _validated(spark).select("id", F.col("v.error").isNull().alias("valid"), F.get_json_object("v.data", "$.matchScore").cast("double").alias("match_score"))
+    return _validated(spark, sf_dir).select("id", F.col("v.error").isNull().alias("valid"), F.get_json_object("v.data", "$.matchScore").cast("double").alias("match_score"))
 
 
 def val3_text_array(spark, sf_dir):
-    return _validated(spark).where("v.error is null").select("id", F.array_join(V.typed(col("v.data"), "match analysis")["gaps"], "|").alias("gaps"))
+    return _validated(spark, sf_dir).where("v.error is null").select("id", F.array_join(V.typed(col("v.data"), "match analysis")["gaps"], "|").alias("gaps"))
 
 
 OPTIONALS = [(1, "{}"), (2, '{"linkedinTone":null}'), (3, '{"linkedinTone":"  "}'), (4, '{"linkedinTone":" warm "}'), (5, '{"linkedinTone":3}'), (6, '{"avoidPhrases":["x",""]}')]
 
 
+_OPTIONAL_COLUMNS = ["event_id + 100 as id", "'{\"linkedinTone\":' || case event_id % 5 when 0 then '\"' || event_type || ' \"' when 1 then 'null' when 2 then '\" \"' when 3 then props else user_id || '' end || '}' as answer"]
+
+
 def val2_optional_text(spark, sf_dir):
     v = V.validate(F.array("answer"), "preferences")
-    return literal(spark, OPTIONALS, "id int, answer string").withColumn("v", v).select("id", F.col("v.error").isNull().alias("valid"), F.get_json_object("v.data", "$.linkedinTone").alias("tone"), F.get_json_object("v.data", "$.linkedinTone").isNotNull().alias("present"))
+    return with_table(spark, sf_dir, OPTIONALS, "id long, answer string", "events", _OPTIONAL_COLUMNS).withColumn("v", v).select("id", F.col("v.error").isNull().alias("valid"), F.get_json_object("v.data", "$.linkedinTone").alias("tone"), F.get_json_object("v.data", "$.linkedinTone").isNotNull().alias("present"))
 
 
 def jsn_event_objects(spark, sf_dir):
@@ -163,7 +177,7 @@ EDUCATION = [
     (1, [], ["Bachelor's degree"]), (2, [], []), (3, [("B.S. Computer Science", "State", None, None)], ["Degree in Computer Science"]), (4, [("B.S.", None, "Physics", None)], ["Bachelor's degree"]), (5, [("BS", None, None, " ")], ["BS required"]),
     (6, [(None, "MIT", None, "degree 2010")], ["bachelor"]), (7, [("PhD", "MIT", "Math", None)], ["mit"]), (8, [("PhD", "MIT", "Math", None)], ["Oxford", "mit"]),
 ]
-_EDU_DDL = "id int, education array<struct<degree:string,institution:string,field:string,notes:string>>, requirements array<string>"
+_EDU_DDL = "id long, education array<struct<degree:string,institution:string,field:string,notes:string>>, requirements array<string>"
 
 
 def rul1_mentions_education(spark, sf_dir):
@@ -172,14 +186,26 @@ def rul1_mentions_education(spark, sf_dir):
     return own.unionByName(docs).select("id", T.mentions_education(col("gap")).alias("mentions"))
 
 
+_DEGREE, _FIELD = "case c_custkey % 4 when 0 then 'B.S. ' || c_mktsegment when 1 then 'Bachelor' when 2 then 'BS' end", "case when c_custkey % 3 = 0 then 'Computer Science' end"
+_ASKED = "case c_custkey % 5 when 0 then {0}'Bachelor''s degree'{1} when 1 then {2} when 2 then {0}'Degree in Computer Science', c_mktsegment{1} when 3 then {0}c_name{1} else {0}'BS or degree'{1} end"
+
+
+def _educated(spark, sf_dir):
+    """The literal rows, and customers with a degree and requirements made up of their columns."""
+    one = f"array(named_struct('degree', {_DEGREE}, 'institution', c_name, 'field', {_FIELD}, 'notes', cast(null as string)))"
+    none = "cast(array() as array<struct<degree:string,institution:string,field:string,notes:string>>)"
+    asked = _ASKED.format("array(", ")", "cast(array() as array<string>)")
+    return with_table(spark, sf_dir, EDUCATION, _EDU_DDL, "customer", ["c_custkey + 100 as id", f"case when c_custkey % 4 = 3 then {none} else {one} end as education", f"{asked} as requirements"])
+
+
 def rul2_satisfies(spark, sf_dir):
-    return literal(spark, EDUCATION, _EDU_DDL).select("id", U.satisfies_education(col("education"), col("requirements")).alias("satisfied"))
+    return _educated(spark, sf_dir).select("id", U.satisfies_education(col("education"), col("requirements")).alias("satisfied"))
 
 
 def rul3_filter_gaps(spark, sf_dir):
     gaps = F.array(*map(F.lit, GAPS))
     kept = U.without_education_gaps(gaps, col("education"), col("requirements"))
-    return literal(spark, EDUCATION, _EDU_DDL).select("id", F.array_join(kept, "|").alias("gaps"))
+    return _educated(spark, sf_dir).select("id", F.array_join(kept, "|").alias("gaps"))
 
 
 PROFILES = [
@@ -187,8 +213,14 @@ PROFILES = [
 ]
 
 
-def _profiles(spark):
-    rows = literal(spark, PROFILES, "id int, name string, title string, skills array<string>, work array<struct<company:string,role:string,n:int>>, projects int, achievements int")
+_PERSON = ["case when c_custkey % 7 = 0 then ' ' else c_name end", "case when c_custkey % 3 = 0 then c_mktsegment end"]
+_COUNTS = ["case when c_custkey % 11 = 0 then 1 else 0 end", "case when c_custkey % 13 = 0 then 2 else 0 end"]
+
+
+def _profiles(spark, sf_dir):
+    one = "array(named_struct('company', case when c_custkey % 2 = 0 then c_mktsegment end, 'role', case c_custkey % 6 when 1 then 'Lead' when 2 then ' ' end, 'n', cast(c_custkey % 3 as int)))"
+    columns = ["c_custkey + 100 as id", f"{_PERSON[0]} as name", f"{_PERSON[1]} as title", "array_repeat('x', cast(c_custkey % 5 as int)) as skills", f"case when c_custkey % 4 = 0 then slice({one}, 1, 0) else {one} end as work", f"{_COUNTS[0]} as projects", f"{_COUNTS[1]} as achievements"]
+    rows = with_table(spark, sf_dir, PROFILES, "id long, name string, title string, skills array<string>, work array<struct<company:string,role:string,n:int>>, projects int, achievements int", "customer", columns)
     texts = lambda n: F.array_repeat(F.lit("x"), n)
     none = F.array().cast("array<string>")
     work = F.transform("work", lambda w: F.struct(w["company"].alias("company"), w["role"].alias("role"), texts(w["n"]).alias("responsibilities"), none.alias("technologies"), none.alias("achievements")))
@@ -196,12 +228,12 @@ def _profiles(spark):
 
 
 def rul4_issues(spark, sf_dir):
-    return _profiles(spark).select("id", F.array_join(U.issues(col("p")), "; ").alias("issues"))
+    return _profiles(spark, sf_dir).select("id", F.array_join(U.issues(col("p")), "; ").alias("issues"))
 
 
 def rul5_meaningful(spark, sf_dir):
     p = col("p")
-    return _profiles(spark).select("id", U.meaningful_experience(p["workExperience"], p["projects"], p["achievements"]).alias("meaningful"))
+    return _profiles(spark, sf_dir).select("id", U.meaningful_experience(p["workExperience"], p["projects"], p["achievements"]).alias("meaningful"))
 
 
 # Rendering.
@@ -211,16 +243,24 @@ MESSAGES = [
 ]
 
 
+def _messages(spark, sf_dir):
+    return with_table(spark, sf_dir, MESSAGES, "id long, m string", "conversations", MESSAGE_COLUMNS)
+
+
 def rnd1_list(spark, sf_dir):
-    return literal(spark, BULLETS, "id int, source array<string>, own array<string>").select("id", R.bullet_list(col("source")).alias("listed"))
+    """Lists of the literal rows, and of the texts of every conversation."""
+    own = literal(spark, BULLETS, "id long, source array<string>, own array<string>").select("id", "source")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"])
+    talks = _read(spark, sf_dir, "conversations").groupBy((col("conv_id") + 100).alias("id")).agg(said.alias("source"))
+    return own.unionByName(talks).select("id", R.bullet_list(col("source")).alias("listed"))
 
 
 def rnd5_message(spark, sf_dir):
-    return literal(spark, MESSAGES, "id int, m string").select("id", R.short_message(col("m")).alias("rendered"))
+    return _messages(spark, sf_dir).select("id", R.short_message(col("m")).alias("rendered"))
 
 
 def rnd6_spacing(spark, sf_dir):
-    return literal(spark, MESSAGES, "id int, m string").select("id", T.technology_spacing(col("m")).alias("spaced"))
+    return _messages(spark, sf_dir).select("id", T.technology_spacing(col("m")).alias("spaced"))
 
 
 def rnd7_sentences(spark, sf_dir):
@@ -230,7 +270,7 @@ def rnd7_sentences(spark, sf_dir):
 
 
 def rnd8_cover_letter(spark, sf_dir):
-    return literal(spark, MESSAGES, "id int, m string").select("id", R.cover_letter(col("m"), F.when(col("id") % 3 == 0, " Ann ").when(col("id") % 3 == 1, " ")).alias("letter"), T.has_closing(T.trim_js(T.technology_spacing(col("m")))).alias("closed"))
+    return _messages(spark, sf_dir).select("id", R.cover_letter(col("m"), F.when(col("id") % 3 == 0, " Ann ").when(col("id") % 3 == 1, " ")).alias("letter"), T.has_closing(T.trim_js(T.technology_spacing(col("m")))).alias("closed"))
 
 
 def rnd10_sanitize(spark, sf_dir):
@@ -268,9 +308,9 @@ _MERGE_SQL = f"""with recursive {_PROFILE.removeprefix('with ')}, bl as (select
  select id, (n - 1)::int pos, x['c'] company, x['r'] as role, array_to_string(x['b'], '|') responsibilities from (select id, unnest(acc) x, generate_subscripts(acc, 1) n from (select id, arg_max(acc, k) acc from steps group by 1))"""
 _BULLETS_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(a)}::varchar[], {quoted(b)}::varchar[])" for i, a, b in BULLETS) + ") v(id, source, own)"
 _W = D.WS
-_MSG = values_sql(MESSAGES, ["id", "m"])
+_MSG = with_table_sql(MESSAGES, ["id", "m"], "conversations", MESSAGE_COLUMNS)
 _TRIMMED = D.trim(D.spacing("m"))
-_ANS = values_sql(ANSWERS, ["id", "answer"])
+_ANS = with_table_sql(ANSWERS, ["id", "answer"], "events", _ANSWER_COLUMNS)
 
 
 def _balanced(x: str) -> str:
@@ -289,13 +329,13 @@ _T = D.trim("answer")
 _FENCE = rf"```(?:json)?{_W}*([\s\S]*?)```"
 _CANDS = f"list_filter([{_T}, case when regexp_matches({_T}, '{_FENCE}', 'i') then {D.trim(f'''regexp_extract({_T}, '{_FENCE}', 1, 'i')''')} end, {_balanced(_T)}], lambda x: x is not null and x <> '')"
 _GAPS_SQL = quoted(GAPS)
-_EDU_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(' '.join(x.lower() for e in ed for x in (e[0], e[2], e[1], e[3]) if x and x.strip()))}, {quoted(r)}::varchar[])" for i, ed, r in EDUCATION) + ") v(id, t, requirements)"
+_EDU_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(' '.join(x.lower() for e in ed for x in (e[0], e[2], e[1], e[3]) if x and x.strip()))}, {quoted(r)}::varchar[])" for i, ed, r in EDUCATION) + f") v(id, t, requirements) union all select c_custkey + 100, case when c_custkey % 4 = 3 then '' else lower(concat_ws(' ', {_DEGREE}, {_FIELD}, c_name)) end, {_ASKED.format('[', ']', '[]::varchar[]')} from customer"
 _DEG, _HOLD = r"\b(bs|b\.s\.|bachelor|degree)\b", r"\b(bs|b\.s\.|bachelor)\b"
 _MET = f"coalesce(list_bool_and(list_transform(requirements, lambda r: case when contains(lower(r), 'computer science') then contains(t, 'computer science') when regexp_matches(lower(r), '{_DEG}') then regexp_matches(t, '{_HOLD}') or contains(t, 'degree') else contains(t, lower(r)) end)), true)"
-_JSON = "select id, j, json_type(j, '$.matchScore') ty, try_cast(json_extract_string(j, '$.matchScore') as double) sc from (select id, list_filter(c, lambda x: json_valid(x))[1]::json j from (select id, " + _CANDS + f" c from ({values_sql(MATCHES, ['id', 'answer'])})))"
+_JSON = "select id, j, json_type(j, '$.matchScore') ty, try_cast(json_extract_string(j, '$.matchScore') as double) sc from (select id, list_filter(c, lambda x: json_valid(x))[1]::json j from (select id, " + _CANDS + f" c from ({with_table_sql(MATCHES, ['id', 'answer'], 'events', _MATCH_COLUMNS)})))"
 _VALID = "(j is not null and ty in ('UBIGINT', 'BIGINT', 'DOUBLE') and sc between 0 and 100 and trim(coalesce((j->>'$.summary'), '')) <> '' and coalesce(json_type(j, '$.gaps'), 'ARRAY') = 'ARRAY')"
 _ITEM = "case json_type(g) when 'VARCHAR' then trim((g->>'$')) when 'OBJECT' then array_to_string(list_filter(list_transform(json_keys(g), lambda k: case when json_type(g, '$.' || k) in ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') then trim((g->>('$.' || k))) end), lambda x: x <> ''), ': ') end"
-_PROFILES_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {len(s)}, {quoted([bool(((c or '').strip() or (r or '').strip()) and k) for c, r, k in w])}::boolean[], {quoted([bool((r or '').strip()) for c, r, k in w])}::boolean[], {p}, {a})" for i, n, t, s, w, p, a in PROFILES) + ") v(id, name, title, skills, ok, roles, projects, achievements)"
+_PROFILES_SQL = "select * from (values " + ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {len(s)}, {quoted([bool(((c or '').strip() or (r or '').strip()) and k) for c, r, k in w])}::boolean[], {quoted([bool((r or '').strip()) for c, r, k in w])}::boolean[], {p}, {a})" for i, n, t, s, w, p, a in PROFILES) + f") v(id, name, title, skills, ok, roles, projects, achievements) union all select c_custkey + 100, {_PERSON[0]}, {_PERSON[1]}, c_custkey % 5, case when c_custkey % 4 = 0 then [] else [(c_custkey % 2 = 0 or c_custkey % 6 = 1) and c_custkey % 3 > 0] end::boolean[], case when c_custkey % 4 = 0 then [] else [c_custkey % 6 = 1] end::boolean[], {_COUNTS[0]}, {_COUNTS[1]} from customer"
 _MEANING = "(coalesce(list_bool_or(ok), false) or projects > 0 or achievements > 0)"
 
 
@@ -308,7 +348,7 @@ def short_message_sql(messages: str) -> str:
 ORACLES = {
     "evd1_normalize": f"select item_id, {D.norm('text')} norm from benchmark",
     "evd2_containment_docs_benchmark": f"select doc_id, item_id from (select doc_id, {D.norm('text')} d from documents), (select item_id, {D.norm('text')} b from benchmark) where b <> '' and contains(d, b)",
-    "evd3_match_score": f"select id, case when w = 3 then {D.score('a', 'b', 3)} else {D.score('a', 'b', 1)} end score, coalesce({D.same(D.norm('a'), D.norm('b'))}, false) same from ({values_sql(SCORES, ['id', 'a', 'b', 'w'])})",
+    "evd3_match_score": f"select id, case when w = 3 then {D.score('a', 'b', 3)} else {D.score('a', 'b', 1)} end score, coalesce({D.same(D.norm('a'), D.norm('b'))}, false) same from ({with_table_sql(SCORES, ['id', 'a', 'b', 'w'], 'part', _SCORE_COLUMNS)})",
     "evd5_best_match": _PROFILE + "select it.doc_id, it.item, case when s >= 4 then pos end match_pos, coalesce(s, 0) score from it left join best using (doc_id, item)",
     "evd6_fuzzy_dedupe": f"{_P}, bu as ({D.BULLETS}), ib as (select doc_id, section_id, item_id, list(bullet order by bullet_id) bl from bu group by 1, 2, 3), big as (select doc_id + 100 id, first(bl order by section_id, item_id) source, flatten(list(bl order by section_id, item_id)) own from ib group by doc_id), rows_ as (select * from ({_BULLETS_SQL}) union all select * from big) select id, coalesce(array_to_string({_DEDUPE}, '|'), '') merged from rows_ where len(source) + len(own) > 0 union all select id, '' from rows_ where len(source) + len(own) = 0",
     "evd7_merge": _MERGE_SQL,
@@ -320,17 +360,17 @@ ORACLES = {
     "jsn2_balanced_events": "select event_id, props object from events",
     "jsn3_first_valid": f"select id, coalesce({_VALID}, false) valid, case when {_VALID} then sc end match_score from ({_JSON})",
     "val3_text_array": f"select id, coalesce(array_to_string(list_filter(list_transform((j->'$.gaps')::json[], lambda g: {_ITEM}), lambda x: x <> ''), '|'), '') gaps from ({_JSON}) where {_VALID}",
-    "val2_optional_text": f"select id, coalesce(ty in ('VARCHAR'), true) and ty is distinct from 'NULL' valid, case when ty = 'VARCHAR' then nullif(trim((j->>'$.linkedinTone')), '') end tone, coalesce(ty = 'VARCHAR' and trim((j->>'$.linkedinTone')) <> '', false) present from (select id, answer::json j, json_type(answer::json, '$.linkedinTone') ty from ({values_sql(OPTIONALS, ['id', 'answer'])}))",
+    "val2_optional_text": f"select id, coalesce(ty in ('VARCHAR'), true) and ty is distinct from 'NULL' valid, case when ty = 'VARCHAR' then nullif(trim((j->>'$.linkedinTone')), '') end tone, coalesce(ty = 'VARCHAR' and trim((j->>'$.linkedinTone')) <> '', false) present from (select id, answer::json j, json_type(answer::json, '$.linkedinTone') ty from ({with_table_sql(OPTIONALS, ['id', 'answer'], 'events', _OPTIONAL_COLUMNS)}))",
     "jsn_event_objects": "select event_id, coalesce(json_valid(props) and json_type(props) = 'OBJECT', false) is_object from events",
     "rul1_mentions_education": f"select id, {D.mentions_education('gap')} mentions from (select (generate_subscripts({_GAPS_SQL}, 1) - 1)::bigint id, unnest({_GAPS_SQL}) gap union all select conv_id * 1000 + turn + 100, text from conversations)",
     "rul2_satisfies": f"select id, {_MET} satisfied from ({_EDU_SQL})",
     "rul3_filter_gaps": f"select id, array_to_string(case when len(requirements) > 0 and not {_MET} then {_GAPS_SQL} else list_filter({_GAPS_SQL}, lambda g: not {D.mentions_education('g')}) end, '|') gaps from ({_EDU_SQL})",
     "rul4_issues": f"select id, array_to_string(list_filter([case when trim(coalesce(name, '')) = '' then 'candidate name is missing' end, case when trim(coalesce(title, '')) = '' and not coalesce(list_bool_or(roles), false) then 'current title or at least one work experience role is missing' end, case when skills < 3 then 'fewer than 3 skills were extracted' end, case when not {_MEANING} then 'no meaningful work experience or project evidence was extracted' end], lambda x: x is not null), '; ') issues from ({_PROFILES_SQL})",
     "rul5_meaningful": f"select id, {_MEANING} meaningful from ({_PROFILES_SQL})",
-    "rnd1_list": f"select id, case when len(source) = 0 then '- None identified' else array_to_string(list_transform(source, lambda x: '- ' || x), chr(10)) end listed from ({_BULLETS_SQL})",
+    "rnd1_list": f"select id, case when len(source) = 0 then '- None identified' else array_to_string(list_transform(source, lambda x: '- ' || x), chr(10)) end listed from (select id, source from ({_BULLETS_SQL}) union all select conv_id + 100, list(text order by turn, role, text) from conversations group by conv_id)",
     "rnd5_message": short_message_sql(_MSG),
     "rnd6_spacing": f"select id, {D.spacing('m')} spaced from ({_MSG})",
-    "rnd7_sentences": f"select id, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from (select id, {D.sentences('m')} s from (select id::bigint id, m from ({_MSG}) union all select conv_id * 1000 + turn + 100, text from conversations))",
+    "rnd7_sentences": f"select id, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from (select id, {D.sentences('m')} s from (select id::bigint id, m from ({values_sql(MESSAGES, ['id', 'm'])}) union all select conv_id * 1000 + turn + 100, text from conversations))",
     "rnd8_cover_letter": f"select id, case when {D.closing('t')} then t || chr(10) else t || chr(10) || chr(10) || 'Regards,' || chr(10) || case when id % 3 = 0 then 'Ann' else 'Candidate' end || chr(10) end letter, {D.closing('t')} closed from (select id, {_TRIMMED} t from ({_MSG}))",
     "rnd10_sanitize": f"select s_suppkey id, {D.sanitize(chr(39) + ' .-' + chr(39) + ' || s_name || ' + chr(39) + 'é#' + chr(39))} path from supplier union all select id, {D.sanitize('n')} from ({values_sql([(-1, ''), (-2, '___'), (-3, chr(65) + 'nn-Mary O' + chr(39) + 'Neil ')], ['id', 'n'])})",
     "rnd11_output_dir": f"select c_custkey, 'output/' || {D.sanitize('coalesce(name, ' + chr(39) + 'candidate' + chr(39) + ')')} || '_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') dir from (select c_custkey, case when c_custkey % 5 > 0 then c_name end name from customer) join (select o_custkey, max(o_orderdate) ts from orders group by 1) on c_custkey = o_custkey",
