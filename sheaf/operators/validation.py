@@ -1,15 +1,19 @@
 """Records against fixed schemas: checked, trimmed and coerced as the data model says.
 
-``check`` is plain Python over a parsed JSON value, used where the model stage runs Python
-anyway. ``validate`` applies it to a column in Arrow batches. Missing, null and wrong type
-are three different things here, and object keys keep their order, which neither from_json
-nor VARIANT preserve.
+Each kind of value is two things: a Python check of a parsed JSON value, which says what is
+wrong, and expressions over a VARIANT, which say whether it is right and what is stored. ``validate`` takes the
+expressions for a first candidate that they find right, so usual answers never leave the JVM, and the Python
+check in Arrow batches for the rest. The two agree where the expressions say yes: missing, null and
+wrong type are told apart, text behind the JSON and doubled keys are refused (VARIANT takes the one and not the other), and lists of texts that hold
+objects, whose keys VARIANT sorts, are left to Python, as are numbers beyond a thousand million.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import trim_js
+
 #: What a trim takes.
 BLANKS = "\t\n\x0b\x0c\r \xa0                　﻿"
 MISSING = object()
@@ -28,10 +34,43 @@ class Invalid(ValueError):
 
 @dataclass(frozen=True)
 class Kind:
-    """``check`` maps (value or MISSING, path) to the stored value; MISSING is left out."""
+    """``check`` maps (value or MISSING, path) to the stored value; MISSING is left out. ``right`` and ``stored`` are the same of a
+    VARIANT column, null where the value is missing; None where only Python can tell."""
 
     check: Callable
     ddl: str
+    right: Callable[[Column], Column] | None = None
+    stored: Callable[[Column], Column] | None = None
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.coalesce(F.lit(False) if not kinds else functools.reduce(lambda a, b: a | b, [kind.startswith(k) for k in kinds]), F.lit(False))
+
+
+def _string(v: Column) -> Column:
+    return trim_js(F.try_variant_get(v, "$", "string"))
+
+
+def _elements(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _right_number(low: float | None, high: float | None, whole: bool, optional: bool) -> Callable[[Column], Column]:
+    def right(v: Column) -> Column:
+        n = F.try_variant_get(v, "$", "double")
+        ok = _is(v, "BIGINT", "DECIMAL", "DOUBLE") & (F.abs(n) <= 1e9)
+        ok = ok & (n == F.floor(n)) if whole else ok
+        ok = ok & (n >= low) if low is not None else ok
+        ok = ok & (n <= high) if high is not None else ok
+        return F.coalesce(v.isNull() | ok if optional else ok, F.lit(False))
+
+    return right
+
+
+def _number_kind(ddl: str, **limits) -> Kind:
+    right = _right_number(limits.get("low"), limits.get("high"), limits.get("whole", False), limits.get("optional", False))
+    return Kind(_number(**limits), ddl, right, lambda v: F.try_variant_get(v, "$", ddl.lower()))
 
 
 def _text(v, path):
@@ -96,8 +135,22 @@ def _boolean(v, path):
     return v
 
 
-TEXT, OPTIONAL, TEXTS = Kind(_text, "STRING"), Kind(_optional_text, "STRING"), Kind(_text_array, "ARRAY<STRING>")
-BOOLEAN = Kind(_boolean, "BOOLEAN")
+TEXT = Kind(_text, "STRING", lambda v: _is(v, "STRING") & (F.length(_string(v)) > 0), _string)
+OPTIONAL = Kind(_optional_text, "STRING", lambda v: v.isNull() | _is(v, "STRING"), lambda v: F.nullif(_string(v), F.lit("")))
+TEXTS = Kind(
+    _text_array, "ARRAY<STRING>",
+    lambda v: v.isNull() | (_is(v, "ARRAY") & ~F.coalesce(F.exists(_elements(v), lambda x: _is(x, "OBJECT")), F.lit(False))),
+    lambda v: F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(_elements(v), lambda x: F.when(_is(x, "STRING"), _string(x))), lambda x: F.length(x) > 0)),
+)
+BOOLEAN = Kind(_boolean, "BOOLEAN", lambda v: _is(v, "BOOLEAN"), lambda v: F.try_variant_get(v, "$", "boolean"))
+
+
+def _field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _told(fields: dict[str, Kind]) -> bool:
+    return all(k.right for k in fields.values())
 
 
 def record(fields: dict[str, Kind], optional: bool = False) -> Kind:
@@ -111,7 +164,17 @@ def record(fields: dict[str, Kind], optional: bool = False) -> Kind:
         found = {k: kind.check(v.get(k, MISSING), f"{path}.{k}" if path else k) for k, kind in fields.items()}
         return {k: x for k, x in found.items() if x is not MISSING}
 
-    return Kind(check, f"STRUCT<{', '.join(f'{k}: {x.ddl}' for k, x in fields.items())}>")
+    ddl = f"STRUCT<{', '.join(f'{k}: {x.ddl}' for k, x in fields.items())}>"
+    if not _told(fields):
+        return Kind(check, ddl)
+
+    def right(v: Column) -> Column:
+        ok = _is(v, "OBJECT")
+        for k, kind in fields.items():
+            ok = ok & kind.right(_field(v, k))
+        return v.isNull() | ok if optional else ok
+
+    return Kind(check, ddl, right, lambda v: F.when(v.isNotNull(), F.struct(*[kind.stored(_field(v, k)).alias(k) for k, kind in fields.items()])))
 
 
 def records(fields: dict[str, Kind]) -> Kind:
@@ -125,20 +188,26 @@ def records(fields: dict[str, Kind]) -> Kind:
             raise Invalid(f"{path}: Expected array")
         return [one.check(x, f"{path}[{i}]") for i, x in enumerate(v)]
 
-    return Kind(check, f"ARRAY<{one.ddl}>")
+    if one.right is None:
+        return Kind(check, f"ARRAY<{one.ddl}>")
+    return Kind(
+        check, f"ARRAY<{one.ddl}>",
+        lambda v: v.isNull() | (_is(v, "ARRAY") & F.coalesce(F.forall(_elements(v), lambda x: F.coalesce(one.right(x), F.lit(False))), F.lit(False))),
+        lambda v: F.when(v.isNull(), F.array().cast(f"array<{one.ddl}>")).otherwise(F.transform(_elements(v), one.stored)),
+    )
 
 
 #: The fields of the records.
 PROFILE = record({
-    "name": OPTIONAL, "currentTitle": OPTIONAL, "location": OPTIONAL, "yearsOfExperience": Kind(_number(0, optional=True), "DOUBLE"), "summary": TEXT,
-    "education": records({"degree": OPTIONAL, "institution": OPTIONAL, "field": OPTIONAL, "graduationYear": Kind(_number(whole=True, optional=True), "INT"), "notes": OPTIONAL}),
+    "name": OPTIONAL, "currentTitle": OPTIONAL, "location": OPTIONAL, "yearsOfExperience": _number_kind("DOUBLE", low=0, optional=True), "summary": TEXT,
+    "education": records({"degree": OPTIONAL, "institution": OPTIONAL, "field": OPTIONAL, "graduationYear": _number_kind("INT", whole=True, optional=True), "notes": OPTIONAL}),
     "skills": TEXTS, "industries": TEXTS, "companies": TEXTS,
     "workExperience": records({"company": OPTIONAL, "role": OPTIONAL, "location": OPTIONAL, "startDate": OPTIONAL, "endDate": OPTIONAL, "responsibilities": TEXTS, "technologies": TEXTS, "achievements": TEXTS}),
     "projects": records({"name": TEXT, "description": TEXT, "technologies": TEXTS, "impact": OPTIONAL}),
     "achievements": TEXTS,
 })
 JOB = record({"roleTitle": TEXT, "company": OPTIONAL, "location": OPTIONAL, "seniority": OPTIONAL, "requiredSkills": TEXTS, "niceToHaveSkills": TEXTS, "educationRequirements": TEXTS, "responsibilities": TEXTS, "domain": OPTIONAL, "keywords": TEXTS})
-MATCH = record({"matchScore": Kind(_number(0, 100), "DOUBLE"), "summary": TEXT, "strongMatches": TEXTS, "partialMatches": TEXTS, "gaps": TEXTS, "risks": TEXTS, "suggestedPositioning": TEXT, "keywordSuggestions": TEXTS})
+MATCH = record({"matchScore": _number_kind("DOUBLE", low=0, high=100), "summary": TEXT, "strongMatches": TEXTS, "partialMatches": TEXTS, "gaps": TEXTS, "risks": TEXTS, "suggestedPositioning": TEXT, "keywordSuggestions": TEXTS})
 ASSETS = record({
     "cvImprovements": record({"improvedBullets": TEXTS, "skillsToEmphasize": TEXTS, "experienceToRewrite": TEXTS, "missingKeywords": TEXTS}),
     "linkedinMessage": TEXT, "coverLetter": TEXT,
@@ -169,18 +238,41 @@ def first_valid(texts: list[str], kind: Kind, label: str) -> tuple[dict | None,
     return None, f"Could not parse valid {label} JSON from the model response. Last validation error: {error}"
 
 
+def printed(data: dict) -> str:
+    """JSON; halves of characters, which no column can hold, become U+FFFD."""
+    return re.sub("[\ud800-\udfff]", "\ufffd", json.dumps(data, ensure_ascii=False))
+
+
+def _parsed(text: Column) -> Column:
+    """A VARIANT of a text that is one JSON value and nothing else, or null: within brackets, what follows the value would show."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    # Escaped halves of characters are kept by Python and not by VARIANT.
+    return F.when((F.size(listed) == 1) & ~F.contains(text, F.lit("\\ud")) & ~F.contains(text, F.lit("\\uD")), F.get(listed, F.lit(0)))
+
+
+def right_data(candidates: Column, label: str) -> Column:
+    """JSON of the checked record if expressions alone find the first candidate right, else null."""
+    kind = SCHEMAS[label]
+    if kind.right is None:
+        return F.lit(None).cast("string")
+    # In a lambda the text is parsed once, however often the expressions name it.
+    found = F.transform(F.transform(F.slice(candidates, 1, 1), _parsed), lambda v: F.when(F.coalesce(kind.right(v), F.lit(False)), F.to_json(kind.stored(v))))
+    return F.get(found, F.lit(0))
+
+
 def validate(candidates: Column, label: str) -> Column:
     """struct(data: JSON of the checked record, error) of an array of candidates; from_json with ``SCHEMAS[label].ddl`` types it."""
 
     @F.pandas_udf("data string, error string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
         from sheaf.operators import validation as here  # by name in the worker: what is missing is told by identity
 
         kind, first_valid = here.SCHEMAS[label], here.first_valid
-        out = [first_valid([] if t is None else list(t), kind, label) for t in texts]
-        return pd.DataFrame({"data": [None if d is None else json.dumps(d, ensure_ascii=False) for d, _ in out], "error": [e for _, e in out]})
+        out = [(k, None) if k is not None else first_valid([] if t is None else list(t), kind, label) for t, k in zip(texts, known, strict=True)]
+        return pd.DataFrame({"data": [d if d is None or isinstance(d, str) else here.printed(d) for d, _ in out], "error": [e for _, e in out]})
 
-    return run(candidates)
+    known = right_data(candidates, label)
+    return run(F.when(known.isNull(), candidates), known)
 
 
 def typed(data: Column, label: str) -> Column:

@@ -9,6 +9,9 @@ from sheaf.operators import asof, candidates, containment, timeline
 from sheaf.operators import parsing as P
 from sheaf.plans import duck as D
 from sheaf.plans.corpora import RESUMES_SQL, resumes
+from sheaf.sources import data_source
+from sheaf.sources.staging import stage_folder
+from sheaf.streaming import versions
 
 col = F.col
 AS_OF = "2002-03-15"
@@ -89,7 +92,28 @@ def asf_last_order(spark, sf_dir):
     return found.groupBy("custkey", "l_shipdate").agg(F.count(F.lit(1)).alias("n"), F.max("last_order").alias("last_order"), F.max("ordered").alias("ordered"))
 
 
-QUERIES = {f.__name__: f for f in (llm6_top_customers, llm6_top_documents, evd2_contained_sentences, evd2_contained_parts, tml_item_months, tml_time_lines, tml_stretches, ivj_orders_in_employment, asf_last_click, asf_last_order)}
+def src3_source_by_size(spark, sf_dir):
+    """Benchmark texts written by the data source under exact names, and read by it in partitions by size."""
+    data_source.register(spark)
+    folder = stage_folder(spark, "source")
+    name = F.concat(col("item_id").cast("string"), F.when(col("item_id") % 2 == 0, ".txt").otherwise(".MD"))
+    rows = _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("d"), (col("item_id") % 3).cast("string")).alias("run_dir"), name.alias("file_name"), F.concat("text", F.lit("\r\n")).alias("content"))
+    rows.write.format(data_source.FORMAT).mode("append").save(folder)
+    found = spark.read.format(data_source.FORMAT).option("partitionBytes", 4096).load(folder)
+    return found.select(F.regexp_extract("path", r"/(d\d/\d+\.\w+)$", 1).alias("file"), "text", col("error").isNull().alias("read"))
+
+
+def str_latest_turns(spark, sf_dir):
+    """The turns of conversations as versions of a document that arrive in three parts, in the order of a hash: of each the latest stays."""
+    folder = stage_folder(spark, "arrivals")
+    rows = _read(spark, sf_dir, "conversations").select(col("conv_id").cast("string").alias("doc_id"), "text", F.timestamp_seconds(1_700_000_000 + 60 * col("turn")).alias("ts"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)).alias("part"))
+    rows.repartition(3, "part").write.partitionBy("part").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("doc_id string, text string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    versions.keep_versions(arriving, f"{folder}/out", f"{folder}/checkpoint", delay="10 days").awaitTermination()
+    return versions.current(spark, f"{folder}/out").select("doc_id", ((F.unix_micros("ts") / 1_000_000).cast("long") - 1_700_000_000).alias("seconds"), F.md5("text").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (src3_source_by_size, str_latest_turns, llm6_top_customers, llm6_top_documents, evd2_contained_sentences, evd2_contained_parts, tml_item_months, tml_time_lines, tml_stretches, ivj_orders_in_employment, asf_last_click, asf_last_order)}
 
 
 def _top_sql(profiles: str, jobs: str, key: str, k: int) -> str:
@@ -119,6 +143,8 @@ _STRETCHES = """runs as (select doc_id, stretch::int stretch, min(first_month)::
    (select *, case when first_month <= max(past_month) over (partition by doc_id order by first_month, past_month, section_id, item_id rows between unbounded preceding and 1 preceding) then 0 else 1 end opens from spans where first_month is not null)) group by 1, 2)"""
 _P = D.parse_ctes()
 ORACLES = {
+    "src3_source_by_size": "select 'd' || item_id % 3 || '/' || item_id || case when item_id % 2 = 0 then '.txt' else '.MD' end as file, text || chr(13) || chr(10) as text, true as read from benchmark",
+    "str_latest_turns": "select conv_id::varchar doc_id, (60 * max(turn))::bigint as seconds, md5(arg_max(text, turn)) digest from conversations group by 1",
     "llm6_top_customers": _top_sql(f"select distinct o_custkey doc_id, skill from ({_KINDS})", f"select distinct l_orderkey job_id, skill from ({_KINDS})", "job_id", 5),
     "llm6_top_documents": _top_sql(_DOC_WORDS.format("doc_id", "doc_id", "documents"), _DOC_WORDS.format("item_id", "item_id", "benchmark"), "item_id", 10),
     "evd2_contained_sentences": f"select doc_id, needle_id from (select doc_id, {D.norm('text')} d from documents) join ({_SAID}) on contains(d, norm) where norm <> ''",
