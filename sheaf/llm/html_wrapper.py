@@ -82,6 +82,8 @@ AMBIGUOUS = frozenset("share rail related reply replies promotion alert comment
 PLACES = frozenset("left right side top bottom site page post article social user reader header footer main global cookie privacy blog entry".split())
 #: A header inside an article holds its title; outside, the site's.
 ARTICLE_LIKE = frozenset(("article", "main"))
+#: Elements that may hold a page's whole article, forms of server-side pages too.
+HOLDERS = frozenset(("div", "section", "span", "form", "fieldset"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 WORDS = re.compile(r"[a-z]+|\d+")
 #: A mark that stands for any.
@@ -172,7 +174,7 @@ def parse(page: str) -> Node:
             opened_ever = True
             # What holds the article is no menu or sidebar, whatever its class says ("has-sidebar").
             for holder in stack:
-                if holder.name in ("div", "section", "span"):
+                if holder.name in HOLDERS:
                     holder.drop = 0
         stack[-1].children.append(node)
         if name in RAW:
@@ -198,9 +200,22 @@ def parse(page: str) -> Node:
     for node in order:
         if node.name == "":
             node.text = "".join(node.text)
+    if any(n.name == "form" and n.drop for n in order):
+        _keep_forms(order)
     return root
 
 
+def _keep_forms(order: list[Node]) -> None:
+    """A form that holds more than half of a page's words, and many, is the page's frame: what is in it is read like any other part."""
+    words: dict[int, int] = {}
+    for node in reversed(order):
+        words[id(node)] = len(node.text.split()) if node.name == "" else sum(words[id(c)] for c in node.children if not c.drop or c.name == "form")
+    most = words[id(order[0])]
+    for node in order:
+        if node.name == "form" and node.drop and words[id(node)] >= 50 and 2 * words[id(node)] > most:
+            node.drop = 0
+
+
 def walk(root: Node) -> Iterator[Node]:
     """A node and all below it, parents first."""
     stack = [root]
@@ -435,8 +450,9 @@ def size(node: Node) -> int:
 
 
 def bounded(wrapper: Node, most: int = MOST_NODES) -> Node:
-    """The wrapper with its runs of like elements folded, and without the optional parts that the fewest pages have, until it is small enough or has neither."""
-    if size(wrapper) <= most:
+    """The wrapper with its runs of like elements folded, and without the optional parts that the fewest pages have, until it is small enough or has neither.
+    A page alone stays as it is: only another page tells what of it is constant."""
+    if wrapper.pages == 1 or size(wrapper) <= most:
         return wrapper
     for node in walk(wrapper):
         out: list[Node] = []
@@ -566,32 +582,37 @@ def rule_of(wrapper: Node) -> dict:
     for node in walk(part):
         # A constant part goes where its text is the site's; an element that also has slots stays, and its constant texts go.
         node.fixed = trusted and node.key != 0 and node.pages >= least and (node.constant + node.linked > 0)
+    # What is constant counts wherever it stands in the region, so its keys go beside the tree, which is bounded.
+    keys, stack = set(), [part]
+    while stack:
+        node = stack.pop()
+        if node.fixed:
+            keys.add(node.key)
+        else:
+            stack += node.children
     level, count = [part], 1
-    while level:  # by levels; a page's parts that the rule does not reach are read by their own names and classes
+    while level:  # by levels; of parts that the tree does not reach, names, classes and keys tell
         below = []
         for node in level:
             node.children = [] if node.fixed else node.children[: max(0, RULE_NODES - count)]
             count += len(node.children)
             below += node.children
         level = below
-    return {"path": steps, "part": [[n.name, n.mark, n.drop, n.kind, n.key if n.fixed else 0, int(n.fixed), len(n.children)] for n in walk(part)]}
+    return {"path": steps, "part": [[n.name, n.mark, n.drop, n.kind, n.key if n.fixed else 0, int(n.fixed), len(n.children)] for n in walk(part)], "keys": sorted(keys)}
 
 
-def load_rule(text: str) -> tuple[list[tuple[str, str]], Node, bool]:
-    """The path, the region's part, and whether it has constant parts."""
+def load_rule(text: str) -> tuple[list[tuple[str, str]], Node, frozenset[int]]:
+    """The path, the region's part, and the keys of its constant parts."""
     rule = json.loads(text)
-    return [(name, mark) for name, mark, times in rule["path"] for _ in range(times)], from_rows([[n, m, d, None, k, 1, 0, 0, 0, key, bool(f), c] for n, m, d, k, key, f, c in rule["part"]]), any(x[5] for x in rule["part"])
+    return [(name, mark) for name, mark, times in rule["path"] for _ in range(times)], from_rows([[n, m, d, None, k, 1, 0, 0, 0, key, bool(f), c] for n, m, d, k, key, f, c in rule["part"]]), frozenset(rule["keys"])
 
 
-def apply_rule(region: Node, part: Node) -> None:
+def apply_rule(region: Node, part: Node, keys: frozenset[int]) -> None:
     """Matches a page's region (a wrapper of its own) with the wrapper's part: what the wrapper has as boilerplate is marked to be dropped, what it has as article is not."""
-    todo = [(region, part)]
+    todo: list[tuple[Node, Node | None]] = [(region, part)]
     while todo:
         node, known = todo.pop()
-        if not known.children:
-            continue
-        keys = {k.key for k in known.children if k.fixed}
-        at, others = 0, [k for k in known.children if not k.fixed]
+        at, others = 0, [k for k in known.children if not k.fixed] if known else []
         for c in node.children:
             if c.key in keys:
                 c.drop, c.fixed = BY_NAME, True
@@ -602,7 +623,8 @@ def apply_rule(region: Node, part: Node) -> None:
                 at = k if others[k].kind in ("+", "*") else k + 1
                 if c.name:
                     c.drop = others[k].drop
-                    todo.append((c, others[k]))
+            if c.name and (keys or k is not None):
+                todo.append((c, None if k is None else others[k]))
 
 
 def blocks(region: Node) -> list[str]:
@@ -647,18 +669,18 @@ def blocks(region: Node) -> list[str]:
     return out
 
 
-def extract(page: str | None, rule: tuple[list[tuple[str, str]], Node, bool] | None) -> str:
+def extract(page: str | None, rule: tuple[list[tuple[str, str]], Node, frozenset[int]] | None) -> str:
     """The main text of a page, by its host's rule or else its own."""
     if not page:
         return ""
     root = parse(page)
     found = regions(root, rule[0]) if rule else []
     if found:
-        if rule[1].children:
+        if rule[1].children or rule[2]:
             for r in found:
                 if rule[2]:
                     key_texts(r)
-                apply_rule(r, rule[1])
+                apply_rule(r, *rule[1:])
     else:
         whole = wrap(parse(page))
         found = regions(root, [(n.name, n.mark) for n in main_region(whole)]) or [root]
