@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
-from sheaf.operators import asof, candidates, containment, timeline
+from sheaf.operators import asof, candidates, containment, rollups, timeline
 from sheaf.operators import parsing as P
 from sheaf.plans import duck as D
 from sheaf.plans.corpora import RESUMES_SQL, resumes
 from sheaf.sources import data_source
-from sheaf.sources.staging import stage_folder
+from sheaf.sources.staging import stage_folder, stage_table
 from sheaf.streaming import versions
 
 col = F.col
@@ -113,7 +113,21 @@ def str_latest_turns(spark, sf_dir):
     return versions.current(spark, f"{folder}/out").select("doc_id", ((F.unix_micros("ts") / 1_000_000).cast("long") - 1_700_000_000).alias("seconds"), F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (src3_source_by_size, str_latest_turns, llm6_top_customers, llm6_top_documents, evd2_contained_sentences, evd2_contained_parts, tml_item_months, tml_time_lines, tml_stretches, ivj_orders_in_employment, asf_last_click, asf_last_order)}
+def rol_items(spark, sf_dir):
+    """Items and their months by company, role and year, rolled up, and whether the sketch of documents is within 5 % of their number."""
+    levels = ["company", "role", "year"]
+    items = P.items(P.parse(resumes(spark, sf_dir)))
+    rows = stage_table(timeline.spans(items, F.lit(AS_OF).cast("date")).select("doc_id", "company", "role", F.floor(col("first_month") / 12).cast("int").alias("year"), (col("past_month") - col("first_month")).alias("months")), "items")
+    rolled = rollups.roll_up(rollups.base(rows, levels, "doc_id", "months"), levels, rollups.by_prefixes(levels))
+    exact = rows.groupingSets([[F.col(c) for c in x] for x in rollups.by_prefixes(levels)], *levels).agg(F.grouping_id().cast("long").alias("level"), F.countDistinct("doc_id").alias("n_docs"))
+    near = F.abs(rollups.distinct_keys(col("r.keys")) - col("e.n_docs")) <= F.greatest(0.05 * col("e.n_docs"), F.lit(1))
+    same = col("r.level") == col("e.level")
+    for c in levels:
+        same = same & col(f"r.{c}").eqNullSafe(col(f"e.{c}"))
+    return rolled.alias("r").join(exact.alias("e"), same).select("r.level", "r.company", "r.role", "r.year", "n", F.coalesce("total", F.lit(0)).alias("months"), "n_docs", near.alias("near"))
+
+
+QUERIES = {f.__name__: f for f in (rol_items, src3_source_by_size, str_latest_turns, llm6_top_customers, llm6_top_documents, evd2_contained_sentences, evd2_contained_parts, tml_item_months, tml_time_lines, tml_stretches, ivj_orders_in_employment, asf_last_click, asf_last_order)}
 
 
 def _top_sql(profiles: str, jobs: str, key: str, k: int) -> str:
@@ -143,6 +157,7 @@ _STRETCHES = """runs as (select doc_id, stretch::int stretch, min(first_month)::
    (select *, case when first_month <= max(past_month) over (partition by doc_id order by first_month, past_month, section_id, item_id rows between unbounded preceding and 1 preceding) then 0 else 1 end opens from spans where first_month is not null)) group by 1, 2)"""
 _P = D.parse_ctes()
 ORACLES = {
+    "rol_items": _P + f", {_SPANS}, it as (select doc_id, company, role, floor(first_month / 12)::int as year, past_month - first_month as months from spans join ({D.ITEMS}) using (doc_id, section_id, item_id)) select grouping(company, role, year)::bigint as level, company, role, year, count(*) n, coalesce(sum(months), 0)::bigint as months, count(distinct doc_id) n_docs, true near from it group by rollup (company, role, year)",
     "src3_source_by_size": "select 'd' || item_id % 3 || '/' || item_id || case when item_id % 2 = 0 then '.txt' else '.MD' end as file, text || chr(13) || chr(10) as text, true as read from benchmark",
     "str_latest_turns": "select conv_id::varchar doc_id, (60 * max(turn))::bigint as seconds, md5(arg_max(text, turn)) digest from conversations group by 1",
     "llm6_top_customers": _top_sql(f"select distinct o_custkey doc_id, skill from ({_KINDS})", f"select distinct l_orderkey job_id, skill from ({_KINDS})", "job_id", 5),
