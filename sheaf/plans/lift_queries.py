@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheaf.functions import sql
 from sheaf.functions import text as T
 from sheaf.operators import asof, candidates, containment, rollups, timeline
 from sheaf.operators import parsing as P
@@ -127,7 +128,15 @@ def rol_items(spark, sf_dir):
     return rolled.alias("r").join(exact.alias("e"), same).select("r.level", "r.company", "r.role", "r.year", "n", F.coalesce("total", F.lit(0)).alias("months"), "n_docs", near.alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (rol_items, src3_source_by_size, str_latest_turns, llm6_top_customers, llm6_top_documents, evd2_contained_sentences, evd2_contained_parts, tml_item_months, tml_time_lines, tml_stretches, ivj_orders_in_employment, asf_last_click, asf_last_order)}
+def sql_text_functions(spark, sf_dir):
+    """The text functions out of SQL, over all conversations."""
+    sql.register(spark)
+    _read(spark, sf_dir, "conversations").createOrReplaceTempView("sheaf_conversations")
+    return spark.sql("""select conv_id, turn, sheaf_normalize_for_match(text) as norm, sheaf_mentions_education(text) as education, sheaf_has_closing(text || chr(10) || 'Kind regards,') as closed,
+      size(sheaf_sentences(text)) as n_sentences, sheaf_sanitize_path(left(text, 40)) as path, sheaf_same_meaning(role || ' ' || text, upper(role)) as same from sheaf_conversations""")
+
+
+QUERIES = {f.__name__: f for f in (sql_text_functions, rol_items, src3_source_by_size, str_latest_turns, llm6_top_customers, llm6_top_documents, evd2_contained_sentences, evd2_contained_parts, tml_item_months, tml_time_lines, tml_stretches, ivj_orders_in_employment, asf_last_click, asf_last_order)}
 
 
 def _top_sql(profiles: str, jobs: str, key: str, k: int) -> str:
@@ -157,6 +166,7 @@ _STRETCHES = """runs as (select doc_id, stretch::int stretch, min(first_month)::
    (select *, case when first_month <= max(past_month) over (partition by doc_id order by first_month, past_month, section_id, item_id rows between unbounded preceding and 1 preceding) then 0 else 1 end opens from spans where first_month is not null)) group by 1, 2)"""
 _P = D.parse_ctes()
 ORACLES = {
+    "sql_text_functions": f"select conv_id, turn, {D.norm('text')} as norm, {D.mentions_education('text')} as education, true as closed, len({D.sentences('text')})::int as n_sentences, {D.sanitize('left(text, 40)')} as path, {D.same(D.norm(chr(40) + 'role || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41)), D.norm('upper(role)'))} as same from conversations",
     "rol_items": _P + f", {_SPANS}, it as (select doc_id, company, role, floor(first_month / 12)::int as year, past_month - first_month as months from spans join ({D.ITEMS}) using (doc_id, section_id, item_id)) select grouping(company, role, year)::bigint as level, company, role, year, count(*) n, coalesce(sum(months), 0)::bigint as months, count(distinct doc_id) n_docs, true near from it group by rollup (company, role, year)",
     "src3_source_by_size": "select 'd' || item_id % 3 || '/' || item_id || case when item_id % 2 = 0 then '.txt' else '.MD' end as file, text || chr(13) || chr(10) as text, true as read from benchmark",
     "str_latest_turns": "select conv_id::varchar doc_id, (60 * max(turn))::bigint as seconds, md5(arg_max(text, turn)) digest from conversations group by 1",
