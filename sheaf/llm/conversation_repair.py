@@ -393,3 +393,40 @@ def repaired_messages(rows: DataFrame, chunk_rows: int = 1000, chunk_chars: int
     """conv_id, part (from 0 in order, but not without gaps) and messages, the repaired rows. Conversations of up to ``chunk_rows`` rows mostly are one part."""
     closed, _, written = _repaired(rows, chunk_rows, chunk_chars, partitions, True)
     return closed.select("conv_id", F.lit(0).cast("long").alias("part"), "messages").unionByName(written.select("conv_id", (F.shiftleft(F.col("part").cast("long"), 32) + F.col("seq")).alias("part"), "messages"))
+
+
+def oracle_sql() -> str:
+    """The result of ``repair`` of damaged conversations: least (cost, edits) by a fold over each conversation's rows with one weight for each grammar state."""
+    space = r"[\x20\x09-\x0D]"
+
+    def by(w: str, label: str, cost: str) -> str:
+        return f"case when {w} is null then null else {{'c': {w}['c'] + {cost}, 's': {w}['s'] || '{label}'}} end"
+
+    least = lambda *ws: f"list_min([{', '.join(ws)}])"
+    inserted = lambda w: by(w, "I", str(INSERT))
+    # Weights of the states 0 to 3 are a[1] to a[4]; insertions lead to 2, and from 2 to 3.
+    two = lambda a: least(f"{a}[3]", *(inserted(f"{a}[{k}]") for k in (1, 2, 4)))
+    closed = lambda a: f"list_transform([{two(a)}], lambda v: [{a}[1], {a}[2], v, {least(f'{a}[4]', inserted('v'))}])[1]"
+    symbol, late = "x[1]['s']", "x[1]['c']"
+    kept = lambda initial, w: f"case when {symbol} = '{initial}' then {by(w, 'K', late)} end"
+    changed = lambda w: f"case when {symbol} <> 'x' then {by(w, 'R', f'{REROLE} + {late}')} end"
+    gone = lambda k: by(f"b[{k}]", "D", str(DELETE))
+    read = f"[{gone(1)}, {least(gone(2), kept('s', 'b[1]'))}, {least(gone(3), *(f(f'b[{k}]') for k in (1, 2, 4) for f in (lambda w: kept('u', w), changed)))}, {least(gone(4), kept('a', 'b[3]'), changed('b[3]'))}]"
+    fold = f"list_reduce(list_prepend([{{'c': 0, 's': ''}}, null, null, null], rows), lambda a, x: list_transform([{closed('a')}], lambda b: {read})[1])"
+    return rf"""with crcs as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+    own as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as b from conversations),
+    kinds as (select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) % 20 as kind from own, crcs),
+    damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) from kinds where kind <> 0),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, regexp_replace(text, '{space}+$', '') as body from damaged),
+    judged as (select *, lag(left(role, 1)) over (partition by conv_id order by i) as before, case when body = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when right(body, 1) not in ('.', '!', '?') then 3 else 0 end as fault from placed),
+    lists as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+      count(*) filter (before is not null and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal, list([{{'c': case when fault = 3 then {TRUNCATED} else 0 end, 's': case when fault in (1, 2) then 'x' when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end}}] order by i) as rows from judged group by conv_id),
+    folded as (select * exclude (rows, w), {closed("w")} as w from (select *, {fold} as w from lists)),
+    best as (select * exclude (w), {least("w[1]", "w[4]")} as w from folded),
+    edits as (select conv_id, e, row_number() over (partition by conv_id order by j) as j, count(*) filter (e <> 'I') over (partition by conv_id order by j) as i, count(*) filter (e <> 'D') over (partition by conv_id order by j) as k, count(*) filter (e <> 'D') over (partition by conv_id) as n
+      from (select conv_id, unnest(string_split(w['s'], '')) as e, generate_subscripts(string_split(w['s'], ''), 1) as j from best where w['s'] <> '')),
+    said as (select e.conv_id, sha256(string_agg(case when e = 'K' then role when (k + n) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by j)) as h
+      from edits e left join placed p on e.conv_id is not distinct from p.conv_id and e.i = p.i and e.e <> 'I' where e <> 'D' group by e.conv_id)
+    select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+      coalesce(w['c'], 0)::bigint as cost, coalesce(w['s'], '') as audit, coalesce(h, sha256('')) as repaired_sha256
+    from (select distinct conv_id from conversations) a left join best b on a.conv_id is not distinct from b.conv_id left join said s on a.conv_id is not distinct from s.conv_id"""

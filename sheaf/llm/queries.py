@@ -119,9 +119,9 @@ ALL = [op1_html_wrapper, op2_line_dedup, op3_sentencepiece, op4_lm_scoring, op5_
 
 
 def _sql() -> dict[str, str]:
-    from sheaf.llm import importance_resampling, source_mixing
+    from sheaf.llm import conversation_repair, importance_resampling, source_mixing
 
-    return {"op5_source_mixing": source_mixing.oracle_sql(), "op11_importance_resampling": importance_resampling.oracle_sql()}
+    return {"op5_source_mixing": source_mixing.oracle_sql(), "op11_importance_resampling": importance_resampling.oracle_sql(), "op13_conversation_repair": conversation_repair.oracle_sql()}
 
 
 SQL = _sql()
