@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -296,7 +297,7 @@ class Labeller:
         return self.rows[at]
 
 
-_labellers: dict[int, Labeller] = {}
+_labellers: dict[str, Labeller] = {}
 
 
 def identify(docs: DataFrame, model: Crf | None, text: str = "text", spans: bool = False) -> DataFrame:
@@ -310,7 +311,7 @@ def identify(docs: DataFrame, model: Crf | None, text: str = "text", spans: bool
         return docs.select(*[F.col(f"`{c}`") for c in out], *[v.alias(k) for k, v in (und | none).items()])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: HASHED weights and the lexicon of the sample
-    key = id(shared)
+    key = uuid.uuid4().hex  # of this model, in workers that have met others
 
     def found(texts: list[str | None], labeller: Labeller) -> list[tuple]:
         labels = labeller.model.labels
