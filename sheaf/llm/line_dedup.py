@@ -1,15 +1,21 @@
 """Line dedup: repeated passages of lines, removed after byte comparison.
 
-Units of a text that may be removed are
+Each line that is not blank is hashed, a rolling hash covers each such line and the one before
+it, and a chunk of lines ends where the rolling hash is the lowest of two lines on both sides. So boundaries follow
+the content, and a passage has the same chunks inside wherever it stands. Units are
+  - every chunk of two lines or more,
   - every window of two lines that are not blank, with the blank lines between them,
-  - every line of 50 words or more,
-  - content-defined chunks: each line is hashed, a rolling hash covers each line and the
-    one before it, and a chunk ends where the rolling hash is a local minimum.
+  - every line of 50 words or more.
+Chunks are the index: a window inside a chunk counts once for each different chunk and place in it
+that it has, however many places the chunk has. A chunk that repeats goes as a whole; a
+window is looked for on its own only if it is in two different chunks, twice in one, or
+over a boundary, which is the case at the edges of a passage. Either way every repeated
+window goes: its places are in different chunks, or all in the same place of one chunk, which then repeats.
+
 A unit is removed wherever it repeats, in any document; its first place, by doc_id, then by a hash of the text and then
 by position, keeps it, and so does a place in the same document that overlaps the first.
 What goes is the union of the lines covered, so a passage of two lines or more goes
-wherever its borders lie; chunks take the blank lines at its edges along. The first place
-of a line always stays.
+wherever its borders lie. The first place of a line always stays.
 
 First only hashes of units are counted. Units whose hash repeats are then taken from their
 documents and grouped by hash and by all their bytes. What is sent back to documents is the
@@ -38,38 +44,54 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import SPACE_CHARS, let, materialize, words
 
 
-def units(text: Column, min_lines: int = 2, long_words: int = 50) -> Column:
-    """The units that may be removed: struct(h, s, n): hash, first line and lines. Chunks, windows and long lines in the same place are one."""
+def units(text: Column, place: Column, min_lines: int = 2, long_words: int = 50, reach: int = 2) -> Column:
+    """The units that may be removed: struct(h, s, n, code, chunk): hash, first line, lines, what it counts as, and whether it is a chunk.
 
-    def code(s: Column, n: Column) -> Column:
-        return F.shiftleft(s.cast("long"), 32) + n
+    A unit repeats if its hash has two codes. Windows inside a chunk have the chunk's hash and
+    their place in it as code; all other units have their place in the corpus.
+    A chunk ends where the rolling hash is lowest of ``reach`` lines on both sides: 2 * reach + 1 lines on average.
+    """
 
-    def cut(x: Column) -> Column:
-        lines, hashed, rolled, full = x["lines"], x["hashed"], x["rolled"], x["full"]
-        last = F.size(lines) - 1
-        inner = F.filter(F.sequence(F.lit(1), F.greatest(last - 2, F.lit(1))), lambda i: (i <= last - 2) & (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) < F.get(rolled, i + 1)))
+    def split(lines: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.length(F.translate(F.get(lines, i), SPACE_CHARS, "")) > 0)
+        return F.struct(lines.alias("lines"), F.transform(lines, lambda v: F.xxhash64(v)).alias("hashed"), full.alias("full"))
+
+    def roll(x: Column) -> Column:
+        rolled = F.transform(x["full"], lambda i, j: F.xxhash64(F.get(x["hashed"], F.get(x["full"], j - 1)), F.get(x["hashed"], i)))
+        return F.struct(x["lines"].alias("lines"), x["hashed"].alias("hashed"), x["full"].alias("full"), let(rolled, chunk_ends).alias("ends"))
+
+    def chunk_ends(rolled: Column) -> Column:
+        last = F.size(rolled) - 1
 
-        def chunks(ends: Column) -> Column:
-            starts = F.transform(ends, lambda e, j: F.struct(F.coalesce(F.get(ends, j - 1) + 1, F.lit(0)).alias("s"), e.alias("e")))
-            found = F.filter(starts, lambda c: F.size(F.filter(F.slice(full, c["s"] + 1, c["e"] - c["s"] + 1), lambda f: f)) >= min_lines)
-            return F.transform(found, lambda c: code(c["s"], c["e"] - c["s"] + 1))
+        def lowest(j: Column) -> Column:
+            out = j < last
+            for step in range(1, reach + 1):
+                for beside in (F.get(rolled, j - step), F.get(rolled, j + step)):
+                    out = out & F.coalesce(F.get(rolled, j) < beside, F.lit(True))
+            return out
+
+        return F.concat(F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lowest), F.array(last))
+
+    def cut(x: Column) -> Column:
+        lines, hashed, full, ends = x["lines"], x["hashed"], x["full"], x["ends"]
 
-        def windows(at: Column) -> Column:
-            pairs = F.transform(at, lambda i, j: code(i, F.get(at, j + (min_lines - 1)) - i + 1))
-            long = F.filter(at, lambda i: (F.length(F.get(lines, i)) >= 2 * long_words - 1) & (F.size(words(F.get(lines, i))) >= long_words))
-            return F.concat(F.filter(pairs, lambda c: c.isNotNull()), F.transform(long, lambda i: code(i, F.lit(1))))
+        def unit(first: Column, last: Column, code: Column | None, chunk: bool = False) -> Column:
+            s, n = F.get(full, first), F.get(full, last) - F.get(full, first) + 1
+            return F.struct(F.xxhash64(F.slice(hashed, s + 1, n)).alias("h"), s.alias("s"), n.alias("n"), F.coalesce(code, F.xxhash64(place, s)).alias("code"), F.lit(chunk).alias("chunk"))
 
-        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(full, i))
-        every = F.array_union(let(F.concat(inner, F.array(last)), chunks), let(at, windows))
-        own = F.transform(every, lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("s"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")))
-        return F.transform(own, lambda c: F.struct(F.xxhash64(F.slice(hashed, c["s"] + 1, c["n"])).alias("h"), c["s"].alias("s"), c["n"].alias("n")))
+        def of_chunk(c: Column) -> Column:
+            first, last = c["first"], c["last"]
+            own = F.when(last - first + 1 >= min_lines, F.array(unit(first, last, F.lit(None).cast("long"), True))).otherwise(F.array())
+            starts = F.filter(F.sequence(first, last), lambda j: (j + (min_lines - 1) < F.size(full)) & ~((j == first) & (last - first + 1 == min_lines)))
+            key = F.xxhash64(F.slice(hashed, F.get(full, first) + 1, F.get(full, last) - F.get(full, first) + 1))
+            windows = let(key, lambda k: F.transform(starts, lambda j: unit(j, j + (min_lines - 1), F.when(j + (min_lines - 1) <= last, F.xxhash64(k, j - first)))))
+            return F.concat(own, windows)
 
-    def roll(lines: Column) -> Column:
-        hashed = F.transform(lines, lambda v: F.xxhash64(v))
-        full = F.transform(lines, lambda v: F.length(F.translate(v, SPACE_CHARS, "")) > 0)
-        return let(hashed, lambda h: F.struct(lines.alias("lines"), h.alias("hashed"), F.transform(h, lambda v, i: F.xxhash64(F.get(h, i - 1), v)).alias("rolled"), full.alias("full")))
+        chunks = F.transform(ends, lambda e, k: F.struct(F.coalesce(F.get(ends, k - 1) + 1, F.lit(0)).alias("first"), e.alias("last")))
+        long = F.filter(F.sequence(F.lit(0), F.size(full) - 1), lambda j: let(F.get(lines, F.get(full, j)), lambda v: (F.length(v) >= 2 * long_words - 1) & (F.size(words(v)) >= long_words)))
+        return F.concat(F.flatten(F.transform(chunks, of_chunk)), F.transform(long, lambda j: unit(j, j, F.lit(None).cast("long"))))
 
-    return let(let(F.split(text, "\n"), roll), cut)
+    return let(let(let(F.split(text, "\n"), split), lambda x: F.when(F.size(x["full"]) > 0, roll(x))), lambda x: F.when(x.isNotNull(), cut(x)))
 
 
 def bodies(text: Column, found: Column, min_lines: int = 2) -> Column:
@@ -99,9 +121,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.col("_id").cast("decimal(19,0)") * F.lit(Decimal(2**62)) + F.col("_th").cast("decimal(19,0)")
 
     # A text of one short line has no unit.
-    places = own.where(F.contains(text_col, F.lit("\n")) | (F.length(text_col) >= 2 * long_words - 1)).select("_id", "_th", F.inline(units(F.col(text_col), min_lines, long_words)))
-    likely = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    found = places.join(likely, "h").groupBy("_id", "_th").agg(F.collect_set(F.struct("h", "s", "n")).alias("_found")).withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
+    places = own.where(F.contains(text_col, F.lit("\n")) | (F.length(text_col) >= 2 * long_words - 1)).select("_id", "_th", F.inline(units(F.col(text_col), F.xxhash64("_id", "_th"), min_lines, long_words)))
+    likely = places.groupBy("h").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high").select("h")
+    found = places.select("_id", "_th", "h", "s", "n").join(likely, "h").groupBy("_id", "_th").agg(F.collect_set(F.struct("h", "s", "n")).alias("_found")).withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
     held = materialize(own.join(found, (F.col("_id") == F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left").drop("_fid", "_fth"), "line-units")
     some = held.where("_found is not null")
 
