@@ -11,6 +11,7 @@ that it has, however many places the chunk has. A chunk that repeats goes as a w
 window is looked for on its own only if it is in two different chunks, twice in one, or
 over a boundary, which is the case at the edges of a passage. Either way every repeated
 window goes: its places are in different chunks, or all in the same place of one chunk, which then repeats.
+Hashes of windows leave out blank lines between, those of chunks do not; bytes decide in the end.
 
 A unit is removed wherever it repeats, in any document; its first place, by doc_id, then by a hash of the text and then
 by position, keeps it, and so does a place in the same document that overlaps the first.
@@ -53,43 +54,50 @@ def units(text: Column, place: Column, min_lines: int = 2, long_words: int = 50,
     """
 
     def split(lines: Column) -> Column:
-        full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.length(F.translate(F.get(lines, i), SPACE_CHARS, "")) > 0)
+        full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.ltrim(F.get(lines, i), F.lit(SPACE_CHARS)) != "")
         return F.struct(lines.alias("lines"), F.transform(lines, lambda v: F.xxhash64(v)).alias("hashed"), full.alias("full"))
 
     def roll(x: Column) -> Column:
-        rolled = F.transform(x["full"], lambda i, j: F.xxhash64(F.get(x["hashed"], F.get(x["full"], j - 1)), F.get(x["hashed"], i)))
-        return F.struct(x["lines"].alias("lines"), x["hashed"].alias("hashed"), x["full"].alias("full"), let(rolled, chunk_ends).alias("ends"))
+        rolled = F.transform(x["full"], lambda i, j: F.xxhash64(*[F.get(x["hashed"], F.get(x["full"], j - back)) for back in range(min_lines - 1, 0, -1)], F.get(x["hashed"], i)))
+        return let(rolled, lambda r: F.struct(x["lines"].alias("lines"), x["hashed"].alias("hashed"), x["full"].alias("full"), r.alias("rolled"), chunk_ends(r).alias("ends")))
 
     def chunk_ends(rolled: Column) -> Column:
-        last = F.size(rolled) - 1
-
         def lowest(j: Column) -> Column:
-            out = j < last
+            out = j <= F.size(rolled) - 1 - reach
             for step in range(1, reach + 1):
-                for beside in (F.get(rolled, j - step), F.get(rolled, j + step)):
-                    out = out & F.coalesce(F.get(rolled, j) < beside, F.lit(True))
+                out = out & (F.get(rolled, j) < F.get(rolled, j - step)) & (F.get(rolled, j) < F.get(rolled, j + step))
             return out
 
-        return F.concat(F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lowest), F.array(last))
+        return F.concat(F.filter(F.sequence(F.lit(reach), F.greatest(F.size(rolled) - 1 - reach, F.lit(reach))), lowest), F.array(F.size(rolled) - 1))
 
     def cut(x: Column) -> Column:
-        lines, hashed, full, ends = x["lines"], x["hashed"], x["full"], x["ends"]
+        lines, hashed, full, rolled, ends = x["lines"], x["hashed"], x["full"], x["rolled"], x["ends"]
 
-        def unit(first: Column, last: Column, code: Column | None, chunk: bool = False) -> Column:
-            s, n = F.get(full, first), F.get(full, last) - F.get(full, first) + 1
-            return F.struct(F.xxhash64(F.slice(hashed, s + 1, n)).alias("h"), s.alias("s"), n.alias("n"), F.coalesce(code, F.xxhash64(place, s)).alias("code"), F.lit(chunk).alias("chunk"))
+        def unit(s: Column, n: Column, h: Column, code: Column, chunk: bool = False) -> Column:
+            return F.struct(h.alias("h"), s.alias("s"), n.alias("n"), code.alias("code"), F.lit(chunk).alias("chunk"))
 
         def of_chunk(c: Column) -> Column:
-            first, last = c["first"], c["last"]
-            own = F.when(last - first + 1 >= min_lines, F.array(unit(first, last, F.lit(None).cast("long"), True))).otherwise(F.array())
-            starts = F.filter(F.sequence(first, last), lambda j: (j + (min_lines - 1) < F.size(full)) & ~((j == first) & (last - first + 1 == min_lines)))
-            key = F.xxhash64(F.slice(hashed, F.get(full, first) + 1, F.get(full, last) - F.get(full, first) + 1))
-            windows = let(key, lambda k: F.transform(starts, lambda j: unit(j, j + (min_lines - 1), F.when(j + (min_lines - 1) <= last, F.xxhash64(k, j - first)))))
-            return F.concat(own, windows)
-
-        chunks = F.transform(ends, lambda e, k: F.struct(F.coalesce(F.get(ends, k - 1) + 1, F.lit(0)).alias("first"), e.alias("last")))
-        long = F.filter(F.sequence(F.lit(0), F.size(full) - 1), lambda j: let(F.get(lines, F.get(full, j)), lambda v: (F.length(v) >= 2 * long_words - 1) & (F.size(words(v)) >= long_words)))
-        return F.concat(F.flatten(F.transform(chunks, of_chunk)), F.transform(long, lambda j: unit(j, j, F.lit(None).cast("long"))))
+            first, last, s, n, key = c["first"], c["last"], c["s"], c["n"], c["key"]
+            size = last - first + 1
+            # A chunk of as many lines as a window is hashed as one, for other chunks have it as a window.
+            own = F.when(size >= min_lines, F.array(unit(s, n, F.when(size == min_lines, F.get(rolled, last)).otherwise(key), F.xxhash64(place, s), True))).otherwise(F.array())
+
+            def window(end: Column, code) -> Column:
+                begin = F.get(full, end - (min_lines - 1))
+                return unit(begin, F.get(full, end) - begin + 1, F.get(rolled, end), code(begin))
+
+            # Windows that end in this chunk: the first min_lines - 1 began in another.
+            over = F.filter(F.sequence(first, first + (min_lines - 2)), lambda j: (j <= last) & (j >= min_lines - 1))
+            inside = F.when(size > min_lines, F.sequence(first + (min_lines - 1), last)).otherwise(F.array())
+            return F.concat(own, F.transform(over, lambda j: window(j, lambda begin: F.xxhash64(place, begin))), F.transform(inside, lambda j: window(j, lambda begin: F.xxhash64(key, j - first))))
+
+        def measured(e: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+            return F.struct(first.alias("first"), e.alias("last"), F.get(full, first).alias("s"), (F.get(full, e) - F.get(full, first) + 1).alias("n"))
+
+        chunks = F.transform(F.transform(ends, measured), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), c["s"].alias("s"), c["n"].alias("n"), F.xxhash64(F.slice(hashed, c["s"] + 1, c["n"])).alias("key")))
+        long = F.filter(full, lambda i: (F.length(F.get(lines, i)) >= 2 * long_words - 1) & (F.size(words(F.get(lines, i))) >= long_words))
+        return F.concat(F.flatten(F.transform(chunks, of_chunk)), F.transform(long, lambda i: unit(i, F.lit(1), F.xxhash64(F.get(hashed, i), F.lit(1)), F.xxhash64(place, i))))
 
     return let(let(let(F.split(text, "\n"), split), lambda x: F.when(F.size(x["full"]) > 0, roll(x))), lambda x: F.when(x.isNotNull(), cut(x)))
 
