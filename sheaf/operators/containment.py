@@ -73,17 +73,34 @@ def short_hits(docs: DataFrame, patterns: DataFrame, block_chars: int) -> DataFr
     return spark.read.schema("row long, norm string").parquet(*[f"{folder}/block={b}" for b in range(blocks)])
 
 
-def contained(docs: DataFrame, needles: DataFrame, doc_key: str, needle_key: str, text: str = "text", block_chars: int = 4_000_000, empty: bool = False) -> DataFrame:
-    """doc_key, needle_key: documents (doc_key, text) that hold a needle (needle_key, text)."""
+def _found(docs: DataFrame, needles: DataFrame, doc_key: str, needle_key: str, text: str, block_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """hits (row, norm), documents (row, d, text) and needles (n, norm): each different text once for each document that holds it."""
     # Rows are told apart by a number of their own: keys may repeat or be null.
     d = stage_table(docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(doc_key).alias("d"), normalize_for_match(F.col(text)).alias("text")), "documents")
     n = stage_table(needles.where(F.col(text).isNotNull()).select(F.col(needle_key).alias("n"), normalize_for_match(F.col(text)).alias("norm")), "needles")
     patterns = n.where("norm <> ''").select("norm").distinct()
     own = d.select("row", "text")
     is_long = F.size(_words("norm")) >= LONG
-    hits = long_hits(own, patterns.where(is_long)).unionByName(short_hits(own, patterns.where(~is_long), block_chars))
+    return long_hits(own, patterns.where(is_long)).unionByName(short_hits(own, patterns.where(~is_long), block_chars)), d, n
+
+
+def contained(docs: DataFrame, needles: DataFrame, doc_key: str, needle_key: str, text: str = "text", block_chars: int = 4_000_000, empty: bool = False) -> DataFrame:
+    """doc_key, needle_key: documents (doc_key, text) that hold a needle (needle_key, text)."""
+    hits, d, n = _found(docs, needles, doc_key, needle_key, text, block_chars)
     found = hits.join(n, "norm").join(d.select("row", "d"), "row").select(F.col("d").alias(doc_key), F.col("n").alias(needle_key))
     if empty:
         blank = n.where("norm = ''").select(F.lit(0).alias("z"), F.col("n").alias(needle_key))
         found = found.unionByName(d.select(F.lit(0).alias("z"), F.col("d").alias(doc_key)).join(blank, "z").select(doc_key, needle_key))
     return found
+
+
+def contained_sums(docs: DataFrame, needles: DataFrame, doc_key: str, needle_key: str, text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    """doc_key, n, total: how many needles (needle_key a number) a document holds and the sum of their keys, of documents that hold any.
+
+    The same as grouping ``contained``, but needles that normalise alike are summed before they meet the documents: the work grows
+    with the different texts that each document holds, not with the rows that share them."""
+    hits, d, n = _found(docs, needles, doc_key, needle_key, text, block_chars)
+    alike = stage_table(n.where("norm <> ''").groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total")), "alike")
+    both = [F.sum("n").alias("n"), F.sum("total").alias("total")]
+    rows = hits.join(alike, "norm").groupBy("row").agg(*both)
+    return d.select("row", "d").join(rows, "row").groupBy(F.col("d").alias(doc_key)).agg(*both)

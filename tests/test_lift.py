@@ -102,6 +102,17 @@ def test_containment_at_any_length(spark):
     assert containment.contained(d.limit(0), n, "doc_id", "needle").count() == 0 and containment.contained(d, n.limit(0), "doc_id", "needle").count() == 0
 
 
+def test_sums_of_contained_texts_make_no_row_for_each_needle(spark):
+    """10,000 needles of two texts in 300 documents: as many rows as documents and texts meet the sums, not three million pairs."""
+    docs = spark.createDataFrame([(i % 290, f"Doc {i} red bolt" + (" blue nut" if i % 2 else "")) for i in range(300)] + [(None, "red bolt"), (7, None), (8, "none")], "doc_id long, text string")
+    needles = spark.createDataFrame([(i, ("Red bolt!", "blue  nut", "gone")[i % 3]) for i in range(9_000)] + [(None, "red bolt"), (-1, "日本"), (-2, None)], "needle long, text string")
+    got = containment.contained_sums(docs, needles, "doc_id", "needle")
+    want = containment.contained(docs, needles, "doc_id", "needle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("needle").alias("total"))
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in want.collect())
+    hits, _, _ = containment._found(docs, needles, "doc_id", "needle", "text", 1_000)
+    assert hits.count() == 300 + 150 + 1
+
+
 DATES = [("Jan 2018", "Mar 2018", 24216, 24219), ("2018", "2018", 24216, 24228), ("since 2018", "present", 24216, 24237), ("Sept 2018", "Now", 24224, 24237), ("2019", "2018", None, None), (None, "2018", None, None), ("x", "2018", None, None), ("December 2018", "current", 24227, 24237), ("2018", "", None, None)]
 
 
