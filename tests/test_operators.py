@@ -239,3 +239,33 @@ def test_a_run_written_twice_has_each_call_once_and_numbered_debug_files(spark,
     first, mended = (json.loads((folder / "debug" / n).read_text()) for n in names[1:3])
     assert first["response"] == "{broken" and "error" in first and "error" not in mended
     assert list(mended) == ["label", "messages", "response"]
+
+
+def test_semantic_reads_lines_once_in_one_order(spark):
+    """Items, sections and headers come from one look at the lines, whose windows share one sort."""
+    from sheaf.operators import parsing
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = parsing.semantic(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+    parsed = parsing.parse(docs)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum(" Sort [" in x for x in parsed.splitlines()) == 1
+
+
+def test_one_look_at_dates_is_that_of_the_single_functions(spark):
+    from pyspark.sql import functions as F
+    from sheaf.functions import text as T
+
+    lines = ["2021-2025", "Jan 2020 – Present)", "x 2018 to 2020 abc", "May 2018 - CURRENT", "12345-67890", "no date", "", "1999-2000 and 2001-2002", "日本\t2018—now", "a 2018 to 2019xy"]
+    d, r = T.dated(F.col("line")), T.date_range(F.col("line"))
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.when(d["near"], F.struct(d["start"].alias("start"), d["end"].alias("end"))).alias("a"), r.alias("b"), d["before"].alias("c"), T.trim_js(T.date_before(F.col("line"))).alias("d"))
+    assert all(x.a == x.b and x.c == x.d for x in rows.collect())
+
+
+def test_bullet_bodies_and_trims(spark):
+    from pyspark.sql import functions as F
+    from sheaf.functions import text as T
+
+    want = {"- a ": "a", "-a": None, "- ": None, "-  ": "", "-　x": "x", "● a\nb": None, "-\n": None, "- \n": None, "-\n ": "", "-\nx": "x", "+ a": None, "": None}
+    got = spark.createDataFrame([(x,) for x in want], "line string").select("line", T.bullet_body(F.col("line")).alias("b")).collect()
+    assert {x.line: x.b for x in got} == want
