@@ -172,3 +172,21 @@ def test_workflow_with_the_best_profiles_of_each_job(spark):
     run = W.analyze(spark, cvs, jobs, Q.PROVIDER, generated_at=Q.AT, best=1)
     assert {(r.doc_id, r.job_id) for r in run.runs.select("doc_id", "job_id").collect()} == {(2, 1), (3, 2)}
     assert run.quarantine.where("key = '1'").count() == 1  # fewer than three skills: no candidate
+
+
+@pytest.mark.parametrize("name", ["cli2_build_profiles", "wfl1_cross_profile_job", "val8_whole_run"])
+def test_orders_without_line_items_are_orders_all_the_same(spark, tmp_path, name):
+    """Of every second customer only one order has line items left, and of some none: the SQL counts orders."""
+    import shutil
+
+    import duckdb
+    from sheaf.plans.registry import ORACLES, QUERIES
+
+    from tests.conftest import SF
+    from tests.oracle import check
+
+    sf = str(tmp_path / "sf")
+    shutil.copytree(SF, sf, copy_function=shutil.copyfile)
+    kept = f"select * from '{SF}/lineitem.parquet' where l_orderkey in (select case when o_custkey % 2 = 1 or o_orderkey = m then o_orderkey end from (select *, min(o_orderkey) over (partition by o_custkey) m from '{SF}/orders.parquet') where o_orderkey is not null)"
+    duckdb.sql(f"copy ({kept}) to '{sf}/lineitem.parquet' (format parquet)")
+    check(QUERIES[name], ORACLES[name], spark, sf)
