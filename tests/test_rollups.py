@@ -27,3 +27,13 @@ def test_roll_up_of_merged_parts(spark):
         assert abs(x.d - n) <= 0.06 * n
         for q, at in ((0.5, x.q), (0.9, x.p)):
             assert abs(sum(m <= at for m in ms) / len(ms) - q) < 0.03
+
+
+def test_no_sketch_of_many_is_further_off_than_asked(spark):
+    """1,500 groups of 8,000 keys, each from sketches of 16 parts: the worst is within the error asked for with room to spare, with 12 bits it comes near it."""
+    rows = spark.range(0, 12_000_000, 1, 16).select((F.col("id") % 1_500).alias("g"), F.col("id").alias("key"), F.lit(1).alias("m"))
+
+    def worst(bits):
+        return R.base(rows, ["g"], "key", "m", bits).agg(F.max(F.abs(R.distinct_keys(F.col("keys")) - 8_000)) / 8_000).first()[0]
+
+    assert worst(R.bits_for(0.05)) < 0.03 < worst(R.BITS)
