@@ -76,6 +76,20 @@ def test_top_candidates_make_no_pairs(spark):
     assert candidates.compared(terms, own, kinds, 5).count() < 100_000  # of ten million pairs
 
 
+def test_top_candidates_compare_copies_once_and_blocks_agree(spark):
+    """Profiles and jobs in twenty copies: the same best as of all pairs; blocks of few skills give what one block gives."""
+    profiles, jobs = some_people(5, 120, 40)
+    many = lambda rows: [(None if i is None else i + 1_000 * c, s) for c in range(20) for i, s in rows]
+    got = top_candidates(table(spark, many(profiles), "doc_id"), table(spark, many(jobs), "job_id"), 30)
+    assert {tuple(r) for r in got.collect()} == best(many(profiles), many(jobs), 30)
+    rows = lambda x, n: [(i, sorted({hash_of(v) for v in own or () if v})) for i, (_, own) in enumerate(x[:n])]
+    hash_of = lambda v: int(v[1:])
+    c = spark.createDataFrame([(i, i, s) for i, s in rows(profiles, 120)], "c long, first long, sids array<long>")
+    j = spark.createDataFrame([(i, s, [7 + v for v in s]) for i, s in rows(jobs, 40)], "jc long, sids array<long>, ws array<long>")
+    one, small = ({tuple(r) for r in candidates.best_of_blocks(c, j, 4, n).collect()} for n in (10_000, 50))
+    assert one == small and len(one) > 100
+
+
 def test_top_candidates_of_empty_tables(spark):
     none, some = table(spark, [], "doc_id"), table(spark, [(1, ["a"])], "job_id")
     assert top_candidates(none, some, 3).collect() == []
