@@ -90,6 +90,44 @@ def test_top_candidates_compare_copies_once_and_blocks_agree(spark):
     assert one == small and len(one) > 100
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_jobs_counted_by_bits_are_those_of_posting_lists(spark, k):
+    """Weights that differ much and weights alike, ties, more profiles than a word of bits: planes, posting lists and brute force agree."""
+    import numpy as np
+
+    r = np.random.default_rng(k)
+    for n in (1, 64, 500):
+        has = r.random((18, n)) < r.random((18, 1)) / 2
+        bits = np.zeros((18, -(-n // 64)), "uint64")
+        for i, x in enumerate(has):
+            bits[i] = np.packbits(np.append(x, np.zeros(-n % 64, bool)), bitorder="little").view("uint64")
+        for m in (1, 2, 5, 15):
+            rows = np.array([r.permutation(18)[:m] for _ in range(7)])
+            for low in (1, 4000):
+                ws = low + r.integers(0, 5, (7, m))
+                job, place, score, _ = candidates._by_bits(rows, ws, bits, k, m + 1)
+                for i in range(7):
+                    all_scores = ws[i] @ has[rows[i]].astype("int64")
+                    want = [x for x in np.argsort(-all_scores, kind="stable") if all_scores[x]][:k]
+                    assert list(place[job == i]) == want and list(score[job == i]) == list(all_scores[want])
+                    if want:
+                        assert list(candidates._by_postings([np.flatnonzero(has[x]) for x in rows[i]], ws[i], n, k)[0]) == want
+    profiles, jobs = some_people(11, 300, 60)
+    ids = lambda x: [(i, sorted({int(v[1:]) for v in own or () if v and v != "other"})) for i, (_, own) in enumerate(x) if own]
+    c = spark.createDataFrame([(i, 1_000 - i, s) for i, s in ids(profiles[:300])], "c long, first long, sids array<long>")
+    j = spark.createDataFrame([(i, s, [7 + v for v in s]) for i, s in ids(jobs[:60])], "jc long, sids array<long>, ws array<long>")
+    by_bits, by_postings = ({tuple(x) for x in candidates.best_of_blocks(c, j, k, bit_bytes=b).collect()} for b in (10**6, 0))
+    assert by_bits == by_postings and len(by_bits) > 50
+
+
+def test_profiles_without_any_asked_skill_count_as_profiles(spark):
+    """Their number weighs the skills; rows that share a key are one profile, also where only one of them has an asked skill."""
+    profiles = [(1, ["a", "b"]), (1, ["c"]), (2, ["x"]), (2, ["y"]), (3, ["a"]), (4, []), (5, [None])]
+    jobs = [(1, ["a", "b"]), (2, ["c", "c", None]), (2, ["a"])]
+    got = top_candidates(table(spark, profiles, "doc_id"), table(spark, jobs, "job_id"), 2)
+    assert {tuple(r) for r in got.collect()} == best(profiles, jobs, 2)
+
+
 def test_top_candidates_of_empty_tables(spark):
     none, some = table(spark, [], "doc_id"), table(spark, [(1, ["a"])], "job_id")
     assert top_candidates(none, some, 3).collect() == []
